@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 
 
-def block_of(order: str, size: int) -> Column:
-    return F.floor(F.col(order) / size)
-
-
 _FOLDS = {
     "sum": (F.sum, lambda carry, here: F.coalesce(carry, F.lit(0)) + F.coalesce(here, F.lit(0))),
     "min": (F.min, F.least),
@@ -29,43 +25,42 @@ _FOLDS = {
 
 
 def prefix_scan(
-    df: DataFrame, keys: Sequence[str], order: str, folds: Mapping[str, tuple[str, Column]], *,
-    strict: bool = False, block: int = BLOCK,
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], folds: Mapping[str, tuple[str, Column]], *,
+    strict: bool = False, block: int = BLOCK, keep_block: bool = False,
 ) -> DataFrame:
     """Adds one column per fold: kind ("sum", "min", "max", "last", "first") of a column over all rows of the key
-    up to this one (``strict``: before this one).  ``order`` is an integer column, unique within the key."""
+    up to this one.  With ``strict``, or for a kind written "last<", the row itself does not count.
+
+    ``order`` names integer columns, unique within the key; the first one is cut into blocks of ``block`` units.  With
+    ``keep_block`` the block column stays, so that a following scan reuses the same partitioning without a shuffle.
+    """
     keys = list(keys)
-    cols = df.columns
-    rows = df.withColumn("_block", block_of(order, block))
-    for name, (_, value) in folds.items():
-        rows = rows.withColumn(f"_v_{name}", value)
-    here = Window.partitionBy(*keys, "_block").orderBy(order)
-    inside = here.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    order = [order] if isinstance(order, str) else list(order)
+    at = F.struct(*order)
+    cols = [c for c in df.columns if c != "_block"]
+    rows = df if "_block" in df.columns else df.withColumn("_block", F.floor(F.col(order[0]) / block))
+    part = [*keys, "_block"]
+    here = Window.partitionBy(*part).orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    plan = {name: (kind.rstrip("<"), value, strict or kind.endswith("<")) for name, (kind, value) in folds.items()}
 
-    scanned = rows
-    for name, (kind, _) in folds.items():
-        scanned = scanned.withColumn(f"_h_{name}", _FOLDS[kind][0](F.col(f"_v_{name}")).over(inside))
-    # The total of a block: for last and first the order decides, so they are taken by the order column.
-    totals = []
-    for name, (kind, _) in folds.items():
+    rows = rows.select("*", *[value.alias(f"_v_{name}") for name, (_, value, _) in plan.items()])
+    inside, totals, carries, finals = [], [], [], []
+    for name, (kind, _, open_end) in plan.items():
+        fold, combine = _FOLDS[kind]
         v = F.col(f"_v_{name}")
-        if kind == "last":
-            totals.append(F.max_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), F.col(order))).alias(f"_t_{name}"))
-        elif kind == "first":
-            totals.append(F.min_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), F.col(order))).alias(f"_t_{name}"))
+        inside.append(fold(v).over(here.rowsBetween(Window.unboundedPreceding, -1 if open_end else 0)).alias(f"_h_{name}"))
+        # The total of a block; for last and first the order decides.
+        if kind in ("last", "first"):
+            pick = F.max_by if kind == "last" else F.min_by
+            totals.append(pick(F.when(v.isNotNull(), v), F.when(v.isNotNull(), at)).alias(f"_t_{name}"))
         else:
-            totals.append(_FOLDS[kind][0](v).alias(f"_t_{name}"))
-    carry = rows.groupBy(*keys, "_block").agg(*totals)
-    for name, (kind, _) in folds.items():
-        carry = carry.withColumn(f"_c_{name}", _FOLDS[kind][0](F.col(f"_t_{name}")).over(before))
-    carry = carry.select(*keys, "_block", *[f"_c_{n}" for n in folds])
-    if keys:
-        joined = scanned.join(carry, keys + ["_block"])
-    else:
-        joined = scanned.join(carry, "_block")
-    return joined.select(*cols, *[
-        _FOLDS[kind][1](F.col(f"_c_{name}"), F.col(f"_h_{name}")).alias(name) for name, (kind, _) in folds.items()])
+            totals.append(fold(v).alias(f"_t_{name}"))
+        carries.append(fold(F.col(f"_t_{name}")).over(before).alias(f"_c_{name}"))
+        finals.append(combine(F.col(f"_c_{name}"), F.col(f"_h_{name}")).alias(name))
+    carry = rows.groupBy(*part).agg(*totals).select(*part, *carries)
+    joined = rows.select(*cols, "_block", *inside).join(carry, part)
+    return joined.select(*cols, *(["_block"] if keep_block else []), *finals)
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: str, name: str, block: int = BLOCK) -> DataFrame:

@@ -288,9 +288,9 @@ def null_outcomes(t: Tables) -> DataFrame:
 
 
 @query("j6_mutual_best", f"""WITH d AS (SELECT conv_id * 1000 + turn AS b, text FROM conversations WHERE role = 'user'), {grams_sql('ag', 'benchmark', 'item_id', 'text')}, {grams_sql('bg', 'd', 'b', 'text')},
- at AS (SELECT item_id, sum(n)::BIGINT AS ta FROM ag GROUP BY ALL), bt AS (SELECT b, sum(n)::BIGINT AS tb FROM bg GROUP BY ALL),
+ atot AS (SELECT item_id, sum(n)::BIGINT AS ta FROM ag GROUP BY ALL), bt AS (SELECT b, sum(n)::BIGINT AS tb FROM bg GROUP BY ALL),
  p AS (SELECT item_id AS a, b, sum(ag.n)::BIGINT AS sa, sum(bg.n)::BIGINT AS sb FROM ag JOIN bg USING (gram) GROUP BY ALL),
- s AS (SELECT a, b, sqrt((sa::DOUBLE / ta) * (sb::DOUBLE / tb)) AS score FROM p JOIN at ON a = item_id JOIN bt USING (b)),
+ s AS (SELECT a, b, sqrt((sa::DOUBLE / ta) * (sb::DOUBLE / tb)) AS score FROM p JOIN atot ON a = item_id JOIN bt USING (b)),
  k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS rb FROM s WHERE score >= 0.6)
  SELECT a, b, score FROM k WHERE ra = 1 AND rb = 1""")
 def j6(t: Tables):
@@ -323,9 +323,13 @@ def j13(t: Tables):
     return sentence_overlap(t.benchmark, "item_id", t.documents, "doc_id")
 
 
+# The SQL engine's edit distance counts bytes, so its letters become single bytes first.
+_NON_ASCII = ("äöüßéèêçñóíáúàâîôûœ¡", "0123456789!#$%&*+=@^")
+
+
 @query("j15_typo_join", f"""WITH v AS (SELECT w AS fix, count(*) AS freq FROM (SELECT unnest({TERMS.format(x='text', n=4)}) AS w FROM documents) GROUP BY ALL),
   a AS (SELECT DISTINCT w AS word FROM (SELECT unnest({TERMS.format(x='text', n=4)}) AS w FROM conversations) WHERE w NOT IN (SELECT fix FROM v)),
-  n AS (SELECT word, fix, freq FROM a JOIN v ON abs(length(word) - length(fix)) <= 1 AND levenshtein(word, fix) = 1),
+  n AS (SELECT word, fix, freq FROM a JOIN v ON abs(length(word) - length(fix)) <= 1 AND levenshtein(translate(word, '{_NON_ASCII[0]}', '{_NON_ASCII[1]}'), translate(fix, '{_NON_ASCII[0]}', '{_NON_ASCII[1]}')) = 1),
   r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY freq DESC, fix DESC) AS rn, count(*) OVER (PARTITION BY word) AS options FROM n)
   SELECT word, fix, options FROM r WHERE rn = 1""")
 def j15(t: Tables):
