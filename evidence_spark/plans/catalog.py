@@ -1,6 +1,6 @@
 """All registered queries: importing a plan module registers its queries."""
 
-from . import ledger_plans, match_plans, text_plans  # noqa: F401
+from . import graph_plans, ledger_plans, match_plans, text_plans  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -162,7 +162,7 @@ def moves(t: Tables) -> DataFrame:
  l AS (SELECT c.seq, max(o.seq) AS nxt FROM m c JOIN m o ON o.item = c.w AND o.seq < c.seq GROUP BY c.seq),
  last AS (SELECT item, max(seq) AS seq FROM m GROUP BY item),
  walk AS (SELECT item, seq, seq AS pos FROM last UNION ALL SELECT walk.item, walk.seq, l.nxt FROM walk JOIN l ON l.seq = walk.pos),
- ends AS (SELECT item, walk.seq, place, row_number() OVER (PARTITION BY item ORDER BY walk.pos) AS rn FROM walk JOIN m ON m.seq = walk.pos)
+ ends AS (SELECT walk.item, walk.seq, m.place, row_number() OVER (PARTITION BY walk.item ORDER BY walk.pos) AS rn FROM walk JOIN m ON m.seq = walk.pos)
  SELECT item, place, seq FROM ends WHERE rn = 1""")
 def e9(t: Tables):
     return L.locations(moves(t))
@@ -292,18 +292,18 @@ def j10(t: Tables):
     return L.valid_at(iv, pts, "cust").withColumn("t", micros(F.col("t")))
 
 
-@query("j11_relation_lookup", """WITH o AS (SELECT DISTINCT o_custkey AS a FROM orders), s AS (SELECT o_custkey AS actor, n_name AS other, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS v
+@query("j11_relation_lookup", """WITH o AS (SELECT DISTINCT o_custkey AS a FROM orders), s AS (SELECT o_custkey AS actor, n_name AS other, count(*) AS n, min(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS v
    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag = 'R' GROUP BY ALL),
  k AS (SELECT DISTINCT o_custkey AS actor, n_name AS other FROM orders CROSS JOIN nation)
- SELECT CAST(k.actor AS VARCHAR) AS actor, k.other, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN CAST(v AS VARCHAR) END AS value FROM k LEFT JOIN s ON s.actor = k.actor AND s.other = k.other""")
+ SELECT CAST(k.actor AS VARCHAR) AS actor, k.other, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN v END AS value FROM k LEFT JOIN s ON s.actor = k.actor AND s.other = k.other""")
 def j11(t: Tables):
     """Each line is one occurrence of a supply relation told by four facts; asked for every customer and nation."""
     occ = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
            .join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")))
-    rel = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rel = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     facts = occ.select(rel.alias("rel"), F.explode(F.array(
         F.struct(F.lit("kind").alias("pred"), F.col("l_returnflag").alias("obj")), F.struct(F.lit("actor").alias("pred"), F.col("o_custkey").cast("string").alias("obj")),
-        F.struct(F.lit("other").alias("pred"), F.col("n_name").alias("obj")), F.struct(F.lit("value").alias("pred"), rel.cast("string").alias("obj")))).alias("f")).select("rel", "f.pred", "f.obj")
+        F.struct(F.lit("other").alias("pred"), F.col("n_name").alias("obj")), F.struct(F.lit("value").alias("pred"), rel.alias("obj")))).alias("f")).select("rel", "f.pred", "f.obj")
     nations = t.nation.agg(F.collect_list("n_name").alias("names"))  # 25 rows by definition of the table
     asks = t.orders.select(F.col("o_custkey").cast("string").alias("actor")).distinct().join(F.broadcast(nations)).select("actor", F.explode("names").alias("other"))
     return L.relation_lookup(facts, "R", asks)

@@ -329,7 +329,9 @@ _NON_ASCII = ("äöüßéèêçñóíáúàâîôûœ¡", "0123456789!#$%&*+=@^"
 
 @query("j15_typo_join", f"""WITH v AS (SELECT w AS fix, count(*) AS freq FROM (SELECT unnest({TERMS.format(x='text', n=4)}) AS w FROM documents) GROUP BY ALL),
   a AS (SELECT DISTINCT w AS word FROM (SELECT unnest({TERMS.format(x='text', n=4)}) AS w FROM conversations) WHERE w NOT IN (SELECT fix FROM v)),
-  n AS (SELECT word, fix, freq FROM a JOIN v ON abs(length(word) - length(fix)) <= 1 AND levenshtein(translate(word, '{_NON_ASCII[0]}', '{_NON_ASCII[1]}'), translate(fix, '{_NON_ASCII[0]}', '{_NON_ASCII[1]}')) = 1),
+  ak AS (SELECT DISTINCT word, unnest(list_append(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)), word)) AS k FROM a),
+  vk AS (SELECT DISTINCT fix, freq, unnest(list_append(list_transform(range(1, length(fix) + 1), lambda i: substr(fix, 1, i - 1) || substr(fix, i + 1)), fix)) AS k FROM v),
+  n AS (SELECT DISTINCT word, fix, freq FROM ak JOIN vk USING (k) WHERE levenshtein(translate(word, '{_NON_ASCII[0]}', '{_NON_ASCII[1]}'), translate(fix, '{_NON_ASCII[0]}', '{_NON_ASCII[1]}')) = 1),
   r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY freq DESC, fix DESC) AS rn, count(*) OVER (PARTITION BY word) AS options FROM n)
   SELECT word, fix, options FROM r WHERE rn = 1""")
 def j15(t: Tables):
