@@ -1,27 +1,34 @@
 """Gram bags as exact 64-bit ids, for joins.
 
 A slice of two to four UTF-16 units packs into one integer without loss, so the ids never collide and the gram
-joins run on longs.  The slicing itself is array arithmetic per text; Spark has prepared the marked text in the JVM.
+joins run on longs.  Spark prepares the marked text in the JVM and decides the partitioning; the slicing is array
+arithmetic inside the tasks, with Arrow batches in and flat rows out.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as ty
 
 from . import text as T
 
 # Ship these helpers with the task, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_LONGS = ty.ArrayType(ty.LongType(), False)
-BAG = ty.StructType([ty.StructField("g", _LONGS), ty.StructField("n", _LONGS)])
+GRAM_ROWS = "tid binary, total bigint, gram bigint, n bigint"
+PAIR_ROWS = "it binary, ot binary, inner_shared bigint, inner_total bigint, outer_shared bigint, outer_total bigint"
+
+
+def marked_texts(c: Column) -> tuple[Column, Column]:
+    """The marked text and, where there is Hangul, its letter-level spelling."""
+    base = F.trim(T.mask_numbers(c))
+    return T.marked(base), F.when(base.rlike(f"[{T.HANGUL}]"), T.marked(T.flatten_jamo(base)))
 
 
 def _slice_ids(marked: str) -> np.ndarray:
@@ -32,23 +39,56 @@ def _slice_ids(marked: str) -> np.ndarray:
     return np.concatenate([two, three, four]).view(np.int64)
 
 
-@F.pandas_udf(BAG)
-def _bag(plain: pd.Series, letters: pd.Series) -> pd.DataFrame:
-    ids, weights = [], []
-    for p, j in zip(plain, letters):
-        if j is None:
-            g, n = np.unique(_slice_ids(p), return_counts=True)
-            n = n * 3
-        else:
-            a, b = _slice_ids(p), _slice_ids(j)
-            g, n = np.unique(np.concatenate([a, a, b]), return_counts=True)
-        ids.append(g)
-        weights.append(n.astype(np.int64))
-    return pd.DataFrame({"g": ids, "n": weights})
+def bag(plain: str, letters: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids and integer weights: 2 per plain slice and 1 per letter-level slice; 3 where both are the same."""
+    if letters is None:
+        ids, n = np.unique(_slice_ids(plain), return_counts=True)
+        return ids, n * 3
+    a = _slice_ids(plain)
+    return np.unique(np.concatenate([a, a, _slice_ids(letters)]), return_counts=True)
 
 
-def gram_bag(c: Column) -> Column:
-    """struct<g, n>: ids and integer weights (2 per plain slice, 1 per letter-level slice; 3 without Hangul)."""
-    base = F.trim(T.mask_numbers(c))
-    letters = F.when(base.rlike(f"[{T.HANGUL}]"), T.marked(T.flatten_jamo(base)))
-    return _bag(T.marked(base), letters)
+def gram_rows(texts: DataFrame) -> DataFrame:
+    """(tid, total, gram, n) of texts(tid, plain, letters)."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain, letters = batch.column("plain").to_pylist(), batch.column("letters").to_pylist()
+            for lo in range(0, len(plain), 256):  # keeps an output batch small
+                bags = [bag(p, j) for p, j in zip(plain[lo : lo + 256], letters[lo : lo + 256])]
+                sizes = [len(g) for g, _ in bags]
+                row = pa.array(np.repeat(np.arange(lo, lo + len(bags)), sizes))
+                total = np.repeat([int(n.sum()) for _, n in bags], sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("tid").take(row), pa.array(total, pa.int64()), pa.array(np.concatenate([g for g, _ in bags])),
+                     pa.array(np.concatenate([n for _, n in bags]), pa.int64())], names=["tid", "total", "gram", "n"])
+
+    return texts.select("tid", "plain", "letters").mapInArrow(explode, GRAM_ROWS)
+
+
+def pair_overlaps(pairs: DataFrame) -> DataFrame:
+    """Shared and total weights of both sides for pairs(it, ot, ip, il, op, ol) of marked texts."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+            def once(key: bytes, plain: str, letters: str | None):
+                if key not in seen:
+                    seen[key] = bag(plain, letters)
+                return seen[key]
+
+            out = []
+            cols = batch.to_pydict()
+            for it, ot, ip, il, op, ol in zip(*(cols[c] for c in ("it", "ot", "ip", "il", "op", "ol"))):
+                (g, n), (h, m) = once(it, ip, il), once(ot, op, ol)
+                at = np.minimum(np.searchsorted(h, g), len(h) - 1)
+                hit = h[at] == g
+                out.append((int(n[hit].sum()), int(n.sum()), int(m[at[hit]].sum()), int(m.sum())))
+            values = np.array(out, dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("it"), batch.column("ot"), *[pa.array(values[:, k]) for k in range(4)]],
+                names=["it", "ot", "inner_shared", "inner_total", "outer_shared", "outer_total"])
+
+    return pairs.select("it", "ot", "ip", "il", "op", "ol").mapInArrow(score, PAIR_ROWS)
+

@@ -3,9 +3,9 @@
 Scale notes
 * Equal texts are scored once: every operator works on distinct texts (128-bit text ids) and joins the
   copies back at the end, so a group of copies cannot inflate the gram join.
-* ``coverage_pairs`` with a high threshold generates candidates from a prefix of each inner text's rarest
-  grams.  The filter is lossless: a pair that reaches the threshold must have its rarest shared gram at a
-  place from which the remaining weight still reaches the threshold.
+* ``coverage_pairs`` with a high threshold generates candidates from a prefix of each inner text's rarest grams.
+  A pair that reaches the threshold misses at most a budget of weight, so it shares at least the prefix weight less
+  that budget inside the prefix: the filter is lossless.  Candidates are then scored exactly.
 * No side is broadcast by hand: Catalyst and AQE broadcast only what they measure to be small.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..functions.grams import gram_bag
+from ..functions.grams import gram_rows, marked_texts, pair_overlaps
 from ..session import spread_by
 
 
@@ -34,11 +34,10 @@ def distinct_texts(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _bags(df: DataFrame, text: str) -> DataFrame:
-    """(tid, bag, total): weighted grams of each distinct text, built inside the row."""
-    bags = spread_by(distinct_texts(df, text), "tid").select("tid", gram_bag(F.col("body")).alias("bag"))
-    total = F.aggregate("bag.n", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return bags.select("tid", F.arrays_zip("bag.g", "bag.n").alias("bag"), total.alias("total"))
+def _marked(df: DataFrame, text: str) -> DataFrame:
+    """(tid, plain, letters): marked spellings of each distinct text, spread by text id."""
+    plain, letters = marked_texts(F.col("body"))
+    return spread_by(distinct_texts(df, text), F.xxhash64("tid")).select("tid", plain.alias("plain"), letters.alias("letters"))
 
 
 def coverage_pairs(
@@ -47,34 +46,30 @@ def coverage_pairs(
     """(it, ot, inner_shared, inner_total, outer_shared, outer_total) for pairs of distinct texts.
 
     ``inner_shared / inner_total`` is the coverage of the inner text by the outer one and is at least
-    ``threshold``; the outer counterpart comes from the same join.  With ``prefix=False`` every pair that
-    shares a gram is scored directly, which is cheaper for low thresholds.
+    ``threshold``; the outer counterpart comes along.  With ``prefix=False`` every pair that shares a gram is scored
+    by one gram join, which is cheaper for low thresholds.
     """
-    ib = _bags(inner, inner_text).select(F.col("tid").alias("it"), "bag", F.col("total").alias("inner_total"))
-    ob = _bags(outer, outer_text).select(F.col("tid").alias("ot"), "bag", F.col("total").alias("outer_total"))
-    og = ob.select("ot", "outer_total", F.explode_outer("bag").alias("o")).select(
-        "ot", "outer_total", F.col("o.g").alias("gram"), F.col("o.n").alias("outer_n"))
-
-    def exploded(df: DataFrame, *keep: str) -> DataFrame:
-        return df.select(*keep, "inner_total", F.explode_outer("bag").alias("i")).select(
-            *keep, "inner_total", F.col("i.g").alias("gram"), F.col("i.n").alias("inner_n"))
-
+    im, om = _marked(inner, inner_text), _marked(outer, outer_text)
+    ig = gram_rows(im).toDF("it", "inner_total", "gram", "inner_n")
+    og = gram_rows(om).toDF("ot", "outer_total", "gram", "outer_n")
     if prefix:
         reach = og.groupBy("gram").agg(F.count("*").alias("reach"))
-        ordered = exploded(ib, "it").join(reach, "gram")
-        rest = F.sum("inner_n").over(
-            Window.partitionBy("it").orderBy("reach", "gram").rowsBetween(0, Window.unboundedFollowing))
-        rare = ordered.withColumn("rest", rest).filter(F.col("rest") >= F.col("inner_total") * threshold)
-        pairs = rare.select("it", "gram").join(og.select("ot", "gram"), "gram").select("it", "ot").distinct()
-        joined = exploded(pairs.join(ib, "it"), "it", "ot").join(og, ["ot", "gram"])
+        line = Window.partitionBy("it")
+        rows = ig.join(reach, "gram").withColumn("budget", F.sum("inner_n").over(line) - F.col("inner_total") * threshold)
+        before = F.sum("inner_n").over(line.orderBy("reach", "gram").rowsBetween(Window.unboundedPreceding, 0)) - F.col("inner_n")
+        rare = rows.filter("budget >= 0").withColumn("before", before).filter("before <= 2 * budget").withColumn("held", F.sum("inner_n").over(line))
+        pairs = (
+            rare.select("it", "gram", "inner_n", (F.col("held") - F.col("budget")).alias("need"))
+            .join(og.select("ot", "gram"), "gram").groupBy("it", "ot")
+            .agg(F.sum("inner_n").alias("got"), F.first("need").alias("need")).filter("got >= need").select("it", "ot"))
+        texts = pairs.join(im.toDF("it", "ip", "il"), "it").join(om.toDF("ot", "op", "ol"), "ot")
+        scored = pair_overlaps(spread_by(texts, F.xxhash64("it")))
     else:
-        joined = exploded(ib, "it").join(og, "gram")
-    return (
-        joined.groupBy("it", "ot")
-        .agg(F.sum("inner_n").alias("inner_shared"), F.first("inner_total").alias("inner_total"),
-             F.sum("outer_n").alias("outer_shared"), F.first("outer_total").alias("outer_total"))
-        .filter(F.col("inner_shared") >= F.col("inner_total") * threshold)
-    )
+        # Grams of a text meet in one task before the join, so the sums per pair need no shuffle of the joined rows.
+        scored = spread_by(ig, "it").join(og, "gram").groupBy("it", "ot").agg(
+            F.sum("inner_n").alias("inner_shared"), F.first("inner_total").alias("inner_total"),
+            F.sum("outer_n").alias("outer_shared"), F.first("outer_total").alias("outer_total"))
+    return scored.filter(F.col("inner_shared") >= F.col("inner_total") * threshold)
 
 
 def coverage() -> Column:

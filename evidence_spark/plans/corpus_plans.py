@@ -257,18 +257,18 @@ def c11(t: Tables):
 
 
 TURNS_SELF = f"""d AS (SELECT text, min(conv_id * 1000 + turn) AS id, count(*) AS times FROM conversations WHERE role = 'user' GROUP BY text), {grams_sql('g', 'd', 'id', 'text')}, tt AS (SELECT id, sum(n)::BIGINT AS t FROM g GROUP BY ALL),
- pr AS (SELECT x.id AS a, y.id AS b, sum(x.n)::BIGINT AS s FROM g x JOIN g y USING (gram) GROUP BY ALL), ln AS (SELECT a, b FROM pr JOIN tt ON id = a WHERE a <> b AND s >= t * 0.85::DOUBLE), u AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln),
+ pr AS (SELECT x.id AS a, y.id AS b, sum(x.n)::BIGINT AS s FROM g x JOIN g y USING (gram) GROUP BY ALL), ln AS (SELECT a, b FROM pr JOIN tt ON id = a WHERE a <> b AND s >= t * 0.8::DOUBLE), u AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln),
  w(node, reach) AS (SELECT a, a FROM u UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.reach), cc AS (SELECT node, min(reach) AS comp FROM w GROUP BY node)"""
 
 
 @query("c10_suggest_nodes", f"WITH RECURSIVE {TURNS_SELF} SELECT comp AS cluster, sum(times)::BIGINT AS times, count(*) AS phrasings FROM d JOIN cc ON node = id GROUP BY comp HAVING sum(times) >= 3 AND count(*) >= 2")
 def c10(t: Tables):
-    return C.suggest_nodes(t.user_turns().select((F.col("conv_id") * 1000 + F.col("turn")).alias("u"), "text"), 0.85)
+    return C.suggest_nodes(t.user_turns().select((F.col("conv_id") * 1000 + F.col("turn")).alias("u"), "text"), 0.8)
 
 
 @query("w10_repeat_unknown", f"WITH RECURSIVE {TURNS_SELF} SELECT comp AS cluster, sum(times)::BIGINT AS times, count(*) AS phrasings FROM d JOIN cc ON node = id GROUP BY comp HAVING sum(times) >= 2 AND count(*) >= 2")
 def w10(t: Tables):
-    return C.suggest_nodes(t.user_turns().select((F.col("conv_id") * 1000 + F.col("turn")).alias("u"), "text"), 0.85, min_n=2)
+    return C.suggest_nodes(t.user_turns().select((F.col("conv_id") * 1000 + F.col("turn")).alias("u"), "text"), 0.8, min_n=2)
 
 
 SENSES_SQL = """sn AS (SELECT string_split(p_name, ' ')[2] AS word, p_partkey AS sense, lower(p_name || ' ' || p_type || ' ' || p_brand) AS definition, string_split(p_name, ' ')[1] AS genus FROM part)"""

@@ -195,7 +195,7 @@ def g11(t: Tables):
    UNION SELECT plan, step, 99 FROM s WHERE p < 20),
  bad AS (SELECT DISTINCT n.plan FROM n LEFT JOIN s ON s.plan = n.plan AND s.step = n.needs WHERE s.step IS NULL),
  w(plan, step, level) AS (SELECT DISTINCT s.plan, s.step, 0 FROM s UNION SELECT n.plan, n.step, level + 1 FROM w JOIN n ON n.plan = w.plan AND n.needs = w.step WHERE level < 20)
- SELECT plan, step, max(level) AS level FROM w WHERE plan NOT IN (SELECT plan FROM bad) GROUP BY ALL""")
+ SELECT plan, step, max(level) AS level FROM w WHERE plan NOT IN (SELECT plan FROM bad) AND plan NOT IN (SELECT plan FROM w WHERE level >= 20) GROUP BY ALL""")
 def l3(t: Tables):
     s = t.lineitem.select(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("step"), F.col("l_partkey").alias("p"), F.col("l_shipdate").alias("d")).distinct()
     o = s.select("plan", F.col("step").alias("needs"), F.col("p").alias("p2"), F.col("d").alias("d2"))

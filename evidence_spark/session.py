@@ -51,14 +51,21 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, per_task: int = 32 << 20, by: tuple[str, ...] = ()) -> DataFrame:
-    """Text smaller than the cluster (one file, or shuffle output that would be merged into few tasks) is spread over
-    all cores before heavy per-row work; big inputs split by themselves and are left alone."""
+def width(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, per_task: int = 32 << 20) -> DataFrame:
+    """A text table whose single file is smaller than the cluster is spread over its cores before heavy per-row work;
+    big tables split by themselves and are left alone.  Pruning and filters still reach the scan."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *by) if size < cores * per_task else df
+    return df.repartition(cores) if size < cores * per_task else df
+
 
+def spread_by(df: DataFrame, *keys) -> DataFrame:
+    """Rows spread over the configured number of shuffle partitions, by key.
 
-def spread_by(df: DataFrame, *keys: str) -> DataFrame:
-    """The same, keeping rows of a key together so that a later aggregation by it needs no further shuffle."""
-    return spread(df, by=keys)
+    An explicit count keeps AQE from merging few bytes into few tasks when each byte still costs much work, and the
+    key lets a later aggregation by it go without a further shuffle."""
+    return df.repartition(width(df.sparkSession), *keys)
