@@ -301,13 +301,13 @@ def calibrate(own: DataFrame, leaks: DataFrame, a_min: float = W.A_MIN) -> DataF
     hist = own.groupBy("score").agg(F.count("*").alias("n"))
     total = own.agg(F.count("*").alias("total"))
     # Distinct scores are bounded by the rounding of the scores (at most one per 1e-6).
-    steps = hist.crossJoin(F.broadcast(total)).withColumn(
+    steps = hist.join(F.broadcast(total)).withColumn(
         "upto", F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)))
     pick = steps.filter(F.col("upto") > F.floor(F.col("total") / 20)).agg(
         F.min("score").alias("low"), F.max("total").alias("n"))
     worst = leaks.filter(F.col("score") >= a_min).agg(F.max("score").alias("leak"))
     ok = F.round(F.greatest(F.lit(0.30), F.col("low") - 0.02), 2)
-    return pick.crossJoin(worst).select(
+    return pick.join(F.broadcast(worst)).select(
         "n", ok.alias("ok_min"),
         F.round(F.least(ok - 0.05, F.coalesce(F.col("leak") + 0.01, F.lit(a_min))), 2).alias("a_min"))
 

@@ -79,14 +79,15 @@ def latency_summary(cases: DataFrame, by: Sequence[str], value: str) -> DataFram
         F.max(value).alias("max"), F.count("*").alias("cases"))
 
 
-def bucketed_digest(df: DataFrame, row: Column, buckets: int = 4096) -> DataFrame:
+def bucketed_digest(df: DataFrame, row: Column) -> DataFrame:
     """One digest of all rows, independent of their order.
 
-    Rows are hashed, split by the hash over ``buckets`` groups, each group folds its sorted row hashes; the few
-    bucket digests are folded last.  To keep hot buckets impossible the bucket is part of the hash itself.
+    Rows are hashed and equal rows counted; digests then fold in three levels by hash prefix (six and three hex digits,
+    then all), so a group holds one row in sixteen million of the distinct rows, and later at most 4096 digests.
     """
-    hashed = df.select(F.sha2(row, 256).alias("h"))
-    counts = hashed.groupBy("h").agg(F.count("*").alias("n"))
-    folded = counts.groupBy(F.conv(F.substring("h", 1, 3), 16, 10).cast("int").alias("bucket")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", F.col("n").cast("string")))), ","), 256).alias("digest"))
-    return folded.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), ","), 256).alias("digest"))
+    hashed = df.select(F.sha2(row, 256).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    level = hashed.select(F.col("h").alias("key"), F.concat_ws(":", "h", F.col("n").cast("string")).alias("digest"))
+    for digits in (6, 3, 0):
+        folded = F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256)
+        level = level.groupBy(F.substring("key", 1, digits).alias("key")).agg(folded.alias("digest"))
+    return level.select("digest")

@@ -17,7 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_readers(spark):
     root = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     (root / "g").mkdir()
-    (root / "g" / "bill.kg").write_text('role: split\n[concepts]\nshare: "each pays" | "split it"  # note\nbill@receipt: "the bill"\n[edges]\nbill -proves-> share, total\n')
+    (root / "g" / "bill.txt").write_text('role: split\n[concepts]\nshare: "each pays" | "split it"  # note\nbill@receipt: "the bill"\n[edges]\nbill -proves-> share, total\n')
     g = RD.read_graphs(spark, str(root / "g"))
     assert {(r.src, r.rel, r.dst) for r in g["edge"].collect()} == {("bill", "proves", "share"), ("bill", "proves", "total")}
     assert [r.phrase for r in g["alias"].filter("node_id = 'share'").orderBy("ord").collect()] == ["each pays", "split it"]
