@@ -202,7 +202,7 @@ def sentences(c: Column, lo: int = 20, hi: int = 380) -> Column:
 
 def complete_sentences(c: Column) -> Column:
     """Distinct sentences of at least 12 characters that end in terminal punctuation, in order."""
-    found = F.regexp_extract_all(c, F.lit(r"[^.!?。！？\n]{12,}[.!?。！？](?=\s|$)"), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(r"[^.!?。！？\n]{12,}+[.!?。！？](?=\s|$)"), F.lit(0))
     clean = F.transform(found, lambda s: sanitize(s, 1500))
     return F.array_distinct(F.filter(clean, lambda s: ~s.endswith("...") & ~s.endswith("…")))
 

@@ -128,7 +128,8 @@ def p10(t: Tables):
   c AS (SELECT doc_id, {sanitize_sql('raw', 1500)} AS sentence FROM s)
   SELECT DISTINCT doc_id, sentence FROM c WHERE NOT ends_with(sentence, '...') AND NOT ends_with(sentence, '…')""")
 def p10b(t: Tables):
-    return t.documents.select("doc_id", F.explode(T.complete_sentences(F.col("text"))).alias("sentence"))
+    rows = t.documents.select("doc_id", F.explode_outer(T.complete_sentences(F.col("text"))).alias("sentence"))
+    return rows.filter(F.col("sentence").isNotNull())
 
 
 # Words with a Hangul ending made from the given text, so that suffixes occur.
