@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, lz_fingerprint, packed_ids, piece_count
+from . import byte_bpe, chat_collapse, lz_fingerprint, packed_ids, piece_count, poisson_mix
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op3_chat_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_collapse.chat_texts(table(spark, folder, "conversations"))
+
+
+@query
+def op4_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return poisson_mix.mix(table(spark, folder, "documents"))
+
+
+ORACLES["op3_chat_collapse"] = chat_collapse.ORACLE
+ORACLES["op4_poisson_mix"] = poisson_mix.oracle(columns="doc_id, text, lang, source, n_chars")
+
+
 @query
 def op6_lz_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return lz_fingerprint.fingerprints(table(spark, folder, "documents"))
