@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, name: str = "evidence_spark") -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
