@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_collapse, lz_fingerprint, packed_ids, piece_count, poisson_mix
+from . import byte_bpe, chat_collapse, lz_fingerprint, ngram_join, packed_ids, piece_count, poisson_mix
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"), words=4, num=85)
+
+
 @query
 def op3_chat_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return chat_collapse.chat_texts(table(spark, folder, "conversations"))
