@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_collapse, lz_fingerprint, ngram_join, packed_ids, piece_count, poisson_mix
+from . import byte_bpe, chat_collapse, embed_forest, lz_fingerprint, ngram_join, packed_ids, piece_count, poisson_mix
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,11 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"), words=4, num=85)
 
 
+@query
+def op2_embed_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_forest.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query
 def op3_chat_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return chat_collapse.chat_texts(table(spark, folder, "conversations"))
