@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_collapse, embed_forest, lz_fingerprint, ngram_join, packed_ids, piece_count, poisson_mix
+from . import byte_bpe, chat_collapse, cotrain, embed_forest, lang_kn, lz_fingerprint, ngram_join, packed_ids, piece_count, poisson_mix
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +51,14 @@ ORACLES["op3_chat_collapse"] = chat_collapse.ORACLE
 ORACLES["op4_poisson_mix"] = poisson_mix.oracle(columns="doc_id, text, lang, source, n_chars")
 
 
+@query
+def op5_lang_kn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learn = docs.filter(~lang_kn.is_held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "lang", "text")
+    found = lang_kn.predict(docs, lang_kn.fit(learn))
+    return found.select("doc_id", lang_kn.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 @query
 def op6_lz_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return lz_fingerprint.fingerprints(table(spark, folder, "documents"))
@@ -66,6 +75,12 @@ def op8_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     return packed_ids.packed_ids(spark, table(spark, folder, "documents"), JSON)
 
 
+@query
+def op9_cotrain(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return cotrain.score(docs, cotrain.fit(docs, table(spark, folder, "labels")))
+
+
 @query
 def op10_piece_count(spark: SparkSession, folder: str) -> DataFrame:
     return piece_count.token_counts(table(spark, folder, "documents"), PIECES)
