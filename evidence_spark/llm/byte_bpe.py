@@ -19,10 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, UnitCache, map_batches
-
-#: A unit is cut where the split pattern always cuts: before the last white space ahead of a word.
-UNIT = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
+from .common import UNIT, UnitCache, map_batches
 
 # Letters and numbers that the regex module knows and the tokenizer library, being older, does not.
 NEWER = (
@@ -50,6 +47,8 @@ class ByteBpe:
         self.ranks = ranks
         self.words = {rank: word for word, rank in ranks.items()}
         self.length = {rank: len(word) for word, rank in ranks.items()}
+        #: The longest entry that an entry begins with, other than itself.
+        self.shorter = {rank: next((ranks[word[:k]] for k in range(len(word) - 1, 0, -1) if word[:k] in ranks), None) for word, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.kind = "H" if max(ranks.values(), default=0) < 1 << 16 else "I"
         self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -116,29 +115,26 @@ class ByteBpe:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        size, length, compatible = len(word), self.length, self._compatible
-        here: list[list[int]] = [[] for _ in range(size)]  # entries by where they start, shortest first
+        size, length, shorter, compatible = len(word), self.length, self.shorter, self._compatible
+        longest = [-1] * size  # the longest entry from each position; every single byte is one
         for end, rank in self.found.iter(word.decode("latin-1")):
-            here[end + 1 - length[rank]].append(rank)
-        closed, out, tried, at = bytearray(size + 1), [], [], 0
-        choice = len(here[0]) - 1
-        while at < size:
-            options = here[at]
-            while choice >= 0:
-                rank = options[choice]
-                if not closed[at + length[rank]] and (not out or compatible(out[-1], rank)):
-                    break
-                choice -= 1
-            if choice >= 0:
+            longest[end + 1 - length[rank]] = rank
+        closed, out, at = bytearray(size + 1), [], 0
+        rank = longest[0]
+        while True:
+            while rank is not None and (closed[at + length[rank]] or out and not compatible(out[-1], rank)):
+                rank = shorter[rank]
+            if rank is None:
+                closed[at] = 1
+                last = out.pop()
+                at -= length[last]
+                rank = shorter[last]
+            else:
                 out.append(rank)
-                tried.append(choice)
                 at += length[rank]
-                choice = len(here[at]) - 1 if at < size else 0
-            else:
-                closed[at] = 1
-                at -= length[out.pop()]
-                choice = tried.pop() - 1
-        return out
+                if at == size:
+                    return out
+                rank = longest[at]
 
     def pieces(self, text: str) -> list[str]:
         """The matches of the split pattern, cut as the library's older tables of letters would."""
@@ -182,8 +178,10 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     """(id_col, ids, decoded binary): the bytes of each list of ids; a null list has no bytes."""
 
     def run(batch: pa.RecordBatch) -> list:
-        bpe = coder(path, pattern)
-        return [batch.column(0), batch.column(1), [bpe.decode(ids or ()) for ids in batch.column(1).to_pylist()]]
+        bpe, lists = coder(path, pattern), batch.column(1)
+        ends = [0, *np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()]
+        ids = lists.flatten().to_numpy().tolist()
+        return [batch.column(0), lists, [bpe.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]]
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")), run, "id long, ids array<int>, decoded binary", 1000).withColumnRenamed("id", id_col)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -17,6 +18,13 @@ from ..session import materialize
 # The white space of Unicode, as the tokenizer libraries take it.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: A run of letters up to punctuation, or any run of one kind of white space or none: the split patterns of byte-level
+#: tokenizers cut at all of these borders too, whatever stands around them.
+UNIT = re.compile(
+    f" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]++(?=[!-/:-@\\[-`{{-~{WHITE_SPACE}]|$)"
+    f"| ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
+)
+
 CACHED_UNITS = 400_000
 CACHED_LENGTH = 48
 
@@ -70,20 +78,28 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str
 
 
 class UnitCache(dict):
-    """Results for short units of text that come again and again; it starts anew when it is full."""
+    """Results for short units of text that come again and again.
+
+    When it is full it starts anew and keeps what it had for one more round, from which what is asked for comes back."""
 
     def __init__(self, make: Callable[[str], object], most: int = CACHED_UNITS):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, unit: str):
-        value = self.make(unit)
+        value = self.old.get(unit)
+        if value is None:
+            value = self.make(unit)
         if len(unit) <= CACHED_LENGTH:
-            if len(self) >= self.most:
-                self.clear()
-            self[unit] = value
+            self.put(unit, value)
         return value
 
+    def put(self, unit: str, value: object) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = value
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges``: (id, component), component = smallest id; only linked ids appear.
