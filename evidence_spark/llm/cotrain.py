@@ -23,8 +23,9 @@ from .common import in_arrow
 
 LABELLED, POOL = 8000, 8000
 ROUNDS, GROW, SURE = 3, 400, 0.98
-#: The share of good labelled rows that may fall below the cut, if any do at one half.
-CLEAN_LOSS = 0.001
+#: A document goes if it is good with a lower probability than this; lower still, if more than this share of the good
+#: labelled rows kept aside would go.
+CUT, CLEAN_LOSS = 0.2, 0.001
 PAIRS = 32
 META = ("source", "lang", "n_chars")
 _KINDS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:", b"!?", b"|", b"#$%&*@^~+=<>", b"()[]{}/\\_-\"'`", bytes(range(128, 256)))
@@ -108,7 +109,7 @@ class CoTrained:
 
     def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray):
         self.blank = len(set(y[~aside])) < 2 or len(set(y[aside])) < 2
-        self.cut, self.added = 0.5, [0, 0]
+        self.cut, self.added = CUT, [0, 0]
         if self.blank:
             return
         views, pools = (text[~aside], meta[~aside]), (pool_text, pool_meta)
@@ -134,7 +135,7 @@ class CoTrained:
         self.scales = [Logistic(logits[:, [v]], y[aside]) for v in (0, 1)]
         self.joint = Logistic(self._calibrated(logits), y[aside])
         scores = sigmoid(self.joint.logit(self._calibrated(logits)))
-        self.cut = min(0.5, float(np.quantile(scores[y[aside] > 0.5], CLEAN_LOSS)))
+        self.cut = min(CUT, float(np.quantile(scores[y[aside] > 0.5], CLEAN_LOSS)))
 
     def _calibrated(self, logits: np.ndarray) -> np.ndarray:
         return np.column_stack([self.scales[v].logit(logits[:, [v]]) for v in (0, 1)])
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     made = in_arrow(sample.select("y", aside.alias("aside"), "text", *names), run, "y double, aside boolean, x array<float>, m array<float>").toArrow()
     y = np.array([np.nan if v is None else v for v in made.column("y").to_pylist()], np.float64)
     set_aside = np.array([bool(v) for v in made.column("aside").to_pylist()], bool)
-    grid = lambda name: np.array(made.column(name).to_pylist(), np.float64).reshape(len(y), -1)
+    grid = lambda name: np.array(made.column(name).to_pylist(), np.float64).reshape(len(y), -1 if len(y) else 1)
     text, meta = grid("x"), grid("m")
     known = ~np.isnan(y)
     return CoTrained(text[known], meta[known], y[known], set_aside[known], text[~known], meta[~known])
