@@ -95,12 +95,14 @@ def concept_stats(postings: DataFrame, titles: DataFrame, min_freq: int = 2, min
     return rows.filter(keep).select("term", "freq", "doc_count", "weight", "titled")
 
 
-def cooccurrence(postings: DataFrame, min_count: int = 2, cap: int = 60) -> DataFrame:
-    """(a, b, n): term pairs of the same passage, over at most ``cap`` terms of it in alphabetical order (a rule of the
-    operator that keeps one passage from dominating), seen at least ``min_count`` times."""
-    w = Window.partitionBy("doc_id", "passage").orderBy("term")
-    capped = postings.select("doc_id", "passage", "term").distinct().withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap)
-    pairs = pairs_within(capped.drop("rn"), ["doc_id", "passage"])
+def cooccurrence(postings: DataFrame, min_count: int = 2, cap: int | None = None) -> DataFrame:
+    """(a, b, n): term pairs of the same passage, seen at least ``min_count`` times; with ``cap`` over at most so many terms
+    of a passage, in alphabetical order."""
+    terms = postings.select("doc_id", "passage", "term").distinct()
+    if cap is not None:
+        w = Window.partitionBy("doc_id", "passage").orderBy("term")
+        terms = terms.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap).drop("rn")
+    pairs = pairs_within(terms, ["doc_id", "passage"])
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
 
 
@@ -270,23 +272,28 @@ def demand_terms(questions: DataFrame, vocab: DataFrame) -> DataFrame:
     return missing.groupBy("term").agg(F.count("*").alias("times"), F.min_by("q", "seq").alias("example"))
 
 
-def import_node_link(nodes: DataFrame, links: DataFrame, max_n: int = 1200, texts: int = 4) -> tuple[DataFrame, DataFrame]:
-    """First ``max_n`` named nodes (pos, name, texts ARRAY) with at most ``texts`` distinct texts, and the links between
-    them: the limits are part of the import format."""
-    kept = nodes.filter(F.col("name").isNotNull() & (F.col("pos") < max_n)).select("pos", "name", F.slice(F.array_distinct("texts"), 1, texts).alias("texts"))
+def import_node_link(nodes: DataFrame, links: DataFrame, max_n: int | None = None, texts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Named nodes (pos, name, texts ARRAY) with their distinct texts, and the links between them; with ``max_n`` the
+    first nodes only, with ``texts`` so many texts of each."""
+    kept = nodes.filter(F.col("name").isNotNull())
+    kept = kept.filter(F.col("pos") < max_n) if max_n is not None else kept
+    own = F.array_distinct("texts")
+    kept = kept.select("pos", "name", (own if texts is None else F.slice(own, 1, texts)).alias("texts"))
     names = kept.select("name").distinct()
     edges = links.join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "dst"), "dst", "left_semi")
     return kept, edges
 
 
-def expand_synonyms(lines: DataFrame, hypernym: DataFrame, rounds: int = 2, cap: int = 200) -> DataFrame:
-    """(node, phrase): phrases with hypernym words replaced by their hyponyms, up to ``rounds`` times; a node that
-    already has more than ``cap`` phrases takes no further round.  lines(node, phrase), hypernym(lower, upper)."""
+def expand_synonyms(lines: DataFrame, hypernym: DataFrame, rounds: int = 2, cap: int | None = None) -> DataFrame:
+    """(node, phrase): phrases with hypernym words replaced by their hyponyms, up to ``rounds`` times; with
+    ``cap`` a node that already has more phrases takes no further round.  lines(node, phrase), hypernym(lower, upper)."""
     net = hypernym.select("lower", "upper").distinct()
     all_, new = lines.select("node", "phrase").distinct(), lines.select("node", "phrase").distinct()
     for _ in range(rounds):
-        busy = all_.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("node")
-        words = new.join(busy, "node", "left_anti").select("node", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("upper"))
+        if cap is not None:
+            busy = all_.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("node")
+            new = new.join(busy, "node", "left_anti")
+        words = new.select("node", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("upper"))
         hit = words.join(net, "upper").select("node", F.array_join(F.transform(F.split("phrase", " "), lambda w: F.when(w == F.col("upper"), F.col("lower")).otherwise(w)), " ").alias("phrase"))
         new = hit.distinct().join(all_, ["node", "phrase"], "left_anti")
         all_ = all_.unionByName(new)

@@ -13,7 +13,7 @@ def definition_lookup(questions: DataFrame, defs: DataFrame) -> DataFrame:
     both = F.col("question").rlike(two)
     q = questions.select("question", F.when(both, F.regexp_extract("question", two, 1)).otherwise(F.regexp_extract("question", one, 1)).alias("a"),
                          F.when(both, F.regexp_extract("question", two, 2)).alias("b"))
-    key = defs.select(F.lower(F.trim("term")).alias("term"), "definition").dropDuplicates(["term"])
+    key = defs.groupBy(F.lower(F.trim("term")).alias("term")).agg(F.min("definition").alias("definition"))
     j = q.join(key.select(F.col("term").alias("ka"), F.col("definition").alias("def_a")), F.lower(F.trim("a")) == F.col("ka"), "left")
     j = j.join(key.select(F.col("term").alias("kb"), F.col("definition").alias("def_b")), F.lower(F.trim("b")) == F.col("kb"), "left")
     return j.withColumn("answered", F.col("def_a").isNotNull() & (F.col("b").isNull() | F.col("def_b").isNotNull()))

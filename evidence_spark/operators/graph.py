@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..session import materialize
 from .fixpoint import frontier_loop
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(seed, node): nodes reachable from each seed over edges(src, dst); the seed itself only if on a cycle."""
     e = edges.select("src", "dst").distinct()
     start = seeds.select("seed", "node").join(e, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))
@@ -20,7 +21,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> Data
         ["seed", "node"], max_rounds, "reach")
 
 
-def hop_distance(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
+def hop_distance(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(seed, node, hops): shortest hop counts, the seed at 0."""
     e = edges.select("src", "dst").distinct()
     return frontier_loop(
@@ -39,7 +40,7 @@ def counters(forward: DataFrame, negative: DataFrame, nodes: DataFrame, goals: D
     return hit.join(to_goal.withColumnRenamed("node", "counter"), "counter", "left_semi")
 
 
-def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, comp): connected components of undirected pairs(a, b), named by their smallest node.
 
     Star contraction: every node points at the smallest neighbour of its current group, then pointers are followed
@@ -47,7 +48,7 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = materialize(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "cc-edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "cc")
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         merged = labels.join(near, "node").select("node", "comp", F.least("comp", "m").alias("next"))
         # Hook: what a node learns, its old root learns too.
@@ -58,7 +59,6 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after.filter("comp <> old").isEmpty():
             return after.select("node", "comp")
         labels = after.select("node", "comp")
-    raise RuntimeError("components: more rounds needed")
 
 
 def requirements(edges: DataFrame, goals: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def requirements(edges: DataFrame, goals: DataFrame) -> DataFrame:
         edges.graph_id, F.col("src").alias("req")).distinct()
 
 
-def assign_evidence(pairs: DataFrame, reqs: DataFrame, axioms: DataFrame, max_rounds: int = 200) -> DataFrame:
+def assign_evidence(pairs: DataFrame, reqs: DataFrame, axioms: DataFrame) -> DataFrame:
     """(graph_id, req, ev): maximum matching of evidence to requirements per graph, all graphs at once.
 
     pairs(graph_id, ev, req), reqs(graph_id, req), axioms(graph_id, req).  A greedy start is improved along shortest
@@ -77,10 +77,10 @@ def assign_evidence(pairs: DataFrame, reqs: DataFrame, axioms: DataFrame, max_ro
     e = materialize(pairs.join(reqs, ["graph_id", "req"], "left_semi").select("graph_id", "ev", "req").distinct(), "match-edges")
     by_req = e.groupBy("graph_id", "req").agg(F.min("ev").alias("ev"))
     m = materialize(by_req.groupBy("graph_id", "ev").agg(F.min("req").alias("req")).select("graph_id", "req", "ev"), "match")
-    for _ in range(max_rounds):
+    while True:  # until no graph has an augmenting path
         free = e.select("graph_id", "ev").distinct().join(m, ["graph_id", "ev"], "left_anti")
         frontier, visited, found = free, None, None
-        for _ in range(max_rounds):
+        while True:
             hop = e.join(frontier, ["graph_id", "ev"]).groupBy("graph_id", "req").agg(F.min("ev").alias("ev"))
             if visited is not None:
                 hop = hop.join(visited.select("graph_id", "req"), ["graph_id", "req"], "left_anti")
@@ -97,7 +97,7 @@ def assign_evidence(pairs: DataFrame, reqs: DataFrame, axioms: DataFrame, max_ro
             break
         # Walk back from each free requirement: it takes its parent evidence, whose old requirement is next.
         at, flips = materialize(found, "match-end"), None
-        for _ in range(max_rounds):
+        while True:
             step = materialize(at.join(visited, ["graph_id", "req"]).select("graph_id", "req", "ev"), "match-flip")
             if step.isEmpty():
                 break
@@ -130,7 +130,7 @@ def diagnose(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, goals: DataF
     return out.na.fill(0)
 
 
-def shortest_path(edges: DataFrame, asks: DataFrame, max_hops: int = 5, skip: Sequence[str] = ()) -> DataFrame:
+def shortest_path(edges: DataFrame, asks: DataFrame, max_hops: int | None = None, skip: Sequence[str] = ()) -> DataFrame:
     """(a, b, hops, path) for asks(a, b) over edges(src, rel, dst) walked both ways; path items tell node, relation
     and direction.  Among equally short paths the smallest is kept, node by node."""
     e = edges.filter(~F.col("rel").isin(list(skip))) if skip else edges
@@ -147,38 +147,40 @@ def shortest_path(edges: DataFrame, asks: DataFrame, max_hops: int = 5, skip: Se
     return asks.join(found.withColumnRenamed("node", "b"), ["a", "b"]).select("a", "b", "hops", "path")
 
 
-def chain_root(parents: DataFrame, stop: DataFrame | None = None, max_depth: int = 12) -> DataFrame:
-    """(node, root, depth) following parents(node, parent) until no parent, a stop word or ``max_depth``; a node on a
-    cycle has no root.  The single-parent chain is walked for all nodes at once."""
+def chain_root(parents: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """(node, root, depth) following parents(node, parent) until no parent or a stop word; of several parents the
+    smallest counts; a node that runs into a cycle has no root.  All chains are walked at once: as every node of a chain
+    is walked too, a round in which no walk ends leaves only cycles."""
     p = parents.select("node", "parent")
     if stop is not None:
         p = p.join(stop.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "parent")
-    p = materialize(p.dropDuplicates(["node"]), "chain-parents")
+    p = materialize(p.groupBy("node").agg(F.min("parent").alias("parent")), "chain-parents")
     at = materialize(p.select("node", F.col("parent").alias("cur"), F.lit(1).alias("depth")), "chain")
     done = []
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         ahead = p.select(F.col("node").alias("cur"), F.col("parent").alias("up"))
         moved = materialize(at.join(ahead, "cur", "left"), "chain")
-        done.append(moved.filter("up IS NULL").select("node", F.col("cur").alias("root"), "depth"))
-        at = moved.filter("up IS NOT NULL AND up <> node").select("node", F.col("up").alias("cur"), F.lit(depth).alias("depth"))
-        if at.isEmpty():
+        ended = moved.filter("up IS NULL")
+        done.append(ended.select("node", F.col("cur").alias("root"), "depth"))
+        if ended.isEmpty():
             break
-    else:
-        done.append(at.select("node", F.col("cur").alias("root"), "depth"))
+        at = moved.filter("up IS NOT NULL").select("node", F.col("up").alias("cur"), F.lit(depth).alias("depth"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
-def neighbor_boost(scores: DataFrame, edges: DataFrame, weight: float, width: int = 64, top: int = 3) -> DataFrame:
-    """(node, boosted): score plus ``weight`` times the sum of the best ``top`` neighbour scores over ``top``, among the
-    ``width`` neighbours of lowest degree."""
+def neighbor_boost(scores: DataFrame, edges: DataFrame, weight: float, width: int | None = None, top: int = 3) -> DataFrame:
+    """(node, boosted): score plus ``weight`` times the sum of the best ``top`` neighbour scores over ``top``; with ``width``
+    only among so many neighbours of lowest degree."""
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("nb")).unionByName(
         edges.select(F.col("dst").alias("node"), F.col("src").alias("nb"))).distinct()
-    degree = both.groupBy(F.col("node").alias("nb")).agg(F.count("*").alias("deg"))
-    low = Window.partitionBy("node").orderBy("deg", "nb")
-    kept = both.join(degree, "nb").withColumn("rn", F.row_number().over(low)).filter(F.col("rn") <= width)
+    kept = both
+    if width is not None:
+        degree = both.groupBy(F.col("node").alias("nb")).agg(F.count("*").alias("deg"))
+        low = Window.partitionBy("node").orderBy("deg", "nb")
+        kept = both.join(degree, "nb").withColumn("rn", F.row_number().over(low)).filter(F.col("rn") <= width)
     nb = kept.join(scores.select(F.col("node").alias("nb"), F.col("score").alias("nb_score")), "nb")
     best = Window.partitionBy("node").orderBy(F.desc("nb_score"), "nb")
     sums = nb.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= top).groupBy("node").agg(F.sum("nb_score").alias("s"))
@@ -193,14 +195,14 @@ def causal_chain(depends: DataFrame, effects: DataFrame, causes: DataFrame) -> D
     return hit.join(near, ["seed", "hops"]).select("seed", "node", "hops")
 
 
-def topological_levels(steps: DataFrame, depends: DataFrame, max_rounds: int = 200) -> DataFrame:
+def topological_levels(steps: DataFrame, depends: DataFrame) -> DataFrame:
     """(plan, step, level): steps whose dependencies are all placed form the next level.  A plan with a cycle or a
     dependency that does not exist yields no row."""
     d = depends.select("plan", "step", "needs").distinct()
     missing = d.join(steps.select("plan", F.col("step").alias("needs")), ["plan", "needs"], "left_anti").select("plan").distinct()
     left = materialize(steps.select("plan", "step").join(missing, "plan", "left_anti").distinct(), "topo")
     placed = []
-    for level in range(max_rounds):
+    for level in count():
         waiting = d.join(left.select("plan", F.col("step").alias("needs")), ["plan", "needs"], "left_semi").select("plan", "step").distinct()
         ready = materialize(left.join(waiting, ["plan", "step"], "left_anti").withColumn("level", F.lit(level)), "topo")
         if ready.isEmpty():

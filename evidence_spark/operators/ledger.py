@@ -7,6 +7,7 @@ Rows are (ctx, seq, op, qty) with op in set / add / remove / planned / revise.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,7 +153,7 @@ def asof_last(probes: DataFrame, rows: DataFrame, key: str, value: Column, name:
     return seen.filter("_probe = 1").select(*cols, name)
 
 
-def locations(events: DataFrame, max_rounds: int = 40) -> DataFrame:
+def locations(events: DataFrame) -> DataFrame:
     """Last place per item from events(seq, item, place, where_item): a move to where another item is copies that
     item's place at that moment.  Copies of copies are resolved by pointer jumping, so rounds grow with the log of the
     longest chain."""
@@ -164,9 +165,7 @@ def locations(events: DataFrame, max_rounds: int = 40) -> DataFrame:
     links = events.join(target.select("seq", "source_seq"), "seq", "left").select(
         "seq", "item", "place", F.when(F.col("where_item").isNotNull(), F.col("source_seq")).alias("next"))
     links = materialize(links, "places")
-    for _ in range(max_rounds):
-        if links.filter(F.col("next").isNotNull()).isEmpty():
-            break
+    while not links.filter(F.col("next").isNotNull()).isEmpty():  # a copy looks back only, so this ends
         ahead = links.select(F.col("seq").alias("next"), F.col("place").alias("p2"), F.col("next").alias("n2"))
         links = materialize(links.join(ahead, "next", "left").select(
             "seq", "item", F.coalesce("place", "p2").alias("place"), F.when(F.col("place").isNull(), F.col("n2")).alias("next")), "places")
@@ -224,20 +223,23 @@ def leading_word_referent(names: DataFrame, subjects: DataFrame) -> DataFrame:
     return hits.select("name", "n", F.when(F.col("n") == 1, F.col("s")).alias("referent"))
 
 
-def action_effects(events: DataFrame, programs: DataFrame, calls: DataFrame, max_depth: int = 8) -> DataFrame:
+def action_effects(events: DataFrame, programs: DataFrame, calls: DataFrame) -> DataFrame:
     """Effect triples of events(seq, action, version, roles MAP) bound to versioned programs.
 
     programs(action, version, step, op, s, p, o) with "$role" placeholders; calls(action, version, callee,
-    callee_version) inline other programs up to ``max_depth``.  A version must match exactly.  A missing role leaves the
+    callee_version) inline other programs to any depth; calls that lead back to their program are an error.  A version must match exactly.  A missing role leaves the
     event pending; no program leaves it uninterpreted.
     """
     frames = events.select("seq", "action", "version", "roles", F.lit(0).alias("depth"))
     everything = frames
-    for depth in range(1, max_depth + 1):
+    most = calls.select("action", "version").distinct().count()  # a chain without a cycle calls each program once
+    for depth in count(1):
         frames = frames.join(calls, ["action", "version"]).select(
             "seq", F.col("callee").alias("action"), F.col("callee_version").alias("version"), "roles", F.lit(depth).alias("depth"))
         if frames.isEmpty():
             break
+        if depth > most:
+            raise ValueError("calls form a cycle")
         everything = everything.unionByName(frames)
     steps = everything.join(programs, ["action", "version"], "left")
 
@@ -296,7 +298,7 @@ def preference_choice(options: DataFrame, experiences: DataFrame) -> DataFrame:
     """Per decision the option with the best (sum of active signals, goal fit, control fit, utility), then smallest id."""
     signal = experiences.filter("active").groupBy("option").agg(F.sum("signal").alias("signal"))
     scored = options.join(signal, "option", "left").withColumn("signal", F.coalesce("signal", F.lit(0)))
-    return scored.groupBy("decision").agg(F.max_by("option", F.struct("signal", "goal_fit", "control_fit", "utility", (-F.col("option")).alias("o"))).alias("option"))
+    return scored.groupBy("decision").agg(F.min_by("option", F.struct(*(-F.col(c) for c in ("signal", "goal_fit", "control_fit", "utility")), "option")).alias("option"))
 
 
 def recall(asks: DataFrame, memory: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ Scale notes
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,11 +212,11 @@ def evidence_hits(utterances: DataFrame, aliases: DataFrame) -> DataFrame:
 def evidence_join(utterances: DataFrame, aliases: DataFrame) -> DataFrame:
     """The node of the longest alias found, one per utterance; ties go to the smaller node."""
     hits = evidence_hits(utterances, aliases)
-    best = hits.groupBy("u").agg(F.max_by("node", F.struct("caught", -F.col("node"))).alias("node"), F.max("caught").alias("caught"))
+    best = hits.groupBy("u").agg(F.min_by("node", F.struct(-F.col("caught"), "node")).alias("node"), F.max("caught").alias("caught"))
     return best
 
 
-def multi_evidence_join(utterances: DataFrame, aliases: DataFrame, max_rounds: int = 32) -> DataFrame:
+def multi_evidence_join(utterances: DataFrame, aliases: DataFrame) -> DataFrame:
     """All evidences, longest alias first, without overlaps and each node once.
 
     Every round takes the longest remaining hit of each utterance, blanks its text and drops its node.
@@ -223,19 +224,17 @@ def multi_evidence_join(utterances: DataFrame, aliases: DataFrame, max_rounds: i
     from ..session import materialize
 
     hits = materialize(evidence_hits(utterances, aliases).withColumn("rest", F.col("t")).drop("t"), "hits")
-    chosen, complete = None, False
-    for rnd in range(max_rounds):
-        best = hits.groupBy("u").agg(F.max_by(F.struct("node", "f"), F.struct("caught", -F.col("node"), "f")).alias("m"), F.max("caught").alias("caught"))
+    chosen = None
+    for rnd in count():
+        longest = hits.groupBy("u", "node").agg(F.max(F.struct("caught", "f")).alias("m"))
+        best = longest.groupBy("u").agg(F.min_by(F.struct("node", "m.f"), F.struct(-F.col("m.caught"), "node")).alias("m"), F.max("m.caught").alias("caught"))
         step = materialize(best.select("u", F.col("m.node").alias("node"), F.col("m.f").alias("taken"), "caught", F.lit(rnd).alias("round")), "taken")
         if step.isEmpty():
-            complete = True
             break
         chosen = step if chosen is None else chosen.unionByName(step)
         left = hits.join(step.select("u", F.col("node").alias("gone"), "taken"), "u").filter("node <> gone")
         left = left.withColumn("rest", F.replace("rest", F.col("taken"), F.lit(" ")))
         hits = materialize(left.filter(F.expr("contains(rest, f)")).drop("gone", "taken"), "hits")
-    if not complete and not hits.isEmpty():
-        raise RuntimeError("raise max_rounds: some utterances hold more evidences")
     empty = hits.select("u", "node", F.col("f").alias("taken"), "caught", F.lit(0).alias("round")).limit(0)
     return (chosen if chosen is not None else empty).select("u", "node", "caught", "round")
 
@@ -255,8 +254,8 @@ def null_contest(real: DataFrame, null: DataFrame, evidence: DataFrame, a_min: f
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
     """(a, b, score) rows -> pairs in which each is the other's best; ties go to the smaller partner."""
-    best_a = pairs.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
-    best_b = pairs.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a"))
+    best_a = pairs.groupBy("a").agg(F.min_by("b", F.struct(-F.col("score"), "b")).alias("b"))
+    best_b = pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("score"), "a")).alias("a"))
     return pairs.join(best_a, ["a", "b"]).join(best_b, ["a", "b"])
 
 

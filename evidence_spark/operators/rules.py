@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .fixpoint import union_all
+from .fixpoint import COMPACT, union_all
 
 Triple = tuple[str, str, str]
 
@@ -71,7 +72,7 @@ def _head(df: DataFrame, head: Triple, *extra: Column) -> DataFrame:
     return df.select("ctx", *cols, *extra)
 
 
-def closure(facts: DataFrame, rules: Sequence[Rule], denied: DataFrame | None = None, max_rounds: int = 100, proofs: bool = False) -> DataFrame:
+def closure(facts: DataFrame, rules: Sequence[Rule], denied: DataFrame | None = None, max_rounds: int | None = None, proofs: bool = False) -> DataFrame:
     """(ctx, s, p, o, round[, rule, parents]): least fixpoint of the rules over asserted facts.
 
     A denied fact is neither used nor derived.  With ``proofs`` the first proof of each derived fact is kept: the
@@ -87,7 +88,7 @@ def closure(facts: DataFrame, rules: Sequence[Rule], denied: DataFrame | None =
         known0 = known0.withColumn("rule", F.lit(None).cast("string")).withColumn("parents", F.array().cast("array<string>"))
     delta = materialize(known0, "facts")
     parts, older = [delta], []
-    for rnd in range(1, max_rounds + 2):
+    for rnd in count(1):
         known = union_all(parts)
         old = union_all(older) if older else None
         heads = []
@@ -115,11 +116,15 @@ def closure(facts: DataFrame, rules: Sequence[Rule], denied: DataFrame | None =
         delta = materialize(new.withColumn("round", F.lit(rnd)), "facts")
         if delta.isEmpty():
             return union_all(parts)
+        if max_rounds is not None and rnd > max_rounds:
+            raise RuntimeError(f"closure: more than {max_rounds} rounds needed")
         parts.append(delta)
-    raise RuntimeError("closure: more rounds needed")
+        if len(parts) >= COMPACT:
+            older = [materialize(union_all(older + parts[len(older) : -1]), "facts")]
+            parts = [*older, delta]
 
 
-def proof(derived: DataFrame, targets: DataFrame, max_rounds: int = 100) -> DataFrame:
+def proof(derived: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, fact, depth): every fact in the first proof of each target, with its greatest depth below it.
 
     ``derived`` comes from ``closure(..., proofs=True)``; premises order first when sorted by descending depth.
@@ -127,7 +132,7 @@ def proof(derived: DataFrame, targets: DataFrame, max_rounds: int = 100) -> Data
     table = derived.select(fact_id().alias("fact"), "parents")
     cur = materialize(targets.select(fact_id().alias("target"), fact_id().alias("fact"), F.lit(0).alias("depth")).distinct(), "proof")
     parts = [cur]
-    for rnd in range(1, max_rounds + 1):
+    for rnd in count(1):
         step = cur.join(table, "fact").select("target", F.explode("parents").alias("fact")).distinct().withColumn("depth", F.lit(rnd))
         cur = materialize(step, "proof")
         if cur.isEmpty():
@@ -136,11 +141,11 @@ def proof(derived: DataFrame, targets: DataFrame, max_rounds: int = 100) -> Data
     return union_all(parts).groupBy("target", "fact").agg(F.max("depth").alias("depth"))
 
 
-def closure_bundles(facts: DataFrame, rules: Sequence[Rule], proof_limit: int = 32, max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+def closure_bundles(facts: DataFrame, rules: Sequence[Rule], proof_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All independent proofs: (bundles(ctx, s, p, o, rule, premises, bundle_id), complete(ctx, complete)).
 
     facts(ctx, s, p, o, fid).  A bundle is the set of asserted fact ids a proof rests on; combining parents unites
-    their sets.  At most ``proof_limit`` bundles per fact are kept; any cut marks its context incomplete.
+    their sets.  With ``proof_limit`` at most so many bundles per fact are kept; any cut marks its context incomplete.
     """
     from pyspark.sql import Window
 
@@ -149,7 +154,7 @@ def closure_bundles(facts: DataFrame, rules: Sequence[Rule], proof_limit: int =
     base = facts.select(*key, F.lit("asserted").alias("rule"), F.array("fid").alias("premises")).withColumn("bundle_id", bid)
     bundles = delta = materialize(base.dropDuplicates(["bundle_id"]), "bundles")
     cut = None
-    for _ in range(max_rounds):
+    while True:
         made = []
         for rule in [r.check() for r in rules]:
             for i in range(len(rule.body)):
@@ -166,15 +171,20 @@ def closure_bundles(facts: DataFrame, rules: Sequence[Rule], proof_limit: int =
         # A proof of an asserted fact from that very fact adds nothing.
         both = bundles.withColumn("_new", F.lit(0)).unionByName(new.select(*bundles.columns).withColumn("_new", F.lit(1)))
         w = Window.partitionBy(*key).orderBy("_new", F.size("premises"), "bundle_id")
-        ranked = materialize(both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= proof_limit + 1), "bundles")
+        place = F.row_number().over(w) if proof_limit is not None else F.lit(0)
+        ranked = both.withColumn("_rn", place)
+        ranked = materialize(ranked.filter(F.col("_rn") <= proof_limit + 1) if proof_limit is not None else ranked, "bundles")
+        if proof_limit is None:
+            delta, bundles = ranked.filter("_new = 1").select(*bundles.columns), ranked.select(*bundles.columns)
+            if delta.isEmpty():
+                return bundles, facts.select("ctx").distinct().withColumn("complete", F.lit(True))
+            continue
         over = ranked.filter(F.col("_rn") > proof_limit).select("ctx").distinct()
         cut = over if cut is None else cut.unionByName(over)
         delta = ranked.filter((F.col("_new") == 1) & (F.col("_rn") <= proof_limit)).select(*bundles.columns)
         bundles = ranked.filter(F.col("_rn") <= proof_limit).select(*bundles.columns)
         if delta.isEmpty():
             break
-    else:
-        raise RuntimeError("closure_bundles: more rounds needed")
     complete = facts.select("ctx").distinct().join(cut.distinct().withColumn("cut", F.lit(True)), "ctx", "left").select("ctx", F.col("cut").isNull().alias("complete"))
     return bundles, complete
 

@@ -339,7 +339,7 @@ def c16(t: Tables):
     return RD.compile_cases(t.orders.select(F.col("o_orderkey").alias("case_id"), F.posexplode(made).alias("pos", "line"))).select("case_id", "kind", "value")
 
 
-@query("c17_import_node_link", """WITH n AS (SELECT p_partkey AS name FROM part WHERE p_partkey < 1200) SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT name FROM n) AND l_suppkey IN (SELECT name FROM n) GROUP BY ALL""")
+@query("c17_import_node_link", """WITH n AS (SELECT p_partkey AS name FROM part) SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT name FROM n) AND l_suppkey IN (SELECT name FROM n) GROUP BY ALL""")
 def c17(t: Tables):
     nodes = t.part.select(F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("name"), F.array("p_name", "p_type", "p_name").alias("texts"))
     _, edges = C.import_node_link(nodes, t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
@@ -372,9 +372,9 @@ def c21(t: Tables):
 
 
 @query("j16_expand_synonyms", """WITH l AS (SELECT DISTINCT p_brand AS node, p_name AS phrase FROM part), h AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS lower, string_split(p_name, ' ')[2] AS upper FROM part),
- c1 AS (SELECT node FROM l GROUP BY node HAVING count(*) <= 200), r1 AS (SELECT DISTINCT l.node, array_to_string(list_transform(string_split(phrase, ' '), lambda w: CASE WHEN w = upper THEN lower ELSE w END), ' ') AS phrase FROM l JOIN c1 USING (node) JOIN h ON list_contains(string_split(phrase, ' '), upper)),
- a1 AS (SELECT * FROM l UNION SELECT * FROM r1), n1 AS (SELECT * FROM r1 EXCEPT SELECT * FROM l), c2 AS (SELECT node FROM a1 GROUP BY node HAVING count(*) <= 200),
- r2 AS (SELECT DISTINCT n1.node, array_to_string(list_transform(string_split(phrase, ' '), lambda w: CASE WHEN w = upper THEN lower ELSE w END), ' ') AS phrase FROM n1 JOIN c2 USING (node) JOIN h ON list_contains(string_split(phrase, ' '), upper))
+ r1 AS (SELECT DISTINCT l.node, array_to_string(list_transform(string_split(phrase, ' '), lambda w: CASE WHEN w = upper THEN lower ELSE w END), ' ') AS phrase FROM l JOIN h ON list_contains(string_split(phrase, ' '), upper)),
+ a1 AS (SELECT * FROM l UNION SELECT * FROM r1), n1 AS (SELECT * FROM r1 EXCEPT SELECT * FROM l),
+ r2 AS (SELECT DISTINCT n1.node, array_to_string(list_transform(string_split(phrase, ' '), lambda w: CASE WHEN w = upper THEN lower ELSE w END), ' ') AS phrase FROM n1 JOIN h ON list_contains(string_split(phrase, ' '), upper))
  SELECT node, phrase FROM a1 UNION SELECT node, phrase FROM r2""")
 def j16(t: Tables):
     name = F.split("p_name", " ")

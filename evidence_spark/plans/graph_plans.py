@@ -152,7 +152,7 @@ def g12(t: Tables):
 
 
 @query("g8_shortest_path", """WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
- u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(a, node, hops) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier UNION SELECT w.a, u.b, hops + 1 FROM w JOIN u ON u.a = w.node WHERE hops < 4)
+ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(a, node, hops) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier UNION SELECT w.a, u.b, hops + 1 FROM w JOIN u ON u.a = w.node WHERE hops < 5)
  SELECT a, 'r' || r_regionkey AS b, min(hops) AS hops, count(DISTINCT hops) > 0 AS found FROM w JOIN region ON node = 'r' || r_regionkey GROUP BY ALL""")
 def g8(t: Tables):
     def rel(df: DataFrame, a: str, ca: str, name: str, b: str, cb: str) -> DataFrame:
@@ -161,7 +161,7 @@ def g8(t: Tables):
     e = (rel(t.customer, "c", "c_custkey", "lives_in", "n", "c_nationkey").unionByName(rel(t.supplier, "s", "s_suppkey", "based_in", "n", "s_nationkey"))
          .unionByName(rel(t.nation, "n", "n_nationkey", "part_of", "r", "n_regionkey")).unionByName(rel(t.customer, "c", "c_custkey", "same_passage", "r", "c_nationkey")))
     asks = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("a")).join(F.broadcast(t.region.select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("b"))))
-    found = G.shortest_path(e, asks, max_hops=4, skip=["same_passage"])
+    found = G.shortest_path(e, asks, skip=["same_passage"])
     return found.select("a", "b", "hops", (F.size("path") == F.col("hops")).alias("found"))
 
 
@@ -171,8 +171,7 @@ def g9(t: Tables):
     return G.chain_root(part_of(t).select(F.col("src").alias("node"), F.col("dst").alias("parent")))
 
 
-@query("g10_neighbor_boost", f"""WITH {BOUGHT_SQL}, u AS (SELECT a AS node, b AS nb FROM bw UNION SELECT b, a FROM bw), d AS (SELECT node AS nb, count(*) AS deg FROM u GROUP BY ALL),
- k AS (SELECT node, nb FROM (SELECT node, u.nb, row_number() OVER (PARTITION BY node ORDER BY deg, u.nb) AS rn FROM u JOIN d ON d.nb = u.nb) WHERE rn <= 64),
+@query("g10_neighbor_boost", f"""WITH {BOUGHT_SQL}, u AS (SELECT a AS node, b AS nb FROM bw UNION SELECT b, a FROM bw), k AS (SELECT node, nb FROM u),
  s AS (SELECT k.node, p_size::DOUBLE AS sc, row_number() OVER (PARTITION BY k.node ORDER BY p_size DESC, nb) AS r FROM k JOIN part ON p_partkey = nb), t AS (SELECT node, sum(sc) AS s FROM s WHERE r <= 3 GROUP BY node)
  SELECT p_partkey AS node, p_size::DOUBLE + 0.25::DOUBLE * (coalesce(s, 0.0) / 3) AS boosted FROM part LEFT JOIN t ON node = p_partkey""")
 def g10(t: Tables):
@@ -257,7 +256,7 @@ OFFERS = R.Rule("offers_kind", (("?s", "supplies", "?p"), ("?p", "is_a", "?k")),
 @query("r4_closure_bundles", """WITH f AS (SELECT s_nationkey AS ctx, s_suppkey, p_partkey, p_type || '/' || p_brand AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)
  SELECT ctx, 's' || s_suppkey AS s, k AS o, count(*) AS bundles, TRUE AS complete FROM f GROUP BY ALL""")
 def r4(t: Tables):
-    bundles, complete = R.closure_bundles(supplier_facts(t), [OFFERS], proof_limit=1000)
+    bundles, complete = R.closure_bundles(supplier_facts(t), [OFFERS])
     return bundles.filter("p = 'offers'").groupBy("ctx", "s", "o").agg(F.count("*").alias("bundles")).join(complete, "ctx").select("ctx", "s", "o", "bundles", "complete")
 
 
@@ -265,7 +264,7 @@ def r4(t: Tables):
  SELECT ctx, 's' || s_suppkey AS s, k AS o, count(*) AS bundles FROM f GROUP BY ALL""")
 def r5(t: Tables):
     """Withdraw what is known about the kind of small parts."""
-    bundles, _ = R.closure_bundles(supplier_facts(t), [OFFERS], proof_limit=1000)
+    bundles, _ = R.closure_bundles(supplier_facts(t), [OFFERS])
     gone = t.part.filter("p_size <= 25").select(F.concat_ws("|", F.concat(F.lit("p"), F.col("p_partkey")), F.lit("is_a"), F.concat(F.col("p_type"), F.lit("/"), F.col("p_brand"))).alias("fid"))
     return R.retract(bundles, gone).filter("p = 'offers'").select("ctx", "s", "o", "bundles")
 

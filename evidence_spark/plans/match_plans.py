@@ -273,12 +273,12 @@ def j5(t: Tables):
 def null_outcomes(t: Tables) -> DataFrame:
     """Documents labelled good are real nodes, toxic ones null classes, plain bad ones counter-examples."""
     scored = node_scores(t).join(t.labels.withColumnRenamed("doc_id", "node"), "node")
-    order = F.struct("score", (-F.col("node")).alias("o"))
+    order = F.struct(-F.col("score"), "node")
     real = scored.filter("quality = 1 AND toxic = 0").groupBy(F.col("q").alias("u")).agg(
-        F.max_by("node", order).alias("node"), F.max("score").alias("conf"))
+        F.min_by("node", order).alias("node"), F.max("score").alias("conf"))
     bad = scored.filter("quality = 0 OR toxic = 1").withColumn("is_counter", F.expr("quality = 0 AND toxic = 0"))
     null = bad.groupBy(F.col("q").alias("u")).agg(
-        F.max_by(F.struct(F.col("node").alias("null_node"), "is_counter"), order).alias("m"), F.max("score").alias("null_score")
+        F.min_by(F.struct(F.col("node").alias("null_node"), "is_counter"), order).alias("m"), F.max("score").alias("null_score")
     ).select("u", "m.null_node", "null_score", "m.is_counter")
     found = M.evidence_hits(*evidence_inputs(t)).select(F.col("node").alias("u"))
     return M.null_contest(real, null, found, W.A_MIN)
