@@ -92,3 +92,78 @@ def pair_overlaps(pairs: DataFrame) -> DataFrame:
 
     return pairs.select("it", "ot", "ip", "il", "op", "ol").mapInArrow(score, PAIR_ROWS)
 
+
+
+NODE_ROWS = "q string, source string, node string, score double"
+
+
+class QueryBlock:
+    """A bounded block of fragments as an inverted list: for each gram the fragments that hold it, with weights.
+
+    asked: rows (q, fragment number, weight), sorted by q; texts: (plain, letters, length) of each fragment."""
+
+    def __init__(self, texts: list[tuple[str, str | None, int]], asked: list[tuple[str, int, float]]):
+        bags = [bag(plain, letters) for plain, letters, _ in texts]
+        grams = np.concatenate([g for g, _ in bags])
+        order = np.argsort(grams, kind="stable")
+        owner = np.repeat(np.arange(len(bags)), [len(g) for g, _ in bags])
+        self.owner, self.weight = owner[order], np.concatenate([n for _, n in bags])[order].astype(np.float64)
+        self.grams, self.start = np.unique(grams[order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(grams)))
+        self.total = np.array([n.sum() for _, n in bags], np.float64)
+        self.length = np.array([size for _, _, size in texts])
+        names = [q for q, _, _ in asked]
+        self.first = [i for i, q in enumerate(names) if i == 0 or names[i - 1] != q]
+        self.names = [names[i] for i in self.first]
+        self.fragment = np.array([f for _, f, _ in asked])
+        self.factor = np.array([w for _, _, w in asked])
+
+    def line(self, plain: str, letters: str | None, length: int, short: int, scale: float) -> np.ndarray:
+        """Geometric score of one line against every fragment, -1 where no gram is shared."""
+        ids, n = bag(plain, letters)
+        at = np.minimum(np.searchsorted(self.grams, ids), len(self.grams) - 1)
+        hit = self.grams[at] == ids
+        at, mine = at[hit], n[hit].astype(np.float64)
+        sizes = self.count[at]
+        place = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(at) else np.empty(0, np.int64)
+        owner = self.owner[place]
+        inner = np.bincount(owner, np.repeat(mine, sizes), len(self.total))
+        outer = np.bincount(owner, self.weight[place], len(self.total))
+        score = np.sqrt((inner / float(n.sum())) * (outer / self.total))
+        if length < short:
+            score[self.length > scale * length] = 0.0
+        score[inner == 0] = -1.0
+        return score
+
+
+def block_scores(lines: DataFrame, block: QueryBlock, short: int, scale: float) -> DataFrame:
+    """(q, source, node, score): the best line of each node for each question of the block, as far as it lies in the
+    same run of lines(source, node, plain, letters, size); callers take the maximum of what the tasks return."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = block  # goes with the function: a block is bounded
+        owner, best, seen = None, None, {}
+
+        def out() -> list[pa.RecordBatch]:
+            values = np.where(best[b.fragment] < 0, -1.0, best[b.fragment] * b.factor)
+            top = np.maximum.reduceat(values, b.first)
+            there = np.flatnonzero(top >= 0)
+            names = [b.names[i] for i in there]
+            return [pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([owner[0]] * len(names), pa.string()), pa.array([owner[1]] * len(names), pa.string()), pa.array(top[there])], names=["q", "source", "node", "score"])]
+
+        for batch in batches:
+            for source, node, plain, letters, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if owner != (source, node):
+                    if owner is not None:
+                        yield from out()
+                    owner, best = (source, node), np.full(len(b.total), -1.0)
+                score = seen.get((plain, letters, size))
+                if score is None:
+                    if len(seen) >= 512:
+                        seen.clear()
+                    score = seen[plain, letters, size] = b.line(plain, letters, size, short, scale)
+                np.maximum(best, score, out=best)
+        if owner is not None:
+            yield from out()
+
+    return lines.mapInArrow(run, NODE_ROWS)

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..functions.grams import gram_rows, marked_texts, pair_overlaps
+from ..functions.grams import QueryBlock, block_scores, gram_rows, marked_texts, pair_overlaps
 from ..session import spread_by
+from .fixpoint import union_all
 
 
 def text_id(c: Column) -> Column:
@@ -106,16 +107,17 @@ def short_line_guard(line: Column, question: Column) -> Column:
     return ~((F.length(line) < W.SHORT_LINE) & (F.length(question) > W.LONG_QUESTION_SCALE * F.length(line)))
 
 
-def build_index(lines: DataFrame, per_node: int = W.INDEX_PER_NODE, budget: int = W.INDEX_BUDGET) -> DataFrame:
-    """Index lines per source: by ``priority``, at most ``per_node`` per node, then ``budget`` in all.
-
-    Both limits filter a row number directly, so Spark cuts each group before the shuffle as well.
-    """
+def build_index(lines: DataFrame, per_node: int | None = None, budget: int | None = None) -> DataFrame:
+    """Index lines per source, all of them; by ``priority`` at most ``per_node`` per node, then ``budget`` in all, where
+    these limits are given.  Both filter a row number directly, so Spark cuts each group before the shuffle as well."""
     node = Window.partitionBy("source", "node").orderBy("priority", "ord")
     source = Window.partitionBy("source").orderBy("priority", "node", "ord")
-    kept = lines.filter(F.length(F.trim("phrase")) >= 2).withColumn("in_node", F.row_number().over(node))
-    kept = kept.filter(F.col("in_node") <= per_node).withColumn("line_no", F.row_number().over(source))
-    return kept.filter(F.col("line_no") <= budget).drop("in_node")
+    kept = lines.filter(F.length(F.trim("phrase")) >= 2)
+    if per_node is not None:
+        kept = kept.withColumn("in_node", F.row_number().over(node)).filter(F.col("in_node") <= per_node).drop("in_node")
+    if budget is not None:
+        kept = kept.withColumn("line_no", F.row_number().over(source)).filter(F.col("line_no") <= budget).drop("line_no")
+    return kept
 
 
 def rare_words(index: DataFrame, max_sources: int = W.RARE_MAX_SOURCES) -> DataFrame:
@@ -125,15 +127,38 @@ def rare_words(index: DataFrame, max_sources: int = W.RARE_MAX_SOURCES) -> DataF
     return owned.join(few.select("word"), "word")
 
 
+#: Questions whose fragments make one inverted list.
+QUERY_BLOCK = 4096
+
+
 def line_scores(index: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(q, source, node, score): best line of each node against each question fragment (weighted)."""
-    pairs = coverage_pairs(index, "phrase", fragments, "fragment", 0.0, prefix=False)
-    owners = index.select("source", "node", text_id(F.col("phrase")).alias("it"), F.length("phrase").alias("len")).distinct()
-    asked = fragments.select("q", "weight", text_id(F.col("fragment")).alias("ot"), F.length("fragment").alias("q_len"))
-    best = pairs.select("it", "ot", geometric().alias("s")).join(owners, "it")
-    guard = (F.col("len") < W.SHORT_LINE) & (F.col("q_len") > W.LONG_QUESTION_SCALE * F.col("len"))
-    scored = best.join(asked, "ot").withColumn("s", F.when(guard, 0.0).otherwise(F.col("s") * F.col("weight")))
-    return scored.groupBy("q", "source", "node").agg(F.max("s").alias("score"))
+    """(q, source, node, score): best line of each node against each question fragment (weighted).
+
+    The questions are the query set: blocks of at most ``QUERY_BLOCK`` of them are made into an inverted list, which
+    every task holds while it runs over its share of the lines.  No pair of a line and a fragment becomes a row; a task
+    returns the best of each node.  A node's lines may lie in several tasks, so a node of any size spreads."""
+    plain, letters = marked_texts(F.col("phrase"))
+    share = F.pmod(F.xxhash64("phrase"), F.lit(8))
+    lines = index.select("source", "node", "phrase").repartition("source", "node", share).select(
+        F.col("source").cast("string").alias("source"), F.col("node").cast("string").alias("node"), plain.alias("plain"), letters.alias("letters"), F.length("phrase").alias("size"))
+    lines = lines.sortWithinPartitions("source", "node", "plain")
+    count = fragments.select("q").distinct().count()
+    blocks = max(1, -(-count // QUERY_BLOCK))
+    asked = fragments.withColumn("block", F.pmod(F.xxhash64(F.col("q").cast("string")), F.lit(blocks)))
+    plain, letters = marked_texts(F.col("fragment"))
+    asked = asked.select("block", F.col("q").cast("string").alias("q"), "weight", plain.alias("plain"), letters.alias("letters"), F.length("fragment").alias("size"))
+    parts = []
+    for block in range(blocks):
+        rows = sorted(asked.filter(F.col("block") == block).drop("block").collect(), key=lambda r: r.q)  # a block of questions
+        if rows:
+            texts = {t: i for i, t in enumerate(dict.fromkeys((r.plain, r.letters, r["size"]) for r in rows))}
+            found = QueryBlock(list(texts), [(r.q, texts[r.plain, r.letters, r["size"]], r.weight) for r in rows])
+            parts.append(block_scores(lines, found, W.SHORT_LINE, W.LONG_QUESTION_SCALE))
+    kinds = dict(index.dtypes) | {"q": dict(fragments.dtypes)["q"]}
+    if not parts:
+        return index.select(F.lit(None).cast(kinds["q"]).alias("q"), "source", "node", F.lit(0.0).alias("score")).limit(0)
+    best = union_all(parts).groupBy("q", "source", "node").agg(F.max("score").alias("score"))
+    return best.select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("q", "source", "node")), "score")
 
 
 def support_scores(node_scores: DataFrame) -> DataFrame:

@@ -182,12 +182,12 @@ def c5(t: Tables):
 
 
 IDX_PAIRS = f"""{INDEX_SQL}, dl AS (SELECT DISTINCT phrase FROM idx), {grams_sql('lg', 'dl', 'phrase', 'phrase')}, lt AS (SELECT phrase, sum(n)::BIGINT AS lt FROM lg GROUP BY ALL), {ITEM_GRAMS}, {PAIRS},
- cv AS (SELECT item_id AS q, node * 1000 + ord AS eid, phrase, ls::DOUBLE / lt AS coverage FROM pairs JOIN lt USING (phrase) JOIN idx USING (phrase) WHERE ls >= lt * 0.6::DOUBLE)"""
+ cv AS (SELECT item_id AS q, node * 1000000 + ord AS eid, phrase, ls::DOUBLE / lt AS coverage FROM pairs JOIN lt USING (phrase) JOIN idx USING (phrase) WHERE ls >= lt * 0.6::DOUBLE)"""
 
 
 def scored_excerpts(t: Tables, floor: float = 0.6) -> DataFrame:
-    idx = MP.index(t).withColumn("eid", F.col("node") * 1000 + F.col("ord"))
-    pairs = M.coverage_pairs(idx, "phrase", t.questions(), "question", floor, prefix=False).select("it", "ot", M.coverage().alias("coverage"))
+    idx = MP.index(t).withColumn("eid", F.col("node") * 1000000 + F.col("ord"))
+    pairs = M.coverage_pairs(idx, "phrase", t.questions(), "question", floor).select("it", "ot", M.coverage().alias("coverage"))
     return M.attach(M.attach(pairs, "it", idx, "phrase", ["eid", "phrase"]), "ot", t.questions(), "question", ["q"])
 
 

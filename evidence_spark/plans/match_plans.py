@@ -151,16 +151,14 @@ def index(t: Tables) -> DataFrame:
     return M.build_index(lines)
 
 
-INDEX_SQL = f"""{LINES_SQL}, idx AS (SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY priority, node, ord) AS line_no FROM (
-    SELECT source, doc_id AS node, ord, phrase, CASE WHEN g.doc_id IS NULL THEN 1 ELSE 0 END AS priority,
-      row_number() OVER (PARTITION BY source, l.doc_id ORDER BY ord) AS rn
-    FROM lines l LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) g USING (doc_id)) WHERE rn <= 12) WHERE line_no <= 180)"""
+INDEX_SQL = f"""{LINES_SQL}, idx AS (
+  SELECT source, doc_id AS node, ord, phrase, CASE WHEN g.doc_id IS NULL THEN 1 ELSE 0 END AS priority
+  FROM lines l LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) g USING (doc_id))"""
 
 
-@query("a4_build_index", f"WITH {INDEX_SQL} SELECT source, node, ord, priority, phrase, line_no FROM idx")
+@query("a4_build_index", f"WITH {INDEX_SQL} SELECT source, node, ord, priority, phrase FROM idx")
 def a4(t: Tables):
-    return index(t).select("source", "node", "ord", "priority", "phrase", "line_no")
+    return index(t).select("source", "node", "ord", "priority", "phrase")
 
 
 def item_fragments(t: Tables) -> DataFrame:
@@ -177,13 +175,14 @@ FRAG_SQL = rf"""fx AS (SELECT item_id AS q, text, {_BARE} AS rest, {CLAUSES_SQL}
    UNION ALL SELECT q, unnest(parts), 2 FROM fx WHERE len(parts) > 1
    UNION ALL SELECT q, CASE WHEN len(core) > 0 THEN array_to_string(core, ' ') ELSE text END, 3 FROM fx),
  frag AS (SELECT q, fragment, CASE WHEN min(o) = 0 THEN 1.0 ELSE 0.9 END::DOUBLE AS weight FROM ff GROUP BY ALL)"""
-SCORES_SQL = f"""{INDEX_SQL}, {FRAG_SQL}, dl AS (SELECT DISTINCT phrase FROM idx), {grams_sql('lg', 'dl', 'phrase', 'phrase')},
- lt AS (SELECT phrase, sum(n)::BIGINT AS lt FROM lg GROUP BY ALL), df AS (SELECT DISTINCT fragment FROM frag), {grams_sql('qg', 'df', 'fragment', 'fragment')},
- qt AS (SELECT fragment, sum(n)::BIGINT AS qt FROM qg GROUP BY ALL),
- pairs AS (SELECT fragment, phrase, sum(lg.n)::BIGINT AS ls, sum(qg.n)::BIGINT AS qs FROM lg JOIN qg USING (gram) GROUP BY ALL),
+SCORES_SQL = f"""{INDEX_SQL}, {FRAG_SQL}, dl AS MATERIALIZED (SELECT phrase, row_number() OVER () AS pid FROM (SELECT DISTINCT phrase FROM idx)), {grams_sql('lg', 'dl', 'pid', 'phrase')},
+ lt AS (SELECT pid, sum(n)::BIGINT AS lt FROM lg GROUP BY ALL), df AS MATERIALIZED (SELECT fragment, row_number() OVER () AS fid FROM (SELECT DISTINCT fragment FROM frag)), {grams_sql('qg', 'df', 'fid', 'fragment')},
+ qt AS (SELECT fid, sum(n)::BIGINT AS qt FROM qg GROUP BY ALL),
+ pids AS (SELECT fid, pid, sum(lg.n)::BIGINT AS ls, sum(qg.n)::BIGINT AS qs FROM lg JOIN qg USING (gram) GROUP BY fid, pid),
+ pairs AS (SELECT fragment, phrase, ls, qs, lt, qt FROM pids JOIN lt USING (pid) JOIN qt USING (fid) JOIN dl USING (pid) JOIN df USING (fid)),
  node_scores AS (SELECT q, source, node, max(CASE WHEN length(phrase) < 8 AND length(fragment) > 2.0 * length(phrase) THEN 0.0
     ELSE sqrt((ls::DOUBLE / lt) * (qs::DOUBLE / qt)) * weight END) AS score
-  FROM pairs JOIN lt USING (phrase) JOIN qt USING (fragment) JOIN idx USING (phrase) JOIN frag USING (fragment) GROUP BY ALL),
+  FROM pairs JOIN idx USING (phrase) JOIN frag USING (fragment) GROUP BY ALL),
  top2 AS (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, node) AS rn FROM node_scores),
  support AS (SELECT q, source, max(score) FILTER (rn = 1) AS pure, max(node) FILTER (rn = 1) AS winner,
     coalesce(max(score) FILTER (rn = 2), 0.0) AS support FROM top2 GROUP BY ALL)"""
