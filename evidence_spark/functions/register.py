@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +41,6 @@ class CharGrams:
         yield from counts.items()
 
 
-def decayed_activation(turn: pd.Series, now: pd.Series) -> float:
-    """Activation after ``now`` of a node hit in ``turn``s: only the last hit counts under the cap of one."""
-    value = 0.75 ** float(now.max() - turn.max())
-    return float(value) if value >= 0.02 else 0.0
-
-
 def passage_labels(passages, text: str, classifier=None):
     """Adds ``labels`` by a user's pandas function (Series of text -> Series of string arrays); without one nothing is guessed."""
     if classifier is None:
@@ -56,8 +49,9 @@ def passage_labels(passages, text: str, classifier=None):
 
 
 def register(spark: SparkSession) -> None:
-    """char_grams(text) as a table function, decayed_activation as an aggregate, text helpers as SQL functions."""
+    """char_grams(text) as a table function, decayed_activation(max(turn), now), text helpers as SQL functions."""
     spark.udtf.register("char_grams", F.udtf(CharGrams, returnType="gram string, n int"))
-    spark.udf.register("decayed_activation", F.pandas_udf(decayed_activation, "double", F.PandasUDFType.GROUPED_AGG))
+    # Only the last hit counts under the cap of one, so the aggregate is a function of max(turn).
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION decayed_activation(last BIGINT, now BIGINT) RETURNS DOUBLE RETURN CASE WHEN pow(0.75D, now - last) >= 0.02 THEN pow(0.75D, now - last) ELSE 0D END")
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION mask_numbers(t STRING) RETURNS STRING RETURN regexp_replace(t, '\\d+(?:\\.\\d+)?', '§')")
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION joined_text(t STRING) RETURNS STRING RETURN lower(regexp_replace(t, '[^0-9A-Za-z가-힣]', ''))")

@@ -465,7 +465,9 @@ def u5(t: Tables):
     return Q.regression_diff(t.labels.select("doc_id", (F.col("quality") == 1).alias("right")), t.documents.select("doc_id", (F.col("n_chars") < 3000).alias("right")), "doc_id")
 
 
-@query("q7_tree_hash")
+@query("q7_tree_hash", """WITH h AS (SELECT sha256(concat_ws('|', CAST(doc_id AS VARCHAR), text, lang, source)) AS h FROM documents), a AS (SELECT h AS k, h || ':' || count(*) AS d FROM h GROUP BY h),
+ b AS (SELECT substr(k, 1, 6) AS k6, sha256(string_agg(d, ',' ORDER BY d)) AS d FROM a GROUP BY k6), c AS (SELECT substr(k6, 1, 3) AS k3, sha256(string_agg(d, ',' ORDER BY d)) AS d FROM b GROUP BY k3)
+ SELECT sha256(string_agg(d, ',' ORDER BY d)) AS digest FROM c""")
 def q7(t: Tables):
     return Q.bucketed_digest(t.documents, F.concat_ws("|", F.col("doc_id").cast("string"), "text", "lang", "source"))
 
