@@ -49,12 +49,14 @@ def read_graphs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return parse_graph_lines(graph_lines(spark, path))
 
 
-def read_explain_graphs(spark: SparkSession, path: str) -> DataFrame:
-    """(graph_id, name, excerpt1, excerpt2): names and the first two excerpts of large JSON graphs, cut to 60 characters."""
+def read_explain_graphs(spark: SparkSession, path: str, width: int | None = None, multi_line: bool = True) -> DataFrame:
+    """(graph_id, name, excerpt1, excerpt2): names and the first two excerpts of JSON graphs, one in each file or, without
+    ``multi_line``, in each line; with ``width`` excerpts are cut to so many characters."""
     schema = "name STRING, nodes MAP<STRING, STRUCT<excerpts: ARRAY<STRING>>>"
-    g = spark.read.schema(schema).json(path, multiLine=True)
+    g = spark.read.schema(schema).json(path, multiLine=multi_line)
     rows = g.select(F.col("name").alias("graph_id"), F.explode("nodes").alias("name", "meta"))
-    return rows.select("graph_id", "name", *[F.substring(F.get("meta.excerpts", F.lit(i)), 1, 60).alias(f"excerpt{i + 1}") for i in (0, 1)])
+    both = [F.get("meta.excerpts", F.lit(i)) for i in (0, 1)]
+    return rows.select("graph_id", "name", *[(F.substring(e, 1, width) if width else e).alias(f"excerpt{i + 1}") for i, e in enumerate(both)])
 
 
 def read_overlay(spark: SparkSession, path: str) -> DataFrame:
@@ -63,6 +65,11 @@ def read_overlay(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED").filter("node IS NOT NULL")
 
 
+def split_overlay(overlay: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(confirmed, denied) phrases (node, phrase) of an overlay; other verdicts are in neither."""
+    return tuple(overlay.filter(F.col("verdict") == v).select("node", "phrase") for v in ("confirmed", "denied"))
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(word, sense, definition) of the nouns of an XML lexicon with <entry><word/><pos/><sense><definition/></sense>."""
     schema = "word STRING, pos STRING, sense ARRAY<STRUCT<definition: STRING>>"
@@ -70,10 +77,11 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("word", F.posexplode("sense").alias("i", "s")).select("word", (F.col("i") + 1).alias("sense"), "s.definition")
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """(id, language, n, say, label, act): one row per turn of nested dialogue JSON."""
+def read_cases(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(id, language, n, say, label, act): one row per turn of nested dialogue JSON, one in each file or, without
+    ``multi_line``, in each line."""
     turn = "n INT, say STRING, label STRING, expect STRUCT<act: STRING>"
-    rows = spark.read.schema(f"id STRING, language STRING, turns ARRAY<STRUCT<{turn}>>").json(path, multiLine=True)
+    rows = spark.read.schema(f"id STRING, language STRING, turns ARRAY<STRUCT<{turn}>>").json(path, multiLine=multi_line)
     return rows.select("id", "language", F.explode("turns").alias("t")).select("id", "language", "t.n", "t.say", "t.label", "t.expect.act")
 
 

@@ -30,7 +30,7 @@ def test_readers(spark):
     (root / "c.json").write_text(json.dumps({"id": "x", "language": "en", "turns": [{"n": 1, "say": "hi", "label": "hold", "expect": {"act": "hold"}}]}))
     assert RD.read_cases(spark, str(root / "c.json")).first()["act"] == "hold"
     (root / "e.json").write_text(json.dumps({"name": "g", "nodes": {"n": {"excerpts": ["x" * 99, "second", "third"]}}}))
-    row = RD.read_explain_graphs(spark, str(root / "e.json")).first()
+    row = RD.read_explain_graphs(spark, str(root / "e.json"), width=60).first()
     assert len(row["excerpt1"]) == 60 and row["excerpt2"] == "second"
     assert RD.content_manifest(spark, str(root / "g")).first()["lf"] == 6
 
