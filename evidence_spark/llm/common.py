@@ -20,8 +20,9 @@ WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: A run of letters up to punctuation, or any run of one kind of white space or none: the split patterns of byte-level
 #: tokenizers cut at all of these borders too, whatever stands around them.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 UNIT = re.compile(
-    f" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]++(?=[!-/:-@\\[-`{{-~{WHITE_SPACE}]|$)"
+    f" ?[{LETTERS}]++(?=[!-/:-@\\[-`{{-~{WHITE_SPACE}]|$)"
     f"| ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
 )
 

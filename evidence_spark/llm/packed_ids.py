@@ -10,6 +10,7 @@ blocks, offset of the arrays.
 from __future__ import annotations
 
 import io
+import os
 import posixpath
 import re
 import struct
@@ -17,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir
-from .common import WHITE_SPACE, UnitCache, in_arrow
+from .common import LETTERS, UNIT, UnitCache, in_arrow
 
 MAGIC = b"PACKIDS1"
 FOOTER = struct.Struct("<8s5q")
 BLOCK = 1 << 14
 READ_IDS = 1 << 20
 
-UNIT = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
+#: Byte-level files write a byte that is no printable Latin-1 character as the next character from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+WORD = re.compile(f" ?[{LETTERS}]+")
 
 
 def bits_for(size: int) -> int:
@@ -152,13 +157,15 @@ class PackReader:
 class JsonTokenizer:
     """The tokenizers library behind a cache of units.
 
-    The split of a byte-level file always cuts before the last white space ahead of a word, so units are encoded alone
-    and many at once.  A text that holds a special string, and every text of another kind of file, goes to the library
-    whole."""
+    The split of a byte-level file cuts at the borders of units, whatever stands around them, so units are encoded alone.
+    One of letters is one match of that split and goes to the library's model at once; others are encoded many at once.
+    A text that holds a special string, and every text of another kind of file, goes to the library whole.  The library
+    runs without threads of its own, as Spark has a task for each core."""
 
     def __init__(self, path: str):
         import json
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -169,19 +176,23 @@ class JsonTokenizer:
         self.special = [token["content"] for token in plan.get("added_tokens", [])]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bits = bits_for(self.size)
-        self.units = UnitCache(lambda unit: self._library([unit])[0].tobytes())
+        self.units = UnitCache(lambda unit: self._units([unit])[0])
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> list[bytes]:
+        tokenize, word = self.tokenizer.model.tokenize, WORD.fullmatch
+        others = [u for u in units if not word(u)]
+        done = iter(self._library(others) if others else ())
+        return [np.array([t.id for t in tokenize(u.encode().decode("latin-1").translate(BYTE_LEVEL))] if word(u) else next(done), np.uint32).tobytes() for u in units]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [not self.by_unit or any(s in text for s in self.special) for text in texts]
         cut = [None if w else UNIT.findall(text) for text, w in zip(texts, whole, strict=True)]
-        missing = list({u for units in cut if units for u in units} - self.units.keys())
-        if len(missing) + len(self.units) > self.units.most:
-            self.units.clear()
-            missing = list({u for units in cut if units for u in units})
-        self.units.update(zip(missing, (ids.tobytes() for ids in self._library(missing)), strict=True))
+        missing = list(set(chain.from_iterable(filter(None, cut))).difference(self.units).difference(self.units.old))
+        for unit, ids in zip(missing, self._units(missing), strict=True):
+            self.units.put(unit, ids)
         get = self.units.__getitem__
         return [self._library([text])[0] if units is None else np.frombuffer(b"".join(map(get, units)), np.uint32) for text, units in zip(texts, cut, strict=True)]
 
