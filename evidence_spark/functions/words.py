@@ -2,16 +2,18 @@
 
 # --- fixed values: English words that frame a question and carry no content ---
 ENGLISH_QUESTION_WORDS = (
-    "what when how where who why which whose is are am was were be do does did can could should would "
-    "will the a an i you me my your of to for in on tell show give explain about please s it this that "
-    "there here and or not with from at by as if so have has"
-).split()
+    "what", "when", "how", "where", "who", "why", "which", "whose", "is", "are", "am", "was", "were", "be", "do",
+    "does", "did", "can", "could", "should", "would", "will", "the", "a", "an", "i", "you", "me", "my", "your",
+    "of", "to", "for", "in", "on", "tell", "show", "give", "explain", "about", "please", "s", "it", "this", "that",
+    "there", "here", "and", "or", "not", "with", "from", "at", "by", "as", "if", "so", "have", "has",
+)
 
 # --- fixed values: Hangul particles tried as suffixes, longest first when applied ---
 KOREAN_PARTICLES = (
-    "에서는 에게서 으로는 이라는 이랑 하고 이며 라든지 든지 에서 에게 한테 부터 까지 보다 처럼 만큼 대로 "
-    "조차 마저 밖에 으로 은 는 이 가 을 를 에 의 로 와 과 도 만 랑 나"
-).split()
+    "이랑", "랑", "이라고", "라고", "이라는", "라는", "이라", "라", "이니까", "니까", "이네요", "네요", "이야", "야", "이나", "나",
+    "으로써", "로써", "으로서", "로서", "으로", "로", "은", "는", "이", "가", "을", "를", "과", "와",
+    "에서", "에게", "한테", "부터", "까지", "마다", "보다", "처럼", "에", "의", "도", "만",
+)
 
 # --- fixed values: leading fillers per language used by the sample packs ---
 FILLER_HEADS = ["well", "so", "um", "uh", "okay", "hey", "저기요", "음", "그"]
