@@ -39,6 +39,10 @@ CHECK_COST = 8
 #: Classes are looked up by a broadcast of their ids up to so many, by a shuffle beyond.
 SMALL = 1 << 20
 BITS = 1024
+#: Lists up to this size are compared row by following row, longer ones by strips; those over ``BLOCK`` are dealt out.
+SHORT, BLOCK = 32, 2048
+#: Sets up to this size are kept whole; subsets are listed of smaller ones only.
+ALL_KEPT = 64
 
 
 class Likeness:
@@ -111,7 +115,11 @@ def _lists(parts: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
 
 
 def profiles(docs: DataFrame, words: int, like: Likeness) -> DataFrame:
-    """(id, n, cls, bits, front): class, folded bits and the first shingles, twice the prefix, of each document."""
+    """(id, n, cls, bits, front): class, folded bits and the first shingles of each document: twice the prefix, all of
+    a small set."""
+
+    def front(found: np.ndarray) -> np.ndarray:
+        return found if len(found) <= ALL_KEPT else found[: 2 * like.prefix(len(found))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,96 +128,149 @@ def profiles(docs: DataFrame, words: int, like: Likeness) -> DataFrame:
                 sets = [shingles(text, words) for text in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([len(s) for s in sets]), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()),
-                     _lists([folded(s) if len(s) else np.empty(0, np.int64) for s in sets]), _lists([s[: 2 * like.prefix(len(s))] if len(s) else s for s in sets])],
+                     _lists([folded(s) if len(s) else np.empty(0, np.int64) for s in sets]), _lists([front(s) for s in sets])],
                     names=["id", "n", "cls", "bits", "front"],
                 )
 
     return in_arrow(docs, run, "id long, n long, cls long, bits array<long>, front array<long>")
 
 
-def frequent(classes: DataFrame, like: Likeness) -> np.ndarray:
+def frequent(every: DataFrame, like: Likeness) -> np.ndarray:
     """The shingles of long lists, sorted: first of all prefixes, then of what stands behind in the sets that have one.
 
     Only an order is made of them, so how many are found never changes a result."""
-    prefix = (F.col("n") - F.ceil(F.col("n") * like.num / F.lit(like.den)) + 1).cast("int")
-    counted = classes.select(F.explode(F.slice("front", F.lit(1), prefix)).alias("w"))
+    counted = every.select(F.explode(F.slice("front", F.lit(1), _prefix(like))).alias("w"))
     found = materialize(_long(counted), "frequent")
-    hot = found.select("w")
-    if hot.isEmpty():
+    if found.isEmpty():
         return np.empty(0, np.uint64)
-    side = F.broadcast(hot)  # at most MOST_FREQUENT numbers
-    more = classes.select("cls", "front", F.explode(F.slice("front", F.lit(1), prefix)).alias("w"), prefix.alias("p")).join(side, "w")
-    behind = more.groupBy("cls").agg(F.first("front").alias("front"), F.first("p").alias("p"))
-    behind = behind.select(F.explode(F.slice("front", F.col("p") + 1, F.size("front"))).alias("w"))
-    rows = found.union(_long(behind)).groupBy("w").agg(F.max("count").alias("count")).orderBy(F.desc("count"), "w").limit(MOST_FREQUENT)
+    hot = _column(found)
+    shared = every.sparkSession.sparkContext.broadcast(hot)  # at most MOST_FREQUENT numbers
+
+    def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lists = batch.column(0).to_numpy(), batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            flat = lists.flatten().to_numpy()
+            is_hot = _in(shared.value, flat.view(np.uint64))
+            parts = [flat[a + p : b] for a, b, p in zip(ends, ends[1:], map(like.prefix, n.tolist()), strict=False) if is_hot[a : a + p].any()]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], names=["w"])
+
+    more = _long(in_arrow(every.select("n", "front"), behind, "w long"))
+    return _column(found.union(more).groupBy("w").agg(F.max("count").alias("count")).orderBy(F.desc("count"), "w").limit(MOST_FREQUENT))
+
+
+def _prefix(like: Likeness) -> Column:
+    return (F.col("n") - F.ceil(F.col("n") * like.num / F.lit(like.den)) + 1).cast("int")
+
+
+def _long(shingles_of: DataFrame) -> DataFrame:
+    return shingles_of.groupBy("w").count().filter(F.col("count") > LONG_LIST).orderBy(F.desc("count"), "w").limit(MOST_FREQUENT)
+
+
+def _column(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.w for r in rows.select("w").collect()], np.int64).view(np.uint64))
 
 
-def _long(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("w").count().filter(F.col("count") > LONG_LIST).orderBy(F.desc("count"), "w").limit(MOST_FREQUENT)
+def _in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(table, values)
+    at[at == len(table)] = 0
+    return table[at] == values
 
 
-def border(classes: DataFrame, like: Likeness) -> int:
-    """The largest size up to which listing subsets costs less than scanning lists, from the data's own list lengths."""
-    lists = classes.select(F.explode("front").alias("w")).groupBy("w").count()
-    met = lists.agg(F.sum(F.least("count", F.lit(LONG_LIST)) * (F.least("count", F.lit(LONG_LIST)) - 1)).alias("met"), F.sum("count").alias("all")).first()
-    partners = (met.met or 0) / (met["all"] or 1)
+def border(every: DataFrame, like: Likeness) -> int:
+    """The largest size up to which listing subsets costs less than scanning lists, from the small sets' own lists."""
+    lists = every.filter(F.col("n") <= ALL_KEPT).select(F.explode(F.slice("front", F.lit(1), _prefix(like))).alias("w")).groupBy("w").count()
+    short = F.least("count", F.lit(LONG_LIST))
+    met = lists.agg(F.sum(short * (short - 1)).alias("met"), F.sum("count").alias("all")).first()
+    partners = (met["met"] or 0) / (met["all"] or 1)
     light = 0
-    while True:
+    while light < ALL_KEPT // 2:
         n = light + 1
-        subsets = sum(comb(n, out) for _, out in like.subsets(n, n))
-        if subsets > like.prefix(n) * (1 + CHECK_COST * partners):
-            return light
+        if sum(comb(n, out) for _, out in like.subsets(n, n)) > like.prefix(n) * (1 + CHECK_COST * partners):
+            break
         light = n
+    return light
 
 
-def entries(docs: DataFrame, words: int, like: Likeness, hot: np.ndarray, light: int) -> DataFrame:
+def entries(every: DataFrame, docs: DataFrame, words: int, like: Likeness, hot: np.ndarray, light: int) -> DataFrame:
     """(w, cls, n, pos): the keys of each document's set: shingles of its prefix with their place in the common order,
-    or subsets (place -1).  A class that a task meets again is not repeated, as far as it remembers."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    or subsets (place -1).  A class that a task meets again is not repeated, as far as it remembers.
+
+    What was kept of a set is enough unless frequent shingles fill it; then the text is read again."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(hot)
 
-    def keys(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, made, places = len(found), [], []
+    def keys(front: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Keys of a set of size ``n`` from its first shingles; None if they are too few."""
+        made, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         if n <= light:
             for m, out in like.subsets(n, light):
                 gone = np.array(list(combinations(range(n), out)), np.int64).reshape(comb(n, out), out)
-                left = found.sum(dtype=np.uint64, keepdims=True) - found[gone].sum(axis=1, dtype=np.uint64)
+                left = front.sum(dtype=np.uint64, keepdims=True) - front[gone].sum(axis=1, dtype=np.uint64)
                 made.append(mix(left + np.full(1, min(n, m) * 4096 + max(n, m), np.uint64) * _K))
                 places.append(np.full(len(left), -1, np.int64))
         if n > light or n * like.den >= (light + 1) * like.num:  # heavy, or may be linked to a heavy one
-            order, often = found, shared.value
-            if len(often):
-                at = np.searchsorted(often, found)
-                at[at == len(often)] = 0
-                is_hot = often[at] == found
-                if is_hot.any():
-                    order = np.concatenate([found[~is_hot], found[is_hot]])
-            order = order[: like.prefix(n)]
-            made.append(order)
-            places.append(np.arange(len(order)))
-        return np.concatenate([np.empty(0, np.uint64), *made]), np.concatenate([np.empty(0, np.int64), *places])
+            is_hot = _in(shared.value, front)
+            rare = front[~is_hot]
+            if len(rare) < like.prefix(n):
+                if len(front) < n:
+                    return None
+                rare = np.concatenate([rare, front[is_hot]])
+            made.append(rare[: like.prefix(n)])
+            places.append(np.arange(like.prefix(n)))
+        return np.concatenate(made), np.concatenate(places)
+
+    def rows_of(sets: Iterator[tuple[int, int, np.ndarray]], seen: set[int]) -> Iterator[pa.RecordBatch]:
+        w, cls, size, pos = [], [], [], []
+        for key, n, front in sets:
+            if key in seen or (found := keys(front, n)) is None:
+                continue
+            if len(seen) >= 500_000:
+                seen.clear()
+            seen.add(key)
+            w.append(found[0].view(np.int64))
+            pos.append(found[1])
+            cls.append(np.full(len(found[0]), key, np.int64))
+            size.append(np.full(len(found[0]), n, np.int64))
+        if w:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (w, cls, size, pos)], names=["w", "cls", "n", "pos"])
+
+    def fronts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        ends = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())]).tolist()
+        flat = batch.column(2).flatten().to_numpy().view(np.uint64)
+        for i, (key, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            yield key, n, flat[ends[i] : ends[i + 1]]
+
+    def from_fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                yield from rows_of(fronts(batch.slice(at, 2000)), seen)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def too_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [keys(front, n) is None for _, n, front in fronts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0)], names=["id", "cls"]).filter(pa.array(short, pa.bool_()))
+
+    def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                w, cls, size, pos = [], [], [], []
-                for text in batch.slice(at, 2000).column(1).to_pylist():
-                    found = shingles(text, words)
-                    if not len(found) or (key := class_key(found)) in seen:
-                        continue
-                    if len(seen) >= 500_000:
-                        seen.clear()
-                    seen.add(key)
-                    k, p = keys(found)
-                    w.append(k.view(np.int64))
-                    pos.append(p)
-                    cls.append(np.full(len(k), key, np.int64))
-                    size.append(np.full(len(k), len(found), np.int64))
-                if w:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (w, cls, size, pos)], names=["w", "cls", "n", "pos"])
-
-    return in_arrow(docs, run, "w long, cls long, n long, pos long")
+                found = (shingles(text, words) for text in batch.slice(at, 2000).column(0).to_pylist())
+                yield from rows_of(((class_key(s), len(s), s) for s in found if len(s)), seen)
+
+    schema = "w long, cls long, n long, pos long"
+    kept = every.select("cls", "n", "front", "id")
+    made = in_arrow(kept, from_fronts, schema)
+    if not len(hot):
+        return made
+    short = in_arrow(kept.filter(F.col("n") > ALL_KEPT), too_short, "id long, cls long").groupBy("cls").agg(F.min("id").alias("short_id")).select("short_id").distinct()
+    short = materialize(short, "short")
+    again = docs.join(F.broadcast(short) if short.count() <= SMALL else short, F.col("id").eqNullSafe(F.col("short_id")), "left_semi")
+    return made.union(in_arrow(again.select("text"), from_texts, schema))
 
 
 def _may_link(like: Likeness, na: Column, nb: Column, pa_: Column, pb: Column) -> Column:
@@ -224,24 +285,100 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, li
     near = pairs.join(bits.select(F.col("cls").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("cls").alias("b"), F.col("bits").alias("y")), "b")
     near = materialize(near.filter(differ <= F.col("na") + F.col("nb") - 2 * like.common(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"), "near")
     wanted = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
-    wanted = materialize(wanted.join(classes.select("cls", "id"), "cls").select("cls", "id"), "wanted")
+    wanted = materialize(wanted.join(classes, "cls").select("cls", F.col("id").alias("wanted_id")), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 keys, texts = batch.slice(at, 2000).columns
-                yield pa.RecordBatch.from_arrays([keys, _lists([shingles(t, words) for t in texts.to_pylist()])], names=["cls", "set"])
+                sets = [shingles(t, words) for t in texts.to_pylist()]
+                own = pa.array([len(s) > 0 and class_key(s) == k for k, s in zip(keys.to_pylist(), sets, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([keys, _lists(sets)], names=["cls", "set"]).filter(own)
 
-    # Several rows may have the id of a class's first row with another text; the set's own key tells.
-    sets = in_arrow(docs.join(side, "id").select("cls", "text"), run, "cls long, set array<long>")
-    sets = materialize(sets, "sets")
+    # Another row may have the id of a class's first row: only the set of the class counts, and once.
+    sets = in_arrow(docs.join(side, F.col("id").eqNullSafe(F.col("wanted_id"))).select("cls", "text"), run, "cls long, set array<long>")
+    sets = materialize(sets.groupBy("cls").agg(F.first("set").alias("set")), "sets")
     inter = F.size(F.array_intersect("x", "y")).cast("long")
     found = near.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
     found = found.withColumn("i", inter).filter(F.col("i") * like.den >= (F.col("na") + F.col("nb") - F.col("i")) * like.num)
     return materialize(found.select("a", "b"), "links")
 
 
+def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of rows of one list that are of different components and may be linked, by sizes, places and bits."""
+    na, nb = rows["n"][i], rows["n"][j]
+    most = na + nb - 2 * like.common(na, nb)
+    ok = (rows["component"][i] != rows["component"][j]) & (na * like.den >= nb * like.num) & (nb * like.den >= na * like.num)
+    ok &= (rows["pos"][i] < 0) | (rows["pos"][i] + rows["pos"][j] <= most)
+    ok &= (rows["x"][i] == rows["y"][i]) | (rows["block"][i] != rows["block"][j])
+    i, j, most = i[ok], j[ok], most[ok]
+    near = [np.bitwise_count(rows["bits"][i[k : k + 50_000]] ^ rows["bits"][j[k : k + 50_000]]).sum(axis=1) <= most[k : k + 50_000] for k in range(0, len(i), 50_000)]
+    near = np.concatenate(near) if near else np.empty(0, bool)
+    return i[near], j[near]
+
+
+def _within(rows: dict[str, np.ndarray], start: np.ndarray, like: Likeness) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Close pairs of rows of the same list; lists begin at ``start``.  Short lists are compared all at once, row by
+    following row; long ones by strips, so that memory stays bounded."""
+    total = len(rows["w"])
+    size = np.diff(np.append(start, total))
+    end = np.repeat(start + size, size)
+    short = np.repeat(size <= SHORT, size)
+    at = np.flatnonzero(short)
+    for step in range(1, int(size[size <= SHORT].max(initial=0))):
+        at = at[at + step < end[at]]
+        yield _close(rows, at, at + step, like)
+    for a, n in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+        for k in range(a, a + n, 128):
+            i, j = np.meshgrid(np.arange(k, min(k + 128, a + n)), np.arange(k + 1, a + n), indexing="ij")
+            ahead = j > i
+            yield _close(rows, i[ahead], j[ahead], like)
+
+
+def _apart(lists: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b, na, nb) of members of one list that may be linked and are not connected, from lists (w, cls, n, pos,
+    component, bits).
+
+    Pairs are formed inside tasks and only the close ones leave them.  A long list is dealt out as pairs of blocks, so
+    it spreads over tasks and no task holds more than two blocks of it."""
+    c = F.col
+    large = materialize(lists.groupBy("w").count().filter(c("count") > BLOCK), "long-lists")
+    side = F.broadcast(large) if large.count() <= SMALL else large
+    dealt = lists.join(side, "w", "left").withColumn("blocks", F.coalesce(F.ceil(c("count") / BLOCK), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), c("blocks")).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), c("blocks").cast("long") - 1)))
+    cells = dealt.select("w", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", "pos", "component", "bits")
+    names = ("w", "x", "y", "block", "cls", "n", "pos", "component")
+
+    def close(rows: dict[str, np.ndarray], start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, j in _within(rows, start, like):
+            if len(i):
+                swap = rows["cls"][i] > rows["cls"][j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["cls"][i]), pa.array(rows["cls"][j]), pa.array(rows["n"][i]), pa.array(rows["n"][j])], names=["a", "b", "na", "nb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None  # of the list that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {name: batch.column(k).to_numpy() for k, name in enumerate(names)}
+            rows["bits"] = batch.column(len(names)).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            if rest is not None:
+                rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
+            new = np.flatnonzero((rows["w"][1:] != rows["w"][:-1]) | (rows["x"][1:] != rows["x"][:-1]) | (rows["y"][1:] != rows["y"][:-1])) + 1
+            start = np.concatenate([[0], new])
+            whole = {k: v[: start[-1]] for k, v in rows.items()}
+            if len(start) > 1:
+                yield from close(whole, start[:-1])
+            rest = {k: v[start[-1] :] for k, v in rows.items()}
+        if rest is not None:
+            yield from close(rest, np.zeros(1, np.int64))
+
+    placed = cells.repartition("w", "x", "y").sortWithinPartitions("w", "x", "y")
+    return in_arrow(placed, run, "a long, b long, na long, nb long")
+
+
 def near_duplicates(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every row: the size of its set and the smallest id that links reach.
 
@@ -252,10 +389,8 @@ def near_duplicates(df: DataFrame, words: int = 5, num: int = 80, den: int = 100
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = materialize(profiles(docs, words, like), "profiles")
     some = every.filter("n > 0")
-    classes = some.groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("front").alias("front"))
-    classes = materialize(classes, "classes")
-    light = border(classes.filter("n < 64"), like)
-    keyed = entries(docs, words, like, frequent(classes, like), light)
+    classes = materialize(some.groupBy("cls").agg(F.min("id").alias("id"), F.first("bits").alias("bits")), "classes")
+    keyed = entries(some, docs, words, like, frequent(some, like), border(some, like))
     of_list = Window.partitionBy("w")
     met = keyed.repartition("w").distinct().withColumn("hub", F.min(F.struct("cls", "n", "pos")).over(of_list)).withColumn("len", F.count(F.lit(1)).over(of_list))
     met = materialize(met.filter("len > 1").select("w", "cls", "n", "pos", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "lists")
@@ -269,13 +404,7 @@ def near_duplicates(df: DataFrame, words: int = 5, num: int = 80, den: int = 100
     now = met.select("w", "cls", "n", "pos").join(joined.select(c("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     now = now.withColumn("least", F.min("component").over(of_list)).withColumn("most", F.max("component").over(of_list)).filter("least <> most")
     now = materialize(now.select("w", "cls", "n", "pos", "component"), "apart")
-    groups = now.select("w", "component").distinct()
-    two = groups.withColumnRenamed("component", "ca").join(groups.withColumnRenamed("component", "cb"), "w").filter("ca < cb")
-    side_a = now.select("w", c("component").alias("ca"), c("cls").alias("a"), c("n").alias("na"), c("pos").alias("pa"))
-    side_b = now.select("w", c("component").alias("cb"), c("cls").alias("b"), c("n").alias("nb"), c("pos").alias("pb"))
-    rest = two.join(side_a, ["w", "ca"]).join(side_b, ["w", "cb"]).filter(_may_link(like, c("na"), c("nb"), c("pa"), c("pb")))
-    swap = c("a") > c("b")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, c("nb")).otherwise(c("na")).alias("na"), F.when(swap, c("na")).otherwise(c("nb")).alias("nb")).distinct()
+    rest = _apart(now.join(classes.select("cls", "bits"), "cls"), like).distinct()
     rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")  # a hub is the smallest of its list, so a < b there too
     links = links.union(_links(docs, classes, rest, words, like))
 
