@@ -55,9 +55,14 @@ def s7(t: Tables):
     return C.split_passages(t.documents)
 
 
-@query("s8_read_procedures")
+@query("s8_read_procedures", """SELECT l_orderkey AS doc_id, 'Order ' || l_orderkey || ' > Items' AS path, 'list' AS kind, string_agg('part ' || l_partkey, ';' ORDER BY l_linenumber, l_partkey) AS steps, count(*) AS n
+ FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2""")
 def s8(t: Tables):
-    return C.read_procedures(t.documents)
+    """Every order as a document with its lines as numbered steps."""
+    items = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("i"))
+    steps = F.array_join(F.transform("i", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(". part "), x["l_partkey"].cast("string"))), "\n")
+    made = items.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("# Order "), F.col("l_orderkey").cast("string"), F.lit("\n## Items\n"), steps).alias("text"))
+    return C.read_procedures(made).select("doc_id", "path", "kind", F.array_join("steps", ";").alias("steps"), "n")
 
 
 @query("s9_content_manifest", r"""SELECT doc_id, strlen(text)::BIGINT AS bytes, sha256(text) AS sha256, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS sha256_lf,
