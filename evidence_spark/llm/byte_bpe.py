@@ -38,14 +38,19 @@ _NEWER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
 _OTHER = "\ue000"
 
 
+@cache
+def words_of(path: str) -> dict[int, bytes]:
+    """The bytes of each id of a rank file; all that decoding needs."""
+    with open(path, "rb") as file:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, file)}
+
+
 class ByteBpe:
-    """Encoder and decoder of one rank file."""
+    """Encoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.ranks = ranks
-        self.words = {rank: word for word, rank in ranks.items()}
+        self.words = words_of(path)
+        self.ranks = ranks = {word: rank for rank, word in self.words.items()}
         self.length = {rank: len(word) for word, rank in ranks.items()}
         #: The longest entry that an entry begins with, other than itself.
         self.shorter = {rank: next((ranks[word[:k]] for k in range(len(word) - 1, 0, -1) if word[:k] in ranks), None) for word, rank in ranks.items()}
@@ -105,7 +110,7 @@ class ByteBpe:
     def _compatible(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) >= 500_000:
+            if len(self.fits) >= 120_000:
                 self.fits.clear()
             known = self.fits[left, right] = self._neighbours(left, right)
         return known
@@ -149,10 +154,6 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.units.__getitem__, UNIT.findall(text))), self.kind)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.words.__getitem__, ids))
-
-
 @cache
 def coder(path: str, pattern: str) -> ByteBpe:
     """One coder for each Python worker."""
@@ -174,14 +175,14 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, ids array<int>", 1000).withColumnRenamed("id", id_col)
 
 
-def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, ids, decoded binary): the bytes of each list of ids; a null list has no bytes."""
 
     def run(batch: pa.RecordBatch) -> list:
-        bpe, lists = coder(path, pattern), batch.column(1)
+        word, lists = words_of(path).__getitem__, batch.column(1)
         ends = [0, *np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()]
         ids = lists.flatten().to_numpy().tolist()
-        return [batch.column(0), lists, [bpe.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]]
+        return [batch.column(0), lists, [b"".join(map(word, ids[a:b])) for a, b in zip(ends, ends[1:], strict=False)]]
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")), run, "id long, ids array<int>, decoded binary", 1000).withColumnRenamed("id", id_col)
 

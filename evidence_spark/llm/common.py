@@ -26,7 +26,7 @@ UNIT = re.compile(
     f"| ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
 )
 
-CACHED_UNITS = 400_000
+CACHED_UNITS = 250_000
 CACHED_LENGTH = 48
 
 

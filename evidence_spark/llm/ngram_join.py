@@ -80,7 +80,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_WORDS = UnitCache(xxhash.xxh3_64_intdigest)
+_WORDS = UnitCache(xxhash.xxh3_64_intdigest, 60_000)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:

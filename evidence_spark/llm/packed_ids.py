@@ -176,7 +176,7 @@ class JsonTokenizer:
         self.special = [token["content"] for token in plan.get("added_tokens", [])]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bits = bits_for(self.size)
-        self.units = UnitCache(lambda unit: self._units([unit])[0])
+        self.units = UnitCache(lambda unit: self._units([unit])[0], 300_000)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

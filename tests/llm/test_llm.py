@@ -260,8 +260,8 @@ def test_byte_bpe(spark, odd, none):
     coder = byte_bpe.coder(RANKS, P.PATTERN)
     for text in fuzz(3000) + [t for t in ODD if t]:
         ids = coder.encode(text).tolist()
-        assert ids == library.encode_ordinary(text) and coder.decode(ids) == text.encode(), repr(text)
-    rows = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(odd, RANKS, P.PATTERN), RANKS, P.PATTERN)).collect()
+        assert ids == library.encode_ordinary(text) and b"".join(map(byte_bpe.words_of(RANKS).get, ids)) == text.encode(), repr(text)
+    rows = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(odd, RANKS, P.PATTERN), RANKS)).collect()
     want = Counter()
     for (key, text), n in texts_of(odd).items():
         ids = library.encode_ordinary(text or "")
