@@ -26,7 +26,7 @@ UNIT = re.compile(
     f"| ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
 )
 
-CACHED_UNITS = 250_000
+CACHED_UNITS = 200_000
 CACHED_LENGTH = 48
 
 
@@ -54,10 +54,34 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
+#: Rows of an Arrow batch at most: with long texts the default holds far more than a task needs at once.
+BATCH_ROWS = 1000
+_CACHES: list[UnitCache] = []
+_OWNER = [""]
+
+
+def claim(owner: str) -> None:
+    """Workers serve one stage after another: what another operator has cached in this one is let go."""
+    if _OWNER[0] != owner:
+        for cached in _CACHES:
+            cached.clear()
+            cached.old = {}
+        _OWNER[0] = owner
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with the modules that ``run`` refers to at hand on every executor."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """``mapInArrow`` with the modules that ``run`` refers to at hand on every executor, in small batches."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    ship(spark)
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    owner = run.__module__
+
+    def claimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
+        yield from run(batches)
+
+    return df.mapInArrow(claimed, schema)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str, rows: int = 0) -> DataFrame:
@@ -86,6 +110,7 @@ class UnitCache(dict):
     def __init__(self, make: Callable[[str], object], most: int = CACHED_UNITS):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
+        _CACHES.append(self)
 
     def __missing__(self, unit: str):
         value = self.old.get(unit)
