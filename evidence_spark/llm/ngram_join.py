@@ -123,8 +123,8 @@ def profiles(docs: DataFrame, words: int, like: Likeness) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                ids, texts = batch.slice(at, 2000).columns
+            for at in range(0, batch.num_rows, 500):
+                ids, texts = batch.slice(at, 500).columns
                 sets = [shingles(text, words) for text in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([len(s) for s in sets]), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()),
@@ -247,8 +247,8 @@ def entries(every: DataFrame, docs: DataFrame, words: int, like: Likeness, hot:
     def from_fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                yield from rows_of(fronts(batch.slice(at, 2000)), seen)
+            for at in range(0, batch.num_rows, 500):
+                yield from rows_of(fronts(batch.slice(at, 500)), seen)
 
     def too_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,8 +258,8 @@ def entries(every: DataFrame, docs: DataFrame, words: int, like: Likeness, hot:
     def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                found = (shingles(text, words) for text in batch.slice(at, 2000).column(0).to_pylist())
+            for at in range(0, batch.num_rows, 500):
+                found = (shingles(text, words) for text in batch.slice(at, 500).column(0).to_pylist())
                 yield from rows_of(((class_key(s), len(s), s) for s in found if len(s)), seen)
 
     schema = "w long, cls long, n long, pos long"
@@ -290,8 +290,8 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                keys, texts = batch.slice(at, 2000).columns
+            for at in range(0, batch.num_rows, 500):
+                keys, texts = batch.slice(at, 500).columns
                 sets = [shingles(t, words) for t in texts.to_pylist()]
                 own = pa.array([len(s) > 0 and class_key(s) == k for k, s in zip(keys.to_pylist(), sets, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([keys, _lists(sets)], names=["cls", "set"]).filter(own)
@@ -313,7 +313,7 @@ def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, like: Like
     ok &= (rows["pos"][i] < 0) | (rows["pos"][i] + rows["pos"][j] <= most)
     ok &= (rows["x"][i] == rows["y"][i]) | (rows["block"][i] != rows["block"][j])
     i, j, most = i[ok], j[ok], most[ok]
-    near = [np.bitwise_count(rows["bits"][i[k : k + 50_000]] ^ rows["bits"][j[k : k + 50_000]]).sum(axis=1) <= most[k : k + 50_000] for k in range(0, len(i), 50_000)]
+    near = [np.bitwise_count(rows["bits"][i[k : k + 10_000]] ^ rows["bits"][j[k : k + 10_000]]).sum(axis=1) <= most[k : k + 10_000] for k in range(0, len(i), 10_000)]
     near = np.concatenate(near) if near else np.empty(0, bool)
     return i[near], j[near]
 
@@ -330,8 +330,8 @@ def _within(rows: dict[str, np.ndarray], start: np.ndarray, like: Likeness) -> I
         at = at[at + step < end[at]]
         yield _close(rows, at, at + step, like)
     for a, n in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-        for k in range(a, a + n, 128):
-            i, j = np.meshgrid(np.arange(k, min(k + 128, a + n)), np.arange(k + 1, a + n), indexing="ij")
+        for k in range(a, a + n, 32):
+            i, j = np.meshgrid(np.arange(k, min(k + 32, a + n)), np.arange(k + 1, a + n), indexing="ij")
             ahead = j > i
             yield _close(rows, i[ahead], j[ahead], like)
 
