@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill overlap.
 
-Every tree cuts the vectors again and again at the median of a random projection; those within a margin of a cut go to
-both sides.  Vectors are compared only inside leaves, all of them in double precision, and the links of all trees are
+Every tree cuts the vectors again and again across a random projection; those within a margin of a cut go to both sides.
+The margin is at least what a pair at the threshold is apart in a projection, and a cut goes where it saves most work. A
+node that no cut makes cheaper, as a group of near copies, stays whole.  Vectors are compared only inside leaves, all of them in double precision, and the links of all trees are
 united.  A pair that meets in several leaves is counted in the first one only, which the two lists of leaves tell, so
 no list of pairs is ever made: a leaf returns a count and a root for each of its vectors.
 
@@ -25,14 +26,20 @@ from .common import components, in_arrow, ship
 TREES, SPILL, LEAF = 8, 0.1, 512
 #: The sample for the cuts: so many vectors, and so many numbers at most; a tree is at most so deep.
 SAMPLE, SAMPLE_NUMBERS, DEEPEST = 20_000, 1 << 22, 10
+#: Shares of a node at which cuts are tried, the middle first; a cut must leave at most so much of the node's pairs.
+CUTS, GAIN = np.array(sorted(range(10, 91, 5), key=lambda q: abs(q - 50))) / 100, 0.9
 #: A leaf with more rows is dealt out in blocks of this size.
 BLOCK = 2048
 
 
 class Forest:
-    """Random directions and cuts: one direction for each tree and level, an interval around the median for each node."""
+    """Random directions and cuts: one direction for each tree and level, an interval around a cut for each node.
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int, spill: float, seed: int):
+    An interval has at least the share ``spill`` of its node and the width ``margin``: as directions are normal, the
+    projections of two vectors differ by their distance in root mean square, in any number of dimensions.  A node of at
+    most ``least`` rows of the sample is not cut; one that isn't cut at a level goes down on the left as it is."""
+
+    def __init__(self, sample: np.ndarray, depth: int, trees: int, spill: float, seed: int, margin: float, least: float):
         self.depth, self.trees = depth, trees
         self.directions = np.random.default_rng(seed).normal(size=(trees, max(depth, 1), sample.shape[1]))
         self.low = np.zeros((trees, 1 << depth))
@@ -44,10 +51,22 @@ class Forest:
                 for node in range(1 << level, 2 << level):
                     rows = inside.pop(node)
                     values = at[rows, level]
-                    cuts = np.quantile(values, [0.5 - spill / 2, 0.5 + spill / 2]) if len(rows) else (0.0, 0.0)
+                    cuts = self._cut(values, spill, margin) if len(rows) > least else (np.inf, np.inf)
                     self.low[t, node], self.high[t, node] = cuts
                     inside[2 * node], inside[2 * node + 1] = rows[values <= cuts[1]], rows[values >= cuts[0]]
 
+    @staticmethod
+    def _cut(values: np.ndarray, spill: float, margin: float) -> tuple[float, float]:
+        """The interval that leaves fewest pairs on its two sides; infinite if that is not worth a cut."""
+        values = np.sort(values)
+        at = np.quantile(values, CUTS)
+        low = np.minimum(at - margin / 2, np.quantile(values, np.maximum(CUTS - spill / 2, 0)))
+        high = np.maximum(at + margin / 2, np.quantile(values, np.minimum(CUTS + spill / 2, 1)))
+        left, right = np.searchsorted(values, high, "right"), len(values) - np.searchsorted(values, low, "left")
+        pairs = (left / len(values)) ** 2 + (right / len(values)) ** 2
+        best = int(pairs.argmin())
+        return (low[best], high[best]) if pairs[best] <= GAIN else (np.inf, np.inf)
+
     def leaves(self, x: np.ndarray) -> list[list[int]]:
         """For each row of ``x`` the numbers of all its leaves, ascending; trees have ranges of numbers of their own."""
         found: list[list[int]] = [[] for _ in range(len(x))]
@@ -87,11 +106,23 @@ def classes_of(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> Data
     return in_arrow(rows, run, f"id long, label string, key string, vec {kind}")
 
 
+def met_before(codes: np.ndarray, code: int) -> np.ndarray:
+    """A row of bits for each row of a leaf: the leaves with smaller numbers that it shares with any other row."""
+    rows, at = np.nonzero((codes >= 0) & (codes < code))
+    _, where, often = np.unique(codes[rows, at], return_inverse=True, return_counts=True)
+    shared = np.cumsum(often > 1) - 1
+    rows, bit = rows[often[where] > 1], shared[where[often[where] > 1]].astype(np.uint64)
+    bits = np.zeros((len(codes), int(np.sum(often > 1)) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (rows, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return bits
+
+
 def compare(x: np.ndarray, sizes: np.ndarray, codes: np.ndarray, blocks: np.ndarray, code: int, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(links, root) of each row of a leaf: linked vectors that it first meets here, and the smallest row it is joined
     to.  ``cross``: only rows of different blocks are compared."""
     n = len(x)
     links, root = np.zeros(n, np.int64), np.arange(n)
+    before = met_before(codes, code)
     ps, qs = [], []
     for a in range(0, n, 512):
         near = x[a : a + 512] @ x.T >= threshold
@@ -102,9 +133,7 @@ def compare(x: np.ndarray, sizes: np.ndarray, codes: np.ndarray, blocks: np.ndar
         p += a
         for k in range(0, len(p), 20_000):
             pk, qk = p[k : k + 20_000], q[k : k + 20_000]
-            both = codes[pk][:, :, None] == codes[qk][:, None, :]
-            both &= (codes[pk] >= 0)[:, :, None]
-            first = np.where(both.any(axis=2), codes[pk], np.iinfo(np.int64).max).min(axis=1) == code
+            first = ~(before[pk] & before[qk]).any(axis=1)
             np.add.at(links, pk[first], sizes[qk[first]])
             np.add.at(links, qk[first], sizes[pk[first]])
         # Only what joins new rows is kept for the roots, so no list of pairs grows.
@@ -145,7 +174,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, trees: int = TREES, spi
         most = max(1, min(SAMPLE, SAMPLE_NUMBERS // dim))
         sample = [r.vec for r in part.orderBy(F.xxhash64("key"), "label").limit(most).select("vec").collect()]
         depth = max(0, min(DEEPEST, int(np.ceil(np.log2(max(count, 1) / leaf)))))
-        forest = spark.sparkContext.broadcast(Forest(unit_rows(sample), depth, trees, spill, seed))
+        margin = float(np.sqrt(max(0.0, 2 - 2 * threshold)))  # distance of unit vectors at the threshold
+        forest = spark.sparkContext.broadcast(Forest(unit_rows(sample), depth, trees, spill, seed, margin, leaf * len(sample) / count))
 
         def put(batches: Iterator[pa.RecordBatch], forest=forest) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -155,7 +185,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, trees: int = TREES, spi
                     rows = pa.array(np.repeat(np.arange(len(codes)), [len(c) for c in codes]))
                     flat = [c for own in codes for c in own]
                     taken = [piece.column(i).take(rows) for i in range(5)]
-                    yield pa.RecordBatch.from_arrays([*taken, pa.array(flat, pa.int64()), pa.array(codes, pa.list_(pa.int64())).take(rows)], names=["label", "rep", "size", "vec", "dim", "code", "codes"])
+                    known = [own[: i + 1] for own in codes for i in range(len(own))]  # up to this leaf
+                    yield pa.RecordBatch.from_arrays([*taken, pa.array(flat, pa.int64()), pa.array(known, pa.list_(pa.int64()))], names=["label", "rep", "size", "vec", "dim", "code", "codes"])
 
         kind = dict(classes.dtypes)["vec"]
         one = in_arrow(part.select("label", "rep", "size", "vec", "dim"), put, f"label string, rep long, size long, vec {kind}, dim int, code long, codes array<long>")

@@ -135,6 +135,19 @@ def test_embed_forest(spark):
     assert embed_forest.near_vectors(df.limit(0)).collect() == []
 
 
+def test_embed_forest_keeps_links_of_a_group_larger_than_leaves(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = x[0] + rng.normal(size=(1000, 64)) * np.sqrt(1 / 0.95 - 1)  # pairs of the group: a cosine of about 0.95
+    x = x[rng.permutation(3000)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(3)
+    found = {r.vec_id: r.n_links for r in embed_forest.near_vectors(df, leaf=32).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert all(found[i] <= want[i] for i in range(3000)) and want.max() > 900
+    assert sum(found.values()) >= 0.98 * want.sum()
+
+
 def test_leaf_in_blocks_counts_each_pair_once():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 4))
