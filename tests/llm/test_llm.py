@@ -227,6 +227,15 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in lang_kn.predict(odd, nothing).collect()} == {"und"} and lang_kn.predict(none, nothing).collect() == []
 
 
+def test_language_model_has_every_sequence(spark):
+    rng = np.random.default_rng(6)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9E00, 280_000)))
+    rows = [(i, "zh", text[k : k + 20_000]) for i, k in enumerate(range(0, len(text), 20_000))] + [(100, "en", "the cat and the dog")]
+    model = lang_kn.fit(spark.createDataFrame(rows, "id long, lang string, text string"))
+    want = np.unique(np.concatenate([lang_kn.keys(lang_kn.codes(t)) for _, _, t in rows]))
+    assert len(want) > 1 << 18 and model.langs == ["en", "zh"] and (model.grams[lang_kn.ORDER] == want).all()
+
+
 # ---- 6
 
 
