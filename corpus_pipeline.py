@@ -33,18 +33,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by five-word shingles at a similarity of 0.8: the smallest id.
-
-    Of rows with the same id and the same text one stays; a row without an id is in no group and stays."""
-    docs = docs.select(*COLUMNS)
-    groups = ngram_join.near_duplicates(docs.filter("doc_id IS NOT NULL"), words=5, num=80)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    again = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    marks = materialize(gone.select("doc_id", F.lit(True).alias("_gone")).unionByName(again.select("doc_id", F.lit(False).alias("_gone"))).groupBy("doc_id").agg(F.max("_gone").alias("_gone")), "gone")
-    side = F.broadcast(marks) if marks.count() <= SMALL else marks
-    left = docs.join(side, "doc_id", "left").filter(~F.coalesce("_gone", F.lit(False)))
-    repeated = left.filter("_gone IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return left.filter("_gone IS NULL").unionByName(repeated).select(*COLUMNS)
+    """One row of each group that is linked by five-word shingles at a similarity of 0.8: that of the smallest id.
+
+    Rows are told apart by keys of their own, whatever their ids: a null id is larger than every id, and of equal ids one
+    row is taken by its text.  Rows without a word are in no group; of those with the same id and text one stays."""
+    c = F.col
+    # Written, so that a row's key is the same wherever it is read.
+    rows = docs.select(*COLUMNS).withColumn("_text", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(rows, "rows")
+    groups = ngram_join.near_duplicates(rows, words=5, num=80, id_col="_row")
+    worded = c("n_shingles") > 0
+    of = materialize(groups.join(rows.select("_row", "doc_id", "_text"), "_row"), "groups")
+    group = [F.when(worded, c("component_id")), F.when(~worded, c("doc_id")), F.when(~worded, c("_text")), F.when(~worded & c("doc_id").isNull(), c("_row"))]
+    first = of.groupBy(*(g.alias(f"g{k}") for k, g in enumerate(group))).agg(F.min(F.struct(c("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")).alias("first"))
+    gone = materialize(of.select("_row").join(first.select(c("first._row").alias("_row")), "_row", "left_anti"), "gone")
+    side = F.broadcast(gone) if gone.count() <= SMALL else gone
+    return rows.join(side, "_row", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -380,6 +380,18 @@ def test_cotrain(spark, odd, none):
 # ---- pipeline
 
 
+def test_near_duplicates_goes_by_rows_not_ids(spark):
+    import corpus_pipeline
+
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    near = text["b"] + " end"
+    rows = [(1, text["a"]), (5, text["a"]), (5, text["c"]), (2, text["b"]), (2, near), (None, text["d"]), (None, text["d"]), (None, text["a"]), (None, ""), (None, ""), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert (got.pop((2, text["b"]), 0), got.pop((2, near), 0)) in {(1, 0), (0, 1)}
+    assert got == Counter([(1, text["a"]), (5, text["c"]), (None, text["d"]), (None, ""), (None, ""), (7, "")])
+
+
 def test_pipeline_stages_hold_their_promises(spark):
     import corpus_pipeline
 
