@@ -5,7 +5,7 @@ round each of them labels the unlabelled rows it is surest of, and the other one
 are calibrated on labelled rows kept aside and combined there, and score every document.
 
 Features are computed by Spark over whole texts.  The classifiers are fitted on the driver to a bounded sample: the
-first ``LABELLED`` labelled and about ``POOL`` other documents by hash of their ids, as rows of numbers.
+first ``LABELLED`` labelled and ``POOL`` other documents by hash of all that is read of them, as rows of numbers.
 """
 
 from __future__ import annotations
@@ -154,16 +154,20 @@ def _features(texts: list, metas: list[list], names: tuple[str, ...]) -> tuple[n
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = META, label_col: str = "quality") -> CoTrained:
-    """Fit to the labelled documents of ``docs``; several labels of one id are averaged, null ids and labels left out."""
+    """Fit to the labelled documents of ``docs``; several labels of one id are averaged, null ids and labels left out.
+
+    Rows that are equal in all that is read of them count as one; a row without an id is one without a label."""
     given = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("id").agg(F.avg("y").alias("y"))
     given = given.select("id", (F.col("y") >= 0.5).cast("double").alias("y"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(_plain(docs, c) for c in meta_cols))
-    every = docs.count()
-    mark = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    share = F.lit(int((1 << 30) * min(1.0, POOL / max(every, 1))))
-    # Of the labelled the first by hash among those that are there; ids only, then at most LABELLED rows are broadcast.
-    there = rows.select("id").join(given, "id").distinct().orderBy(F.xxhash64("id"), "id").limit(LABELLED)
-    sample = rows.join(F.broadcast(there), "id", "left").filter(F.col("y").isNotNull() | (mark < share))
+    rows = rows.withColumn("mark", F.xxhash64("id", "text", *meta_cols))
+    # The first of each kind by hash, ids and hashes only; then at most LABELLED + POOL of these are broadcast.
+    marks = rows.select("id", "mark").distinct()
+    known = marks.join(given, "id").orderBy("mark", "id").limit(LABELLED).select("mark", "y")
+    others = marks.filter("id IS NOT NULL").join(given, "id", "left_anti").union(marks.filter("id IS NULL"))
+    others = others.orderBy("mark", "id").limit(POOL).select("mark", F.lit(None).cast("double").alias("y"))
+    chosen = rows.join(F.broadcast(known.union(others)), "mark")
+    sample = chosen.groupBy("mark").agg(*(F.first(c).alias(c) for c in ("id", "y", "text", *meta_cols)))
     aside = F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)) == 0
     names = tuple(meta_cols)
 

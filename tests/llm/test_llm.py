@@ -377,6 +377,18 @@ def test_cotrain(spark, odd, none):
     assert cotrain.fit(none, marks.limit(0)).blank
 
 
+def test_cotrain_sample_is_bounded_for_hot_and_null_ids(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}", "en", "s", i) for i in range(3000)]
+    rows += [(2, "text 2", "en", "s", 2)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    marks = spark.createDataFrame([(7, 1), *((i, i // 3 % 2) for i in range(2, 1500, 3))], "doc_id long, quality int")
+    monkeypatch.setattr(cotrain, "LABELLED", 100)
+    monkeypatch.setattr(cotrain, "POOL", 120)
+    monkeypatch.setattr(cotrain, "CoTrained", lambda *parts: parts)
+    text, _, y, _, pool, _ = cotrain.fit(docs, marks)
+    assert len(text) == len(y) == 100 and len(pool) == 120 and 0 < y.sum() < 100
+
+
 # ---- pipeline
 
 
