@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_collapse, cotrain, embed_forest, lang_kn, lz_fingerprint, ngram_join, packed_ids, piece_count, poisson_mix
+from . import byte_bpe, chat_collapse, cotrain, embed_forest, fm_index, lang_kn, lz_fingerprint, ngram_join, packed_ids, piece_count, poisson_mix
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,3 +84,15 @@ def op9_cotrain(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_piece_count(spark: SparkSession, folder: str) -> DataFrame:
     return piece_count.token_counts(table(spark, folder, "documents"), PIECES)
+
+
+@query
+def op12_fm_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    found = fm_index.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op12_fm_decontam"] = fm_index.ORACLE
