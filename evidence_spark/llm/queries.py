@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_collapse, cotrain, embed_forest, fm_index, lang_kn, lz_fingerprint, ngram_join, packed_ids, piece_count, poisson_mix
+from ..session import materialize
+from . import byte_bpe, chat_collapse, cotrain, embed_forest, fm_index, lang_kn, lz_fingerprint, ngram_join, packed_ids, piece_count, poisson_mix, prefix_trie, spelling
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,6 +87,16 @@ def op10_piece_count(spark: SparkSession, folder: str) -> DataFrame:
     return piece_count.token_counts(table(spark, folder, "documents"), PIECES)
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    rows = materialize(prefix_trie.sequences(table(spark, folder, "conversations")), "conversations")
+    mixed = prefix_trie.spliced(rows, F.col("conv") - F.col("conv") % 5, F.crc32(F.col("conv").cast("string").cast("binary")) % 9)
+    return prefix_trie.trie(mixed)
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE
+
+
 @query
 def op12_fm_decontam(spark: SparkSession, folder: str) -> DataFrame:
     found = fm_index.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -96,3 +107,8 @@ def op12_fm_decontam(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_fm_decontam"] = fm_index.ORACLE
+
+
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), slip=31))
