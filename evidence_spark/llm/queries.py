@@ -112,3 +112,6 @@ ORACLES["op12_fm_decontam"] = fm_index.ORACLE
 @query
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), slip=31))
+
+
+ORACLES["op13_spelling"] = spelling.ORACLE
