@@ -93,77 +93,183 @@ def pair_overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.select("it", "ot", "ip", "il", "op", "ol").mapInArrow(score, PAIR_ROWS)
 
 
-
-NODE_ROWS = "q string, source string, node string, score double"
-
-
-class QueryBlock:
-    """A bounded block of fragments as an inverted list: for each gram the fragments that hold it, with weights.
-
-    asked: rows (q, fragment number, weight), sorted by q; texts: (plain, letters, length) of each fragment."""
-
-    def __init__(self, texts: list[tuple[str, str | None, int]], asked: list[tuple[str, int, float]]):
-        bags = [bag(plain, letters) for plain, letters, _ in texts]
-        grams = np.concatenate([g for g, _ in bags])
-        order = np.argsort(grams, kind="stable")
+#: Lines that are scored at once, and grams that many fragments hold and that go through one matrix product.
+CHUNK = 256
+DENSE = 2048
+
+
+class FragmentBlock:
+    """A bounded block of question fragments: for each gram the fragments that hold it, with their weights.
+
+    The longest lists are rows of a matrix, so that a chunk of lines meets them in one product; the others are walked.
+    Sums of weights are whole numbers and exact in either way."""
+
+    def __init__(self, rows: list[tuple]):
+        """rows: (q, weight, plain, letters, size) of each fragment."""
+        number: dict = {}
+        for r in rows:
+            number.setdefault(r[0], len(number))
+        rows = sorted(rows, key=lambda r: number[r[0]])
+        self.names = list(number)
+        self.question = np.array([number[r[0]] for r in rows])
+        self.factor = np.array([r[1] for r in rows], np.float64)
+        self.length = np.array([r[4] for r in rows])
+        bags = [bag(r[2], r[3]) for r in rows]
+        grams, weights = np.concatenate([g for g, _ in bags]), np.concatenate([n for _, n in bags])
         owner = np.repeat(np.arange(len(bags)), [len(g) for g, _ in bags])
-        self.owner, self.weight = owner[order], np.concatenate([n for _, n in bags])[order].astype(np.float64)
+        order = np.argsort(grams, kind="stable")
+        self.owner, self.weight = owner[order], weights[order].astype(np.float64)
         self.grams, self.start = np.unique(grams[order], return_index=True)
         self.count = np.diff(np.append(self.start, len(grams)))
         self.total = np.array([n.sum() for _, n in bags], np.float64)
-        self.length = np.array([size for _, _, size in texts])
-        names = [q for q, _, _ in asked]
-        self.first = [i for i, q in enumerate(names) if i == 0 or names[i - 1] != q]
-        self.names = [names[i] for i in self.first]
-        self.fragment = np.array([f for _, f, _ in asked])
-        self.factor = np.array([w for _, _, w in asked])
-
-    def line(self, plain: str, letters: str | None, length: int, short: int, scale: float) -> np.ndarray:
-        """Geometric score of one line against every fragment, -1 where no gram is shared."""
-        ids, n = bag(plain, letters)
+        self.distinct = np.array([len(g) for g, _ in bags])
+        # What the d heaviest grams of a fragment weigh, for every d.
+        heavy = [np.cumsum(np.sort(n)[::-1]) for _, n in bags]
+        self.heavy, self.heavy_start = np.concatenate(heavy).astype(np.float64), np.cumsum([0, *(len(h) for h in heavy)])[:-1]
+        often = np.argsort(-self.count, kind="stable")[:DENSE]
+        often = often[self.count[often] >= max(8, len(rows) // 32)]
+        self.column = np.full(len(self.grams), -1)
+        self.column[often] = np.arange(len(often))
+        self.there, self.heft = np.zeros((len(often), len(rows)), np.float32), np.zeros((len(often), len(rows)), np.float32)
+        place, sizes = self._places(often)
+        row = np.repeat(np.arange(len(often)), sizes)
+        self.there[row, self.owner[place]] = 1
+        self.heft[row, self.owner[place]] = self.weight[place]
+
+    def _places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the lists of the grams ``at`` one after another, how many each gram has)."""
+        sizes = self.count[at]
+        ends = np.cumsum(sizes)
+        return np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0), sizes
+
+    def bounds(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each fragment a score that no line of the chunk exceeds, from numbers and weights of grams alone."""
+        most = max(len(g) for g, _ in bags)
+        outer = self.heavy[self.heavy_start + np.minimum(self.distinct, most) - 1] / self.total
+        inner = np.zeros(len(self.total))
+        for _, n in bags:
+            heavy = np.cumsum(np.sort(n)[::-1])
+            np.maximum(inner, heavy[np.minimum(self.distinct, len(heavy)) - 1] / heavy[-1], out=inner)
+        return np.sqrt(inner * outer) * self.factor + 1e-9
+
+    def scores(self, bags: list[tuple[np.ndarray, np.ndarray]], active: np.ndarray) -> np.ndarray:
+        """Geometric score of each line against each ``active`` fragment, -1 where they share no gram."""
+        many, wide = len(bags), len(active)
+        ids, n = np.concatenate([g for g, _ in bags]), np.concatenate([c for _, c in bags])
+        line = np.repeat(np.arange(many), [len(g) for g, _ in bags])
         at = np.minimum(np.searchsorted(self.grams, ids), len(self.grams) - 1)
         hit = self.grams[at] == ids
-        at, mine = at[hit], n[hit].astype(np.float64)
-        sizes = self.count[at]
-        place = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(at) else np.empty(0, np.int64)
+        at, n, line = at[hit], n[hit], line[hit]
+        total = np.array([c.sum() for _, c in bags], np.float64)
+        exact = np.float32 if max(total.max(), self.total.max()) < 1 << 24 else np.float64
+        column = self.column[at]
+        dense = column >= 0
+        mine, has = np.zeros((many, len(self.there)), exact), np.zeros((many, len(self.there)), exact)
+        mine[line[dense], column[dense]] = n[dense]
+        has[line[dense], column[dense]] = 1
+        all_of = wide == len(self.total)
+        there, heft = (x if all_of else x[:, active] for x in (self.there, self.heft))
+        inner, outer = (mine @ there.astype(exact, copy=False)).astype(np.float64), (has @ heft.astype(exact, copy=False)).astype(np.float64)
+        place, sizes = self._places(at[~dense])
         owner = self.owner[place]
-        inner = np.bincount(owner, np.repeat(mine, sizes), len(self.total))
-        outer = np.bincount(owner, self.weight[place], len(self.total))
-        score = np.sqrt((inner / float(n.sum())) * (outer / self.total))
-        if length < short:
-            score[self.length > scale * length] = 0.0
+        row, mine_n = np.repeat(line[~dense], sizes), np.repeat(n[~dense], sizes)
+        if not all_of:
+            where = np.full(len(self.total), -1)
+            where[active] = np.arange(wide)
+            owner = where[owner]
+            keep = owner >= 0
+            owner, row, mine_n, place = owner[keep], row[keep], mine_n[keep], place[keep]
+        cell = row * wide + owner
+        inner += np.bincount(cell, mine_n, many * wide).reshape(many, wide)
+        outer += np.bincount(cell, self.weight[place], many * wide).reshape(many, wide)
+        score = np.sqrt((inner / total[:, None]) * (outer / self.total[active]))
         score[inner == 0] = -1.0
         return score
 
 
-def block_scores(lines: DataFrame, block: QueryBlock, short: int, scale: float) -> DataFrame:
-    """(q, source, node, score): the best line of each node for each question of the block, as far as it lies in the
-    same run of lines(source, node, plain, letters, size); callers take the maximum of what the tasks return."""
+class _Best:
+    """The ``keep`` best nodes of one source for each question so far."""
+
+    def __init__(self, block: FragmentBlock, keep: int):
+        self.block, self.keep = block, keep
+        self.found: list[list[tuple]] = [[] for _ in block.names]
+        self.bar = np.full(len(block.names), -1.0)
+
+    def add(self, lines: list[tuple], short: int, scale: float) -> None:
+        """lines: (node, plain, letters, size); a line that no question's last best one is below is not scored."""
+        b = self.block
+        texts = {x: i for i, x in enumerate(dict.fromkeys(x[1:] for x in lines))}
+        bags = [bag(plain, letters) for plain, letters, _ in texts]
+        active = np.flatnonzero(b.bounds(bags) >= self.bar[b.question])
+        if not len(active):
+            return
+        scores = b.scores(bags, active)
+        size = np.array([x[2] for x in texts])
+        guarded = (size < short)[:, None] & (b.length[active] > scale * size[:, None])
+        scores[guarded & (scores > 0)] = 0.0
+        values = np.where(scores < 0, -1.0, scores * b.factor[active])
+        question = b.question[active]
+        first = np.flatnonzero(np.concatenate([[True], question[1:] != question[:-1]]))
+        values, question = np.maximum.reduceat(values, first, axis=1), question[first]
+        nodes = sorted({x[0] for x in lines})
+        rank = {x: i for i, x in enumerate(nodes)}
+        of = np.array([rank[x[0]] for x in lines])
+        order = np.argsort(of, kind="stable")
+        text = np.array([texts[x[1:]] for x in lines])[order]
+        # Nodes are in order, so the first of equal scores is the smallest node.
+        values = np.maximum.reduceat(values[text], np.searchsorted(of[order], np.arange(len(nodes))), axis=0)
+        each = np.arange(len(question))
+        for _ in range(min(self.keep, len(nodes))):
+            top = values.argmax(axis=0)
+            score = values[top, each]
+            values[top, each] = -2.0
+            for k in np.flatnonzero((score >= 0) & (score >= self.bar[question])):
+                self._put(int(question[k]), float(score[k]), nodes[top[k]])
+
+    def _put(self, q: int, score: float, node) -> None:
+        held = dict((n, -s) for s, n in self.found[q])
+        held[node] = max(score, held.get(node, -1.0))
+        self.found[q] = sorted((-s, n) for n, s in held.items())[: self.keep]
+        if len(self.found[q]) == self.keep:
+            self.bar[q] = -self.found[q][-1][0]
+
+
+def best_nodes(dealt: DataFrame, keep: int, short: int, scale: float, schema: str) -> DataFrame:
+    """(q, source, node, score): per question and source the best nodes of each group (tile, block) of ``dealt``, whose
+    rows come in order with the fragments of the block before the lines of the tile, lines by source.
+
+    Columns: tile, block, kind (0 a fragment, 1 a line), q, weight, source, node, plain, letters, size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = block  # goes with the function: a block is bounded
-        owner, best, seen = None, None, {}
+        group, asked, block, source, best, lines, kinds = None, [], None, None, None, [], None
 
-        def out() -> list[pa.RecordBatch]:
-            values = np.where(best[b.fragment] < 0, -1.0, best[b.fragment] * b.factor)
-            top = np.maximum.reduceat(values, b.first)
-            there = np.flatnonzero(top >= 0)
-            names = [b.names[i] for i in there]
-            return [pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([owner[0]] * len(names), pa.string()), pa.array([owner[1]] * len(names), pa.string()), pa.array(top[there])], names=["q", "source", "node", "score"])]
+        def out() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                if lines:
+                    best.add(lines, short, scale)
+                rows = [(q, source, n, -s) for q, held in zip(best.block.names, best.found, strict=True) for s, n in held]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["q", "source", "node", "score"])
 
         for batch in batches:
-            for source, node, plain, letters, size in zip(*(c.to_pylist() for c in batch.columns)):
-                if owner != (source, node):
-                    if owner is not None:
-                        yield from out()
-                    owner, best = (source, node), np.full(len(b.total), -1.0)
-                score = seen.get((plain, letters, size))
-                if score is None:
-                    if len(seen) >= 512:
-                        seen.clear()
-                    score = seen[plain, letters, size] = b.line(plain, letters, size, short, scale)
-                np.maximum(best, score, out=best)
-        if owner is not None:
-            yield from out()
-
-    return lines.mapInArrow(run, NODE_ROWS)
+            kinds = [batch["q"].type, batch["source"].type, batch["node"].type, pa.float64()]
+            for tile, blk, kind, q, weight, src, node, plain, letters, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != (tile, blk):
+                    yield from out()
+                    group, asked, block, source, best, lines = (tile, blk), [], None, None, None, []
+                if kind == 0:
+                    asked.append((q, weight, plain, letters, size))
+                    continue
+                if not asked:
+                    continue
+                block = block or FragmentBlock(asked)
+                if best is None or src != source:
+                    yield from out()
+                    source, best, lines = src, _Best(block, keep), []
+                lines.append((node, plain, letters, size))
+                if len(lines) >= CHUNK:
+                    best.add(lines, short, scale)
+                    lines = []
+        yield from out()
+
+    return dealt.mapInArrow(run, schema)

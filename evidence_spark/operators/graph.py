@@ -67,48 +67,6 @@ def requirements(edges: DataFrame, goals: DataFrame) -> DataFrame:
         edges.graph_id, F.col("src").alias("req")).distinct()
 
 
-def assign_evidence(pairs: DataFrame, reqs: DataFrame, axioms: DataFrame) -> DataFrame:
-    """(graph_id, req, ev): maximum matching of evidence to requirements per graph, all graphs at once.
-
-    pairs(graph_id, ev, req), reqs(graph_id, req), axioms(graph_id, req).  A greedy start is improved along shortest
-    alternating paths; every phase flips one augmenting path in each graph that has one.  An axiom requirement no
-    evidence fills stands for itself.
-    """
-    e = materialize(pairs.join(reqs, ["graph_id", "req"], "left_semi").select("graph_id", "ev", "req").distinct(), "match-edges")
-    by_req = e.groupBy("graph_id", "req").agg(F.min("ev").alias("ev"))
-    m = materialize(by_req.groupBy("graph_id", "ev").agg(F.min("req").alias("req")).select("graph_id", "req", "ev"), "match")
-    while True:  # until no graph has an augmenting path
-        free = e.select("graph_id", "ev").distinct().join(m, ["graph_id", "ev"], "left_anti")
-        frontier, visited, found = free, None, None
-        while True:
-            hop = e.join(frontier, ["graph_id", "ev"]).groupBy("graph_id", "req").agg(F.min("ev").alias("ev"))
-            if visited is not None:
-                hop = hop.join(visited.select("graph_id", "req"), ["graph_id", "req"], "left_anti")
-            hop = materialize(hop, "match-hop")
-            if hop.isEmpty():
-                break
-            visited = hop if visited is None else visited.unionByName(hop)
-            ends = hop.join(m.select("graph_id", "req"), ["graph_id", "req"], "left_anti").groupBy("graph_id").agg(F.min("req").alias("req"))
-            if not ends.isEmpty():
-                found = ends if found is None else found.unionByName(ends.join(found.select("graph_id"), "graph_id", "left_anti"))
-            taken = hop.join(m.withColumnRenamed("ev", "owner"), ["graph_id", "req"]).select("graph_id", F.col("owner").alias("ev"))
-            frontier = taken if found is None else taken.join(found.select("graph_id"), "graph_id", "left_anti")
-        if found is None:
-            break
-        # Walk back from each free requirement: it takes its parent evidence, whose old requirement is next.
-        at, flips = materialize(found, "match-end"), None
-        while True:
-            step = materialize(at.join(visited, ["graph_id", "req"]).select("graph_id", "req", "ev"), "match-flip")
-            if step.isEmpty():
-                break
-            flips = step if flips is None else flips.unionByName(step)
-            at = step.select("graph_id", "ev").join(m, ["graph_id", "ev"]).select("graph_id", "req")
-        m = materialize(m.join(flips.select("graph_id", "ev"), ["graph_id", "ev"], "left_anti").join(
-            flips.select("graph_id", "req"), ["graph_id", "req"], "left_anti").unionByName(flips), "match")
-    own = axioms.join(reqs, ["graph_id", "req"], "left_semi").join(m, ["graph_id", "req"], "left_anti")
-    return m.unionByName(own.select("graph_id", "req", F.col("req").alias("ev")))
-
-
 def diagnose(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
     """One row per graph: requirements, blocked ones, orphan instances, unsupported concepts, idle axioms, missing sources.
 

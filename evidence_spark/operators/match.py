@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..functions.grams import QueryBlock, block_scores, gram_rows, marked_texts, pair_overlaps
-from ..session import spread_by
-from .fixpoint import union_all
+from ..functions.grams import best_nodes, gram_rows, marked_texts, pair_overlaps
+from ..session import spread_by, width
 
 
 def text_id(c: Column) -> Column:
@@ -127,49 +126,44 @@ def rare_words(index: DataFrame, max_sources: int = W.RARE_MAX_SOURCES) -> DataF
     return owned.join(few.select("word"), "word")
 
 
-#: Questions whose fragments make one inverted list.
-QUERY_BLOCK = 4096
+#: Questions whose fragments make one inverted list, and tiles of lines for each shuffle partition.
+QUERY_BLOCK = 512
+TILES = 1
 
 
-def line_scores(index: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(q, source, node, score): best line of each node against each question fragment (weighted).
+def top_nodes(index: DataFrame, fragments: DataFrame, keep: int = 2) -> DataFrame:
+    """(q, source, node, score): for each question and source the ``keep`` nodes with the best line; equal scores by node.
 
-    The questions are the query set: blocks of at most ``QUERY_BLOCK`` of them are made into an inverted list, which
-    every task holds while it runs over its share of the lines.  No pair of a line and a fragment becomes a row; a task
-    returns the best of each node.  A node's lines may lie in several tasks, so a node of any size spreads."""
+    Lines are dealt into tiles and questions into blocks, and each pair of them is one group of a task: the block becomes
+    an inverted list, the tile's lines run past it from short to long, by source.  A chunk of lines is scored only for
+    fragments whose bound, from numbers and weights of grams alone, reaches the last of the best nodes so far.  A group
+    returns at most ``keep`` nodes for each question and source: if a node is among the best, it is so in the tile of its
+    best line.  No question, line or score passes through the driver, and a node or source of any size spreads."""
+    spark = index.sparkSession
+    tiles = TILES * width(spark)
+    blocks = F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("q") / QUERY_BLOCK)).cast("int").alias("blocks")
+    blocks = fragments.agg(blocks).first()["blocks"]
+    kinds = dict(index.dtypes) | {"q": dict(fragments.dtypes)["q"]}
     plain, letters = marked_texts(F.col("phrase"))
-    share = F.pmod(F.xxhash64("phrase"), F.lit(8))
-    lines = index.select("source", "node", "phrase").repartition("source", "node", share).select(
-        F.col("source").cast("string").alias("source"), F.col("node").cast("string").alias("node"), plain.alias("plain"), letters.alias("letters"), F.length("phrase").alias("size"))
-    lines = lines.sortWithinPartitions("source", "node", "plain")
-    count = fragments.select("q").distinct().count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    asked = fragments.withColumn("block", F.pmod(F.xxhash64(F.col("q").cast("string")), F.lit(blocks)))
+    lines = index.filter("phrase IS NOT NULL").select(
+        F.pmod(F.xxhash64("source", "node", "phrase"), F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"),
+        F.lit(None).cast(kinds["q"]).alias("q"), F.lit(None).cast("double").alias("weight"), "source", "node", plain.alias("plain"), letters.alias("letters"), F.length("phrase").alias("size"))
     plain, letters = marked_texts(F.col("fragment"))
-    asked = asked.select("block", F.col("q").cast("string").alias("q"), "weight", plain.alias("plain"), letters.alias("letters"), F.length("fragment").alias("size"))
-    parts = []
-    for block in range(blocks):
-        rows = sorted(asked.filter(F.col("block") == block).drop("block").collect(), key=lambda r: r.q)  # a block of questions
-        if rows:
-            texts = {t: i for i, t in enumerate(dict.fromkeys((r.plain, r.letters, r["size"]) for r in rows))}
-            found = QueryBlock(list(texts), [(r.q, texts[r.plain, r.letters, r["size"]], r.weight) for r in rows])
-            parts.append(block_scores(lines, found, W.SHORT_LINE, W.LONG_QUESTION_SCALE))
-    kinds = dict(index.dtypes) | {"q": dict(fragments.dtypes)["q"]}
-    if not parts:
-        return index.select(F.lit(None).cast(kinds["q"]).alias("q"), "source", "node", F.lit(0.0).alias("score")).limit(0)
-    best = union_all(parts).groupBy("q", "source", "node").agg(F.max("score").alias("score"))
-    return best.select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("q", "source", "node")), "score")
-
-
-def support_scores(node_scores: DataFrame) -> DataFrame:
-    """(q, source, pure, winner, support): best node, and the best score owned by any other node."""
-    w = Window.partitionBy("q", "source").orderBy(F.desc("score"), "node")
-    top = node_scores.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2)
-    return top.groupBy("q", "source").agg(
-        F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("pure"),
-        F.max(F.when(F.col("rn") == 1, F.col("node"))).alias("winner"),
-        F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("score"))), F.lit(0.0)).alias("support"),
-    )
+    asked = fragments.filter("fragment IS NOT NULL").select(
+        F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"),
+        "q", F.col("weight").cast("double").alias("weight"), F.lit(None).cast(kinds["source"]).alias("source"), F.lit(None).cast(kinds["node"]).alias("node"), plain.alias("plain"), letters.alias("letters"), F.length("fragment").alias("size"))
+    dealt = asked.unionByName(lines).repartition(tiles * blocks, "tile", "block").sortWithinPartitions("tile", "block", "kind", "source", "size", "plain")
+    found = best_nodes(dealt, keep, W.SHORT_LINE, W.LONG_QUESTION_SCALE, ", ".join(f"{c} {k}" for c, k in (*((c, kinds[c]) for c in ("q", "source", "node")), ("score", "double"))))
+    best = Window.partitionBy("q", "source").orderBy(F.desc("score"), "node")
+    return found.groupBy("q", "source", "node").agg(F.max("score").alias("score")).withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= keep).drop("rn")
+
+
+def support_scores(best: DataFrame) -> DataFrame:
+    """(q, source, pure, winner, support): best node, and the best score owned by any other node, of ``top_nodes``."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "node")))
+    held = best.groupBy("q", "source").agg(ordered.alias("m"))  # two nodes of each
+    at = lambda i, c: F.get(F.col("m"), F.lit(i))[c]
+    return held.select("q", "source", (-at(0, "less")).alias("pure"), at(0, "node").alias("winner"), F.coalesce(-at(1, "less"), F.lit(0.0)).alias("support"))
 
 
 def route(
@@ -177,7 +171,7 @@ def route(
     threshold: float = W.ROUTE_THRESHOLD, k: int = 3,
 ) -> DataFrame:
     """Top ``k`` sources per question; only the pure score may answer, bonuses merely reorder."""
-    base = support_scores(line_scores(index, fragments))
+    base = support_scores(top_nodes(index, fragments))
     asked = questions.select("q", T.detect_lang_script(F.col("question")).alias("q_lang"))
     langs = source_lang.agg(F.count_distinct("lang").alias("n_langs"))
     acronym = questions.select("q", F.explode_outer(F.array_distinct(

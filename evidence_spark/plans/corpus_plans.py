@@ -407,7 +407,7 @@ VERDICT_SQL = f"""{SCORES_SQL}, b AS (SELECT q, node, score FROM (SELECT q, node
 def verdict_rows(t: Tables) -> DataFrame:
     """Benchmark items judged: the best node is the claim, documents holding the item are its evidence, toxic documents a
     null class and plain bad ones counters."""
-    best = MP.node_scores(t).groupBy("q").agg(F.max_by("node", F.struct("score", (-F.col("node")).alias("o"))).alias("node"), F.max("score").alias("conf"))
+    best = MP.best_of(t, 1).groupBy("q").agg(F.max_by("node", F.struct("score", (-F.col("node")).alias("o"))).alias("node"), F.max("score").alias("conf"))
     found = M.evidence_hits(*MP.evidence_inputs(t)).select(F.col("node").alias("q"), F.col("u").alias("node")).distinct()
     any_ev = found.select("q").distinct().withColumn("ev", F.lit(True))
     j = best.join(t.labels.withColumnRenamed("doc_id", "node"), "node", "left").join(any_ev, "q", "left").join(found.withColumn("reach", F.lit(True)), ["q", "node"], "left")
@@ -480,7 +480,7 @@ def q7(t: Tables):
 @query("q3_interception_audit", f"""WITH {SCORES_SQL}, b AS (SELECT q, pure AS base FROM support WHERE source = 'src1'),
  c AS (SELECT s.q, s.source, s.pure, count(*) OVER (PARTITION BY s.q) AS winners FROM support s JOIN b USING (q) WHERE s.source <> 'src1' AND s.pure >= base) SELECT source, count(*) AS taken, count(*) FILTER (winners > 8) AS given_up FROM c GROUP BY source""")
 def q3(t: Tables):
-    scores = M.support_scores(MP.node_scores(t)).select("q", "source", "pure")
+    scores = M.support_scores(MP.best_of(t)).select("q", "source", "pure")
     audit = Q.theft_audit(scores.filter("source = 'src1'").select("q", F.col("pure").alias("base")), scores.filter("source <> 'src1'"))
     return audit.groupBy("source").agg(F.count("*").alias("taken"), F.count_if("given_up").alias("given_up"))
 
@@ -503,11 +503,3 @@ def m1(t: Tables):
     rows = t.documents.join(t.labels, "doc_id").select("doc_id", F.col("quality").cast("string").alias("label"), "text")
     model = C.train_label_scorer(rows.filter("doc_id % 2 = 0").select("text", "label"), ["0", "1"])
     return C.apply_label_scorer(model, rows.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), "text"))
-
-
-@query("m2_direction_classifier")
-def m2(t: Tables):
-    from ..operators.learn import direction_classifier
-    from .graph_plans import part_of
-
-    return direction_classifier(part_of(t))

@@ -106,15 +106,25 @@ def g5(t: Tables):
     return G.requirements(edges, graphs)
 
 
-# The size of a maximum matching is checked per graph; which evidence fills which slot may differ.
-@query("g6_assign_evidence")
+# By the theorem of Koenig and Hall the largest assignment leaves as many requirements empty as the worst set of them has
+# more members than evidence; an order has few part types, so its sets can be listed.
+@query("g6_assign_evidence", """WITH i AS (SELECT DISTINCT l_orderkey AS graph_id, l_suppkey AS ev, p_type AS req FROM lineitem JOIN part ON l_partkey = p_partkey),
+ r AS (SELECT graph_id, req, req = 'PROMO' AS own FROM i GROUP BY ALL), k AS (SELECT graph_id, req, 1 << (row_number() OVER (PARTITION BY graph_id ORDER BY req) - 1) AS bit FROM r WHERE NOT own),
+ n AS (SELECT graph_id, count(*) AS needed, count(*) FILTER (own) AS own FROM r GROUP BY graph_id),
+ s AS (SELECT graph_id, unnest(range(1, 1 << (needed - own))) AS mask FROM n),
+ c AS (SELECT s.graph_id, mask, count(DISTINCT k.req) - count(DISTINCT i.ev) AS lack FROM s JOIN k ON k.graph_id = s.graph_id AND s.mask & k.bit > 0 JOIN i ON i.graph_id = k.graph_id AND i.req = k.req GROUP BY ALL),
+ d AS (SELECT graph_id, greatest(max(lack), 0) AS shortfall FROM c GROUP BY graph_id)
+ SELECT graph_id, needed, needed - coalesce(shortfall, 0) AS filled, coalesce(shortfall, 0) AS shortfall FROM n LEFT JOIN d USING (graph_id)""")
 def g6(t: Tables):
-    """Per order: suppliers are evidence for the part types ordered; each supplier fills one."""
+    """Per order: suppliers are evidence for the part types ordered; each supplier fills one; promoted types stand for
+    themselves."""
+    from ..operators.matching import assign_evidence
+
     items = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("graph_id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("ev"), F.col("p_type").alias("req"))
     reqs = items.select("graph_id", "req").distinct()
     axioms = reqs.filter("req = 'PROMO'")
-    filled = G.assign_evidence(items, reqs, axioms).groupBy("graph_id").agg(F.count("*").alias("filled"))
+    filled = assign_evidence(items, reqs, axioms).groupBy("graph_id").agg(F.count("*").alias("filled"))
     need = reqs.groupBy("graph_id").agg(F.count("*").alias("needed"))
     return need.join(filled, "graph_id", "left").select("graph_id", "needed", F.coalesce("filled", F.lit(0)).alias("filled"), (F.col("needed") - F.coalesce("filled", F.lit(0))).alias("shortfall"))
 
@@ -419,3 +429,54 @@ def a18(t: Tables):
 
     nodes = t.part.select(F.col("p_brand").alias("graph_id"), F.col("p_name").alias("node"), F.col("p_name").startswith("small").alias("is_null"))
     return dup_knowledge(nodes, min_shared=1)
+
+
+# --- direction of edges ---
+
+# A customer with money supports its segment in the nation's graph, one without counters it; segments support the goal
+# or counter it, and richer segments support others of the same nation, in a circle too.
+DIRECTION_SQL = """ce AS (SELECT 'c' || c_custkey AS a, c_nationkey || c_mktsegment AS b, c_acctbal <= 0 AS counters, c_nationkey AS g FROM customer),
+ sg AS (SELECT c_nationkey AS g, c_mktsegment AS m, sum(c_acctbal) AS s FROM customer GROUP BY ALL),
+ se AS (SELECT x.g || x.m AS a, y.g || y.m AS b, x.s < 5000 AS counters FROM sg x JOIN sg y ON x.g = y.g AND x.m <> y.m AND (x.s > 2 * y.s OR x.m[1] = y.m[1])),
+ ge AS (SELECT g || m AS a, 'g' || g AS b, m = 'FURNITURE' AS counters FROM sg),
+ ed AS (SELECT a || '>' || b AS edge, a, b, counters FROM (SELECT a, b, counters FROM ce UNION ALL SELECT * FROM se UNION ALL SELECT * FROM ge)),
+ nd AS (SELECT DISTINCT a AS node FROM ed UNION SELECT b FROM ed), fw AS (SELECT a, b FROM ed WHERE NOT counters)"""
+
+
+def direction_inputs(t: Tables):
+    """(edges, nodes, goals, requirements) as in the SQL above."""
+    c = F.col
+    name = lambda g, m: F.concat(c(g).cast("string"), c(m))
+    cust = t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("a"), name("c_nationkey", "c_mktsegment").alias("b"), (c("c_acctbal") <= 0).alias("counters"))
+    sums = t.customer.groupBy(c("c_nationkey").alias("g"), c("c_mktsegment").alias("m")).agg(F.sum("c_acctbal").alias("s"))
+    other = sums.toDF("g", "m2", "s2")
+    between = sums.join(other, "g").filter((c("m") != c("m2")) & ((c("s") > 2 * c("s2")) | (F.substring("m", 1, 1) == F.substring("m2", 1, 1))))
+    between = between.select(name("g", "m").alias("a"), name("g", "m2").alias("b"), (c("s") < 5000).alias("counters"))
+    up = sums.select(name("g", "m").alias("a"), F.concat(F.lit("g"), "g").alias("b"), (c("m") == "FURNITURE").alias("counters"))
+    edges = cust.unionByName(between).unionByName(up).select(F.concat("a", F.lit(">"), "b").alias("edge"), "a", "b", "counters", (~c("counters")).alias("forward"))
+    layer = F.when(c("node").startswith("c"), "instance").otherwise("concept")
+    nodes = edges.select(c("a").alias("node")).union(edges.select("b")).distinct().select("node", layer.alias("layer"), c("node").alias("phrase"))
+    return edges, nodes, up.select(c("b").alias("node")), up.filter("NOT counters").select(c("a").alias("node"))
+
+
+@query("m2b_direction_features", f"""WITH RECURSIVE {DIRECTION_SQL},
+ ra(edge, a, b, node) AS (SELECT ed.edge, ed.a, ed.b, fw.b FROM ed JOIN fw ON fw.a = ed.a AND fw.b <> ed.b UNION SELECT ra.edge, ra.a, ra.b, fw.b FROM ra JOIN fw ON fw.a = ra.node AND NOT (fw.a = ra.a AND fw.b = ra.b)),
+ rb(edge, a, b, node) AS (SELECT ed.edge, ed.a, ed.b, fw.b FROM ed JOIN fw ON fw.a = ed.b UNION SELECT rb.edge, rb.a, rb.b, fw.b FROM rb JOIN fw ON fw.a = rb.node AND NOT (fw.a = rb.a AND fw.b = rb.b)),
+ dg AS (SELECT n, count(*) AS d FROM (SELECT a AS n FROM ed UNION ALL SELECT b FROM ed) GROUP BY n), na AS (SELECT edge, count(*) AS n FROM ra GROUP BY edge), nb AS (SELECT edge, count(*) AS n FROM rb GROUP BY edge)
+ SELECT ed.edge, ed.a, ed.b, counters, x.d AS a_degree, y.d AS b_degree, (ed.b[1] = 'g')::INT AS b_goal, (ed.b IN (SELECT a FROM ge WHERE NOT counters))::INT AS b_required,
+  (ed.a[1] <> 'c')::INT AS a_concept, (ed.b[1] <> 'c')::INT AS b_concept, coalesce(na.n, 0) AS a_reach, coalesce(nb.n, 0) AS b_reach, contains(ed.a, 'MACH')::INT AS a_says_0, contains(ed.b, 'MACH')::INT AS b_says_0
+ FROM ed JOIN dg x ON x.n = ed.a JOIN dg y ON y.n = ed.b LEFT JOIN na USING (edge) LEFT JOIN nb USING (edge)""")
+def m2b(t: Tables):
+    from ..operators.learn import direction_features
+
+    return direction_features(*direction_inputs(t), markers=["MACH"])
+
+
+@query("m2_direction_classifier")
+def m2(t: Tables):
+    """Every edge judged by a model that has learned from all of them, each measured as if it were not there."""
+    from ..operators.learn import direction_classifier, direction_features, suggest
+    from ..session import materialize
+
+    rows = materialize(direction_features(*direction_inputs(t), markers=["MACH"]), "features")
+    return suggest(direction_classifier(rows), rows).select("edge", F.round("p", 4).alias("p"), "relation")

@@ -215,7 +215,7 @@ def q4(t: Tables):
 
 
 @query("q5_ablation", f"""WITH {SCORES_SQL}, a AS (SELECT q, max(score) >= 0.75 AS r FROM node_scores GROUP BY q),
- n1 AS (SELECT fr.q, max(sqrt((ls::DOUBLE / lt) * (qs::DOUBLE / qt))) >= 0.75 AS r FROM pairs JOIN lt USING (phrase) JOIN qt USING (fragment) JOIN (SELECT item_id AS q, text AS fragment FROM benchmark) fr USING (fragment) GROUP BY fr.q)
+ n1 AS (SELECT fr.q, max(sqrt((ls::DOUBLE / lt) * (qs::DOUBLE / qt))) >= 0.75 AS r FROM pairs JOIN (SELECT item_id AS q, text AS fragment FROM benchmark) fr USING (fragment) GROUP BY fr.q)
  SELECT a.q, CASE WHEN n1.r = a.r THEN 'same' WHEN a.r THEN 'fixed' ELSE 'broken' END AS change FROM a JOIN n1 ON n1.q = a.q""")
 def q5(t: Tables):
     """Do the fragments help?  Best score at least 0.75 without and with them."""
@@ -223,7 +223,7 @@ def q5(t: Tables):
     plain = t.questions().select("q", F.col("question").alias("fragment"), F.lit(1.0).alias("weight"))
 
     def right(frags: DataFrame) -> DataFrame:
-        return M.line_scores(idx, frags).groupBy("q").agg((F.max("score") >= 0.75).alias("right"))
+        return M.top_nodes(idx, frags, 1).groupBy("q").agg((F.max("score") >= 0.75).alias("right"))
 
     return Q.regression_diff(right(plain), right(MP.item_fragments(t)), "q")
 
@@ -252,7 +252,7 @@ def q9(t: Tables):
     """Is a source that really holds the item among the first or the first three?  Items no source holds count apart."""
     from pyspark.sql import Window
 
-    s = M.support_scores(MP.node_scores(t))
+    s = M.support_scores(MP.best_of(t))
     w = Window.partitionBy("q").orderBy(F.desc("pure"), "source")
     ranked = s.withColumn("k", F.row_number().over(w)).select("q", "source", "k")
     held = M.evidence_hits(*MP.evidence_inputs(t)).select(F.col("node").alias("q"), F.col("u").alias("doc_id")).join(t.documents.select("doc_id", "source"), "doc_id").select("q", "source").distinct()

@@ -188,13 +188,13 @@ SCORES_SQL = f"""{INDEX_SQL}, {FRAG_SQL}, dl AS MATERIALIZED (SELECT phrase, row
     coalesce(max(score) FILTER (rn = 2), 0.0) AS support FROM top2 GROUP BY ALL)"""
 
 
-def node_scores(t: Tables) -> DataFrame:
-    return M.line_scores(index(t), item_fragments(t))
+def best_of(t: Tables, keep: int = 2) -> DataFrame:
+    return M.top_nodes(index(t), item_fragments(t), keep)
 
 
 @query("a2_support_score", f"WITH {SCORES_SQL} SELECT q, source, pure, winner, support FROM support")
 def a2(t: Tables):
-    return M.support_scores(node_scores(t))
+    return M.support_scores(best_of(t))
 
 
 _BARE_WORDS = "regexp_extract_all({}, '[가-힣A-Za-z]{{2,6}}')"
@@ -253,7 +253,7 @@ def a1(t: Tables):
  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, source, node) AS k FROM node_scores) WHERE k <= 5""")
 def w1(t: Tables):
     w = Window.partitionBy("q").orderBy(F.desc("score"), "source", "node")
-    return node_scores(t).withColumn("k", F.row_number().over(w)).filter("k <= 5").select("q", "source", "node", "score", "k")
+    return best_of(t, 5).withColumn("k", F.row_number().over(w)).filter("k <= 5").select("q", "source", "node", "score", "k")
 
 
 @query("j5_null_contest", f"""WITH {SCORES_SQL}, lab AS (SELECT s.*, quality, toxic FROM node_scores s JOIN labels ON doc_id = node),
@@ -271,14 +271,13 @@ def j5(t: Tables):
 
 def null_outcomes(t: Tables) -> DataFrame:
     """Documents labelled good are real nodes, toxic ones null classes, plain bad ones counter-examples."""
-    scored = node_scores(t).join(t.labels.withColumnRenamed("doc_id", "node"), "node")
-    order = F.struct(-F.col("score"), "node")
-    real = scored.filter("quality = 1 AND toxic = 0").groupBy(F.col("q").alias("u")).agg(
-        F.min_by("node", order).alias("node"), F.max("score").alias("conf"))
-    bad = scored.filter("quality = 0 OR toxic = 1").withColumn("is_counter", F.expr("quality = 0 AND toxic = 0"))
-    null = bad.groupBy(F.col("q").alias("u")).agg(
-        F.min_by(F.struct(F.col("node").alias("null_node"), "is_counter"), order).alias("m"), F.max("score").alias("null_score")
-    ).select("u", "m.null_node", "null_score", "m.is_counter")
+    labels = t.labels.withColumnRenamed("doc_id", "node")
+    kind = F.when(F.expr("quality = 1 AND toxic = 0"), "real").when(F.expr("quality = 0 OR toxic = 1"), "null")
+    lines = index(t).drop("source").join(labels, "node").select(kind.alias("source"), "node", "phrase").filter("source IS NOT NULL")
+    best = M.top_nodes(lines, item_fragments(t), 1)
+    real = best.filter("source = 'real'").select(F.col("q").alias("u"), "node", F.col("score").alias("conf"))
+    counter = labels.select("node", F.expr("quality = 0 AND toxic = 0").alias("is_counter"))
+    null = best.filter("source = 'null'").join(counter, "node").select(F.col("q").alias("u"), F.col("node").alias("null_node"), F.col("score").alias("null_score"), "is_counter")
     found = M.evidence_hits(*evidence_inputs(t)).select(F.col("node").alias("u"))
     return M.null_contest(real, null, found, W.A_MIN)
 
@@ -345,7 +344,7 @@ def j15(t: Tables):
 def j19(t: Tables):
     from ..operators.quality import theft_audit
 
-    scores = M.support_scores(node_scores(t)).select("q", "source", "pure")
+    scores = M.support_scores(best_of(t)).select("q", "source", "pure")
     own = scores.filter("source = 'src0'").select("q", F.col("pure").alias("base"))
     return theft_audit(own, scores.filter("source <> 'src0'"))
 

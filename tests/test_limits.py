@@ -6,6 +6,7 @@ from evidence_spark.operators import corpus as C
 from evidence_spark.operators import graph as G
 from evidence_spark.operators import ledger as L
 from evidence_spark.operators import match as M
+from evidence_spark.operators.matching import assign_evidence
 
 
 def test_all_term_pairs_of_a_long_passage(spark):
@@ -32,7 +33,7 @@ def test_chain_roots_and_cycles(spark):
 def test_matching_is_whole(spark):
     pairs = spark.createDataFrame([(1, f"e{i}", f"r{j}") for i in range(6) for j in range(6) if j <= i], "graph_id int, ev string, req string")
     reqs = pairs.select("graph_id", "req").distinct()
-    assert G.assign_evidence(pairs, reqs, reqs.limit(0)).count() == 6
+    assert assign_evidence(pairs, reqs, reqs.limit(0)).count() == 6
 
 
 def test_evidence_by_string_ids(spark):
@@ -47,7 +48,7 @@ def test_evidence_by_string_ids(spark):
 def test_routing_scores_equal_the_gram_join(spark):
     lines = spark.createDataFrame([("s", f"n{i % 3}", f"line number {i} about tea and {w}") for i, w in enumerate(["milk", "sugar", "milk", "water", "honey"])] + [("s", "n9", "tea")], "source string, node string, phrase string")
     asked = spark.createDataFrame([(1, "tea and milk", 1.0), (1, "about sugar", 0.9), (2, "tea and honey with something much longer", 1.0)], "q int, fragment string, weight double")
-    got = {(r.q, r.node): r.score for r in M.line_scores(lines, asked).collect()}
+    got = {(r.q, r.node): r.score for r in M.top_nodes(lines, asked, 9).collect()}
     pairs = M.coverage_pairs(lines, "phrase", asked, "fragment", 0.0, prefix=False).select("it", "ot", M.geometric().alias("s"))
     joined = M.attach(M.attach(pairs, "it", lines, "phrase", ["node", "phrase"]), "ot", asked, "fragment", ["q", "fragment", "weight"])
     want = {}
