@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import words as W
 from ..functions.grams import best_nodes, gram_rows, marked_texts, pair_overlaps
-from ..session import spread_by, width
+from ..session import materialize, spread_by, width
 
 
 def text_id(c: Column) -> Column:
@@ -119,9 +119,12 @@ def build_index(lines: DataFrame, per_node: int | None = None, budget: int | Non
     return kept
 
 
-def rare_words(index: DataFrame, max_sources: int = W.RARE_MAX_SOURCES) -> DataFrame:
-    """(word, source): words that occur in at most ``max_sources`` sources."""
-    owned = index.select("source", F.explode_outer(T.bare_words(F.col("phrase"))).alias("word")).distinct()
+def rare_words(index: DataFrame, max_sources: int = W.RARE_MAX_SOURCES, among: DataFrame | None = None) -> DataFrame:
+    """(word, source): words that occur in at most ``max_sources`` sources, only those of ``among`` (word) if given."""
+    owned = index.select("source", F.explode_outer(T.bare_words(F.col("phrase"))).alias("word"))
+    if among is not None:
+        owned = owned.join(among.select("word").distinct(), "word", "left_semi")
+    owned = owned.select("source", "word").distinct()
     few = owned.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") <= max_sources)
     return owned.join(few.select("word"), "word")
 
@@ -171,6 +174,7 @@ def route(
     threshold: float = W.ROUTE_THRESHOLD, k: int = 3,
 ) -> DataFrame:
     """Top ``k`` sources per question; only the pure score may answer, bonuses merely reorder."""
+    index = materialize(index, "index")
     base = support_scores(top_nodes(index, fragments))
     asked = questions.select("q", T.detect_lang_script(F.col("question")).alias("q_lang"))
     langs = source_lang.agg(F.count_distinct("lang").alias("n_langs"))
@@ -180,7 +184,7 @@ def route(
         F.regexp_extract_all("phrase", F.lit(r"\b[A-Z]{2,}\b"), F.lit(0)))).alias("word")).distinct()
     exact = acronym.join(held, "word").select("q", "source").distinct().withColumn("exact", F.lit(True))
     asked_words = questions.select("q", F.explode_outer(T.bare_words(F.col("question"))).alias("word"))
-    rare = asked_words.join(rare_words(index), "word").groupBy("q", "source").agg(F.count("*").alias("rare"))
+    rare = asked_words.join(rare_words(index, among=asked_words), "word").groupBy("q", "source").agg(F.count("*").alias("rare"))
     foreign = (F.col("n_langs") > 1) & (F.col("q_lang") != "mixed") & (F.col("q_lang") != F.col("lang"))
     scored = (
         base.join(asked, "q").join(source_lang, "source").join(F.broadcast(langs))
@@ -240,8 +244,6 @@ def multi_evidence_join(utterances: DataFrame, aliases: DataFrame) -> DataFrame:
 
     Every round takes the longest remaining hit of each utterance, blanks its text and drops its node.
     """
-    from ..session import materialize
-
     hits = materialize(evidence_hits(utterances, aliases).withColumn("rest", F.col("t")).drop("t"), "hits")
     chosen = None
     for rnd in count():
