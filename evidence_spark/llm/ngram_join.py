@@ -9,9 +9,10 @@ Prefixes take rare shingles first: shingles in many lists (passages that many do
 moved to the end of the common order, which changes no result, as any order shared by all sets finds every pair.
 
 Groups of many near copies make lists of which every two members are linked.  Their pairs are not listed: each member
-is checked against one hub of its list first, and then only members that the links found so far do not connect are
-checked against each other.  So every pair of sets is linked over checked links or has been checked itself.  Before
-sets are compared, folded bit maps bound their difference, which throws out almost all unlinked pairs exactly.
+is checked against one hub of its list first, and then members that the links found so far do not connect meet in
+tasks, which check their sets and let out one link for each connection that it makes.  So every pair of sets is linked over
+checked links or has been checked itself.  Before sets are compared, folded bit maps bound their difference, which throws
+out almost all unlinked pairs exactly.
 
 Sets are of 64-bit hashes; equal sets (whatever the texts) are one class with a 64-bit key.
 """
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, width
 from .common import UnitCache, components, in_arrow
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -39,8 +40,8 @@ CHECK_COST = 8
 #: Classes are looked up by a broadcast of their ids up to so many, by a shuffle beyond.
 SMALL = 1 << 20
 BITS = 1024
-#: Lists up to this size are compared row by following row, longer ones by strips; those over ``BLOCK`` are dealt out.
-SHORT, BLOCK = 32, 2048
+#: Classes of one block of a group whose members meet in pairs of blocks.
+BLOCK = 1024
 #: Sets up to this size are kept whole; subsets are listed of smaller ones only.
 ALL_KEPT = 64
 
@@ -278,13 +279,8 @@ def _may_link(like: Likeness, na: Column, nb: Column, pa_: Column, pb: Column) -
     return like.near_sizes(na, nb) & ((pa_ < 0) | (pa_ + pb <= na + nb - 2 * like.common(na, nb)))
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, like: Likeness) -> DataFrame:
-    """Those of ``pairs`` (a, b, na, nb), classes, that are linked: by folded bits, then by the sets themselves."""
-    bits = classes.select("cls", "bits")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(bits.select(F.col("cls").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("cls").alias("b"), F.col("bits").alias("y")), "b")
-    near = materialize(near.filter(differ <= F.col("na") + F.col("nb") - 2 * like.common(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"), "near")
-    wanted = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(cls, set): the shingles of the classes ``wanted`` (cls), read again from the text of one of their documents."""
     wanted = materialize(wanted.join(classes, "cls").select("cls", F.col("id").alias("wanted_id")), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
 
@@ -298,85 +294,97 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, li
 
     # Another row may have the id of a class's first row: only the set of the class counts, and once.
     sets = in_arrow(docs.join(side, F.col("id").eqNullSafe(F.col("wanted_id"))).select("cls", "text"), run, "cls long, set array<long>")
-    sets = materialize(sets.groupBy("cls").agg(F.first("set").alias("set")), "sets")
+    return materialize(sets.groupBy("cls").agg(F.first("set").alias("set")), "sets")
+
+
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, like: Likeness) -> DataFrame:
+    """Those of ``pairs`` (a, b, na, nb), classes, that are linked: by folded bits, then by the sets themselves."""
+    bits = classes.select("cls", "bits")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(bits.select(F.col("cls").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("cls").alias("b"), F.col("bits").alias("y")), "b")
+    near = materialize(near.filter(differ <= F.col("na") + F.col("nb") - 2 * like.common(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"), "near")
+    sets = _sets(docs, classes, near.select(F.col("a").alias("cls")).union(near.select("b")).distinct(), words)
     inter = F.size(F.array_intersect("x", "y")).cast("long")
     found = near.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
     found = found.withColumn("i", inter).filter(F.col("i") * like.den >= (F.col("na") + F.col("nb") - F.col("i")) * like.num)
     return materialize(found.select("a", "b"), "links")
 
 
-def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """Those pairs of rows of one list that are of different components and may be linked, by sizes, places and bits."""
-    na, nb = rows["n"][i], rows["n"][j]
-    most = na + nb - 2 * like.common(na, nb)
-    ok = (rows["component"][i] != rows["component"][j]) & (na * like.den >= nb * like.num) & (nb * like.den >= na * like.num)
-    ok &= (rows["pos"][i] < 0) | (rows["pos"][i] + rows["pos"][j] <= most)
-    ok &= (rows["x"][i] == rows["y"][i]) | (rows["block"][i] != rows["block"][j])
-    i, j, most = i[ok], j[ok], most[ok]
-    near = [np.bitwise_count(rows["bits"][i[k : k + 10_000]] ^ rows["bits"][j[k : k + 10_000]]).sum(axis=1) <= most[k : k + 10_000] for k in range(0, len(i), 10_000)]
-    near = np.concatenate(near) if near else np.empty(0, bool)
-    return i[near], j[near]
-
-
-def _within(rows: dict[str, np.ndarray], start: np.ndarray, like: Likeness) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Close pairs of rows of the same list; lists begin at ``start``.  Short lists are compared all at once, row by
-    following row; long ones by strips, so that memory stays bounded."""
-    total = len(rows["w"])
-    size = np.diff(np.append(start, total))
-    end = np.repeat(start + size, size)
-    short = np.repeat(size <= SHORT, size)
-    at = np.flatnonzero(short)
-    for step in range(1, int(size[size <= SHORT].max(initial=0))):
-        at = at[at + step < end[at]]
-        yield _close(rows, at, at + step, like)
-    for a, n in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-        for k in range(a, a + n, 32):
-            i, j = np.meshgrid(np.arange(k, min(k + 32, a + n)), np.arange(k + 1, a + n), indexing="ij")
-            ahead = j > i
-            yield _close(rows, i[ahead], j[ahead], like)
-
-
-def _apart(lists: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b, na, nb) of members of one list that may be linked and are not connected, from lists (w, cls, n, pos,
-    component, bits).
-
-    Pairs are formed inside tasks and only the close ones leave them.  A long list is dealt out as pairs of blocks, so
-    it spreads over tasks and no task holds more than two blocks of it."""
+class _Cell:
+    """Classes of one cell: their sets, sizes, bits and components."""
+
+    def __init__(self):
+        self.sets, self.n, self.bits, self.component, self.block, self.cls = [], [], [], [], [], []
+
+    def links(self, like: Likeness) -> tuple[list[int], list[int]]:
+        """Links that connect components, each checked on the sets themselves; at most one for each that it connects."""
+        n, block, cls = (np.array(x, np.int64) for x in (self.n, self.block, self.cls))
+        bits = np.stack(self.bits)
+        root = np.unique(np.array(self.component, np.int64), return_inverse=True)[1]
+        # The largest component comes last: its members are only looked at from outside.
+        order = np.lexsort((cls, root, np.bincount(root)[root]))
+        n, block, cls, bits, root = n[order], block[order], cls[order], bits[order], root[order]
+        sets = [self.sets[k] for k in order.tolist()]
+        apart = np.concatenate([[0], np.cumsum(np.diff(block) != 0)])[-1] > 0
+        a, b = [], []
+        for i in range(len(n) - 1):
+            j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            if not len(j):
+                continue
+            if apart:  # pairs of one block are looked at in that block's own cell
+                j = j[block[j] != block[i]]
+            j = j[(n[j] * like.den >= n[i] * like.num) & (n[i] * like.den >= n[j] * like.num)]
+            most = n[i] + n[j] - 2 * like.common(n[i], n[j])
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+            near = differ <= most
+            j, differ = j[near], differ[near]
+            for k in j[np.argsort(differ, kind="stable")].tolist():
+                if root[k] == root[i]:
+                    continue
+                shared = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if shared * like.den >= (n[i] + n[k] - shared) * like.num:
+                    a.append(int(min(cls[i], cls[k])))
+                    b.append(int(max(cls[i], cls[k])))
+                    root[root == root[k]] = root[i]
+        return a, b
+
+
+def _apart(lists: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): links between classes that share a list and that no link found so far connects, from lists
+    (w, cls, n, component, least, bits); ``least`` is the smallest component of the list.
+
+    Lists with the same smallest component are mostly of one group of near copies, so their members meet once for all of
+    them, each with its set.  A group is dealt out as pairs of blocks; a task holds two blocks and lets out no more links
+    than it connects components, so no group becomes pairs."""
     c = F.col
-    large = materialize(lists.groupBy("w").count().filter(c("count") > BLOCK), "long-lists")
+    members = materialize(lists.select("least", "cls", "n", "component").distinct(), "members")
+    sizes = members.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    large = materialize(sizes, "large-groups")
     side = F.broadcast(large) if large.count() <= SMALL else large
-    dealt = lists.join(side, "w", "left").withColumn("blocks", F.coalesce(F.ceil(c("count") / BLOCK), F.lit(1)).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), c("blocks")).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), c("blocks").cast("long") - 1)))
-    cells = dealt.select("w", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", "pos", "component", "bits")
-    names = ("w", "x", "y", "block", "cls", "n", "pos", "component")
-
-    def close(rows: dict[str, np.ndarray], start: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, j in _within(rows, start, like):
-            if len(i):
-                swap = rows["cls"][i] > rows["cls"][j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["cls"][i]), pa.array(rows["cls"][j]), pa.array(rows["n"][i]), pa.array(rows["n"][j])], names=["a", "b", "na", "nb"])
+    dealt = members.join(side, "least", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), c("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    cells = dealt.select("least", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None  # of the list that may go on in the next batch
+        group, cell = None, _Cell()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = {name: batch.column(k).to_numpy() for k, name in enumerate(names)}
-            rows["bits"] = batch.column(len(names)).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-            if rest is not None:
-                rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
-            new = np.flatnonzero((rows["w"][1:] != rows["w"][:-1]) | (rows["x"][1:] != rows["x"][:-1]) | (rows["y"][1:] != rows["y"][:-1])) + 1
-            start = np.concatenate([[0], new])
-            whole = {k: v[: start[-1]] for k, v in rows.items()}
-            if len(start) > 1:
-                yield from close(whole, start[:-1])
-            rest = {k: v[start[-1] :] for k, v in rows.items()}
-        if rest is not None:
-            yield from close(rest, np.zeros(1, np.int64))
-
-    placed = cells.repartition("w", "x", "y").sortWithinPartitions("w", "x", "y")
-    return in_arrow(placed, run, "a long, b long, na long, nb long")
+            columns = [batch[k].to_pylist() for k in ("least", "x", "y", "block", "cls", "n", "component")]
+            ends = np.concatenate([[0], np.cumsum(batch["set"].value_lengths().to_numpy())]).tolist()
+            flat = batch["set"].flatten().to_numpy()
+            bits = batch["bits"].flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            for k, (*key, block, cls, n, component) in enumerate(zip(*columns, strict=True)):
+                if key != group:
+                    if len(cell.cls) > 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cell.links(like)], names=["a", "b"])
+                    group, cell = key, _Cell()
+                for held, value in ((cell.sets, flat[ends[k] : ends[k + 1]].copy()), (cell.bits, bits[k].copy()), (cell.block, block), (cell.cls, cls), (cell.n, n), (cell.component, component)):
+                    held.append(value)
+        if len(cell.cls) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cell.links(like)], names=["a", "b"])
+
+    placed = cells.join(sets, "cls").select("least", "x", "y", "block", "cls", "n", "component", "bits", "set")
+    placed = placed.repartition(width(lists.sparkSession), "least", "x", "y").sortWithinPartitions("least", "x", "y")
+    return in_arrow(placed, run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,12 +409,11 @@ def near_duplicates(df: DataFrame, words: int = 5, num: int = 80, den: int = 100
     joined = components(links)
 
     # What is left to check: members of one list that are not connected yet.
-    now = met.select("w", "cls", "n", "pos").join(joined.select(c("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    now = met.select("w", "cls", "n").join(joined.select(c("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     now = now.withColumn("least", F.min("component").over(of_list)).withColumn("most", F.max("component").over(of_list)).filter("least <> most")
-    now = materialize(now.select("w", "cls", "n", "pos", "component"), "apart")
-    rest = _apart(now.join(classes.select("cls", "bits"), "cls"), like).distinct()
-    rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")  # a hub is the smallest of its list, so a < b there too
-    links = links.union(_links(docs, classes, rest, words, like))
+    now = materialize(now.select("w", "cls", "n", "component", "least"), "apart")
+    sets = _sets(docs, classes, now.select("cls").distinct(), words).join(classes.select("cls", "bits"), "cls")
+    links = materialize(links.union(_apart(now, sets, like)), "links")
 
     # Smallest id of each component, then back to the documents.
     whole = classes.select("cls", "id").join(components(links).select(c("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
