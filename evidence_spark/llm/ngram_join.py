@@ -40,7 +40,9 @@ CHECK_COST = 8
 #: Classes are looked up by a broadcast of their ids up to so many, by a shuffle beyond.
 SMALL = 1 << 20
 BITS = 1024
-#: Classes of one block of a group whose members meet in pairs of blocks.
+#: Lists up to this size are compared row by following row, longer ones by strips; those over ``LIST_BLOCK`` are dealt out.
+SHORT, LIST_BLOCK = 32, 2048
+#: Classes of one block of a group whose members meet with their sets, as pairs of blocks.
 BLOCK = 1024
 #: Sets up to this size are kept whole; subsets are listed of smaller ones only.
 ALL_KEPT = 64
@@ -310,6 +312,80 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, li
     return materialize(found.select("a", "b"), "links")
 
 
+def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of rows of one list that are of different components and may be linked, by sizes, places and bits."""
+    na, nb = rows["n"][i], rows["n"][j]
+    most = na + nb - 2 * like.common(na, nb)
+    ok = (rows["component"][i] != rows["component"][j]) & (na * like.den >= nb * like.num) & (nb * like.den >= na * like.num)
+    ok &= (rows["pos"][i] < 0) | (rows["pos"][i] + rows["pos"][j] <= most)
+    ok &= (rows["x"][i] == rows["y"][i]) | (rows["block"][i] != rows["block"][j])
+    i, j, most = i[ok], j[ok], most[ok]
+    near = [np.bitwise_count(rows["bits"][i[k : k + 10_000]] ^ rows["bits"][j[k : k + 10_000]]).sum(axis=1) <= most[k : k + 10_000] for k in range(0, len(i), 10_000)]
+    near = np.concatenate(near) if near else np.empty(0, bool)
+    return i[near], j[near]
+
+
+def _within(rows: dict[str, np.ndarray], start: np.ndarray, like: Likeness) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Close pairs of rows of the same list; lists begin at ``start``.  Short lists are compared all at once, row by
+    following row; long ones by strips, so that memory stays bounded."""
+    total = len(rows["w"])
+    size = np.diff(np.append(start, total))
+    end = np.repeat(start + size, size)
+    short = np.repeat(size <= SHORT, size)
+    at = np.flatnonzero(short)
+    for step in range(1, int(size[size <= SHORT].max(initial=0))):
+        at = at[at + step < end[at]]
+        yield _close(rows, at, at + step, like)
+    for a, n in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+        for k in range(a, a + n, 32):
+            i, j = np.meshgrid(np.arange(k, min(k + 32, a + n)), np.arange(k + 1, a + n), indexing="ij")
+            ahead = j > i
+            yield _close(rows, i[ahead], j[ahead], like)
+
+
+def _doubtful(lists: DataFrame, like: Likeness) -> DataFrame:
+    """(least, cls, n, component): members of lists (w, cls, n, pos, component, least, bits) that may be linked, by sizes,
+    places and bits, to a member of another component; ``least`` is the smallest component of the list.
+
+    Pairs are formed inside tasks and only members leave them.  A long list is dealt out as pairs of blocks, so
+    it spreads over tasks and no task holds more than two blocks of it."""
+    c = F.col
+    large = materialize(lists.groupBy("w").count().filter(c("count") > LIST_BLOCK), "long-lists")
+    side = F.broadcast(large) if large.count() <= SMALL else large
+    dealt = lists.join(side, "w", "left").withColumn("blocks", F.coalesce(F.ceil(c("count") / LIST_BLOCK), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), c("blocks")).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), c("blocks").cast("long") - 1)))
+    cells = dealt.select("w", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", "pos", "component", "least", "bits")
+    names = ("w", "x", "y", "block", "cls", "n", "pos", "component", "least")
+
+    def close(rows: dict[str, np.ndarray], start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(rows["w"]), bool)
+        for i, j in _within(rows, start, like):
+            found[i] = found[j] = True
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[k][found]) for k in ("least", "cls", "n", "component")], names=["least", "cls", "n", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None  # of the list that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {name: batch.column(k).to_numpy() for k, name in enumerate(names)}
+            rows["bits"] = batch.column(len(names)).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            if rest is not None:
+                rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
+            new = np.flatnonzero((rows["w"][1:] != rows["w"][:-1]) | (rows["x"][1:] != rows["x"][:-1]) | (rows["y"][1:] != rows["y"][:-1])) + 1
+            start = np.concatenate([[0], new])
+            whole = {k: v[: start[-1]] for k, v in rows.items()}
+            if len(start) > 1:
+                yield from close(whole, start[:-1])
+            rest = {k: v[start[-1] :] for k, v in rows.items()}
+        if rest is not None:
+            yield from close(rest, np.zeros(1, np.int64))
+
+    placed = cells.repartition("w", "x", "y").sortWithinPartitions("w", "x", "y")
+    return in_arrow(placed, run, "least long, cls long, n long, component long").distinct()
+
+
 class _Cell:
     """Classes of one cell: their sets, sizes, bits and components."""
 
@@ -349,15 +425,14 @@ class _Cell:
         return a, b
 
 
-def _apart(lists: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b): links between classes that share a list and that no link found so far connects, from lists
-    (w, cls, n, component, least, bits); ``least`` is the smallest component of the list.
+def _apart(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): links between ``members`` (least, cls, n, component) with the same ``least`` that no link found so far
+    connects, from sets (cls, set, bits).
 
     Lists with the same smallest component are mostly of one group of near copies, so their members meet once for all of
     them, each with its set.  A group is dealt out as pairs of blocks; a task holds two blocks and lets out no more links
     than it connects components, so no group becomes pairs."""
     c = F.col
-    members = materialize(lists.select("least", "cls", "n", "component").distinct(), "members")
     sizes = members.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
     large = materialize(sizes, "large-groups")
     side = F.broadcast(large) if large.count() <= SMALL else large
@@ -383,7 +458,7 @@ def _apart(lists: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cell.links(like)], names=["a", "b"])
 
     placed = cells.join(sets, "cls").select("least", "x", "y", "block", "cls", "n", "component", "bits", "set")
-    placed = placed.repartition(width(lists.sparkSession), "least", "x", "y").sortWithinPartitions("least", "x", "y")
+    placed = placed.repartition(width(members.sparkSession), "least", "x", "y").sortWithinPartitions("least", "x", "y")
     return in_arrow(placed, run, "a long, b long")
 
 
@@ -409,11 +484,12 @@ def near_duplicates(df: DataFrame, words: int = 5, num: int = 80, den: int = 100
     joined = components(links)
 
     # What is left to check: members of one list that are not connected yet.
-    now = met.select("w", "cls", "n").join(joined.select(c("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    now = met.select("w", "cls", "n", "pos").join(joined.select(c("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     now = now.withColumn("least", F.min("component").over(of_list)).withColumn("most", F.max("component").over(of_list)).filter("least <> most")
-    now = materialize(now.select("w", "cls", "n", "component", "least"), "apart")
-    sets = _sets(docs, classes, now.select("cls").distinct(), words).join(classes.select("cls", "bits"), "cls")
-    links = materialize(links.union(_apart(now, sets, like)), "links")
+    now = materialize(now.select("w", "cls", "n", "pos", "component", "least"), "apart")
+    doubtful = materialize(_doubtful(now.join(classes.select("cls", "bits"), "cls"), like), "doubtful")
+    sets = _sets(docs, classes, doubtful.select("cls").distinct(), words).join(classes.select("cls", "bits"), "cls")
+    links = materialize(links.union(_apart(doubtful, sets, like)), "links")
 
     # Smallest id of each component, then back to the documents.
     whole = classes.select("cls", "id").join(components(links).select(c("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
