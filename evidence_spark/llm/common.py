@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -9,9 +11,11 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
 from ..session import materialize
 
@@ -67,19 +71,54 @@ def claim(owner: str) -> None:
             cached.clear()
             cached.old = {}
         _OWNER[0] = owner
+        give_back()
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with the modules that ``run`` refers to at hand on every executor, in small batches."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    ship(spark)
+def give_back() -> None:
+    """Hands freed memory back to the system: a worker lives through many stages, and its allocators keep what was free."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def keep_where(df: DataFrame, columns: tuple[Column, ...], good: Callable[[list[list]], np.ndarray], rows: int) -> DataFrame:
+    """The rows of ``df`` for which ``good``, called with lists of ``columns`` of at most ``rows`` rows, is true.
+
+    Only the columns asked for go to Python and only the answers come back, so no other column and no text is copied on
+    its way through a worker."""
+    ship(df.sparkSession)
+    small_batches(df.sparkSession)
+    owner = good.__module__
+
+    def ask(*parts: pa.Array) -> pa.Array:
+        claim(owner)
+        out = [good([c.slice(at, rows).to_pylist() for c in parts]) for at in range(0, len(parts[0]), rows)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool), pa.bool_())
+
+    return df.filter(arrow_udf(ask, "boolean", ArrowUDFType.SCALAR)(*columns))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows, for as long as the session lives: plans are lazy, so the setting must
+    still hold when they run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with the modules that ``run`` refers to at hand on every executor, in small batches."""
+    ship(df.sparkSession)
+    small_batches(df.sparkSession)
     owner = run.__module__
 
     def claimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(owner)
         yield from run(batches)
+        give_back()
 
     return df.mapInArrow(claimed, schema)
 

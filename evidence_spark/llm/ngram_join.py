@@ -39,6 +39,7 @@ LONG_LIST, MOST_FREQUENT = 20, 1 << 20
 CHECK_COST = 8
 #: Classes are looked up by a broadcast of their ids up to so many, by a shuffle beyond.
 SMALL = 1 << 20
+FEW = 1 << 17
 BITS = 1024
 #: Lists up to this size are compared row by following row, longer ones by strips; those over ``LIST_BLOCK`` are dealt out.
 SHORT, LIST_BLOCK = 32, 2048
@@ -427,7 +428,7 @@ class _Cell:
 
 def _apart(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """(a, b): links between ``members`` (least, cls, n, component) with the same ``least`` that no link found so far
-    connects, from sets (cls, set, bits).
+    connects, from sets (cls, set).
 
     Lists with the same smallest component are mostly of one group of near copies, so their members meet once for all of
     them, each with its set.  A group is dealt out as pairs of blocks; a task holds two blocks and lets out no more links
@@ -446,18 +447,21 @@ def _apart(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
             columns = [batch[k].to_pylist() for k in ("least", "x", "y", "block", "cls", "n", "component")]
             ends = np.concatenate([[0], np.cumsum(batch["set"].value_lengths().to_numpy())]).tolist()
             flat = batch["set"].flatten().to_numpy()
-            bits = batch["bits"].flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
             for k, (*key, block, cls, n, component) in enumerate(zip(*columns, strict=True)):
                 if key != group:
                     if len(cell.cls) > 1:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cell.links(like)], names=["a", "b"])
                     group, cell = key, _Cell()
-                for held, value in ((cell.sets, flat[ends[k] : ends[k + 1]].copy()), (cell.bits, bits[k].copy()), (cell.block, block), (cell.cls, cls), (cell.n, n), (cell.component, component)):
+                found = flat[ends[k] : ends[k + 1]].copy()
+                for held, value in ((cell.sets, found), (cell.bits, folded(found.view(np.uint64)).view(np.uint64)), (cell.block, block), (cell.cls, cls), (cell.n, n), (cell.component, component)):
                     held.append(value)
         if len(cell.cls) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cell.links(like)], names=["a", "b"])
 
-    placed = cells.join(sets, "cls").select("least", "x", "y", "block", "cls", "n", "component", "bits", "set")
+    # Cells are a few numbers a row: where they are few, they go to the sets, and a set is dealt out only once.
+    cells = materialize(cells, "cells")
+    side = F.broadcast(cells) if cells.count() <= FEW else cells
+    placed = sets.join(side, "cls").select("least", "x", "y", "block", "cls", "n", "component", "set")
     placed = placed.repartition(width(members.sparkSession), "least", "x", "y").sortWithinPartitions("least", "x", "y")
     return in_arrow(placed, run, "a long, b long")
 
@@ -488,7 +492,7 @@ def near_duplicates(df: DataFrame, words: int = 5, num: int = 80, den: int = 100
     now = now.withColumn("least", F.min("component").over(of_list)).withColumn("most", F.max("component").over(of_list)).filter("least <> most")
     now = materialize(now.select("w", "cls", "n", "pos", "component", "least"), "apart")
     doubtful = materialize(_doubtful(now.join(classes.select("cls", "bits"), "cls"), like), "doubtful")
-    sets = _sets(docs, classes, doubtful.select("cls").distinct(), words).join(classes.select("cls", "bits"), "cls")
+    sets = _sets(docs, classes, doubtful.select("cls").distinct(), words)
     links = materialize(links.union(_apart(doubtful, sets, like)), "links")
 
     # Smallest id of each component, then back to the documents.
