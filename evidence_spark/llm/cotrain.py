@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow
+from .common import in_arrow, keep_where
 
 LABELLED, POOL = 8000, 8000
 ROUNDS, GROW, SURE = 3, 400, 0.98
@@ -61,17 +61,19 @@ def text_features(text: str | None) -> np.ndarray:
     return np.concatenate([kinds, pairs, shape]).astype(np.float32)
 
 
-def meta_features(values: dict) -> np.ndarray:
-    """Hashed values of text columns, logarithms of numbers; nulls have marks of their own."""
+def meta_features(values: list, kinds: tuple[tuple[str, bool], ...]) -> np.ndarray:
+    """Hashed values of text columns, logarithms of numbers, by the (name, is a number) of each column; nulls have marks of
+    their own, and so have numbers that are none."""
     parts = []
-    for name, value in values.items():
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            parts.append(np.array([np.log1p(abs(value)), 0.0]))
+    for (name, number), value in zip(kinds, values, strict=True):
+        if number:
+            there = value is not None and np.isfinite(value)
+            parts.append(np.array([np.log1p(abs(value)), 0.0] if there else [0.0, 1.0]))
         else:
             hashed = np.zeros(32)
             hashed[zlib.crc32(f"{name}={value}".encode()) % 31 if value is not None else 31] = 1
-            parts.append(hashed if not name.startswith("n_") else np.array([0.0, 1.0]))
-    return np.concatenate(parts).astype(np.float32)
+            parts.append(hashed)
+    return np.concatenate(parts).astype(np.float32) if parts else np.zeros(0, np.float32)
 
 
 class Logistic:
@@ -148,8 +150,8 @@ class CoTrained:
         return np.column_stack([sigmoid(self.joint.logit(logits)), sigmoid(logits)])
 
 
-def _features(texts: list, metas: list[list], names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    meta = [meta_features(dict(zip(names, row, strict=True))) for row in zip(*metas, strict=True)]
+def _features(texts: list, metas: list[list], kinds: tuple[tuple[str, bool], ...]) -> tuple[np.ndarray, np.ndarray]:
+    meta = [meta_features(row, kinds) for row in zip(*metas, strict=True)] if metas else [meta_features([], ())] * len(texts)
     return np.array([text_features(t) for t in texts]), np.array(meta)
 
 
@@ -169,16 +171,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = rows.join(F.broadcast(known.union(others)), "mark")
     sample = chosen.groupBy("mark").agg(*(F.first(c).alias(c) for c in ("id", "y", "text", *meta_cols)))
     aside = F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)) == 0
-    names = tuple(meta_cols)
+    kinds = _kinds(docs, meta_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             if batch.num_rows:
-                text, meta = _features(columns[2], columns[3:], names)
+                text, meta = _features(columns[2], columns[3:], kinds)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(text), pa.list_(pa.float32())), pa.array(list(meta), pa.list_(pa.float32()))], names=["y", "aside", "x", "m"])
 
-    made = in_arrow(sample.select("y", aside.alias("aside"), "text", *names), run, "y double, aside boolean, x array<float>, m array<float>").toArrow()
+    made = in_arrow(sample.select("y", aside.alias("aside"), "text", *meta_cols), run, "y double, aside boolean, x array<float>, m array<float>").toArrow()
     y = np.array([np.nan if v is None else v for v in made.column("y").to_pylist()], np.float64)
     set_aside = np.array([bool(v) for v in made.column("aside").to_pylist()], bool)
     grid = lambda name: np.array(made.column(name).to_pylist(), np.float64).reshape(len(y), -1 if len(y) else 1)
@@ -187,11 +189,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return CoTrained(text[known], meta[known], y[known], set_aside[known], text[~known], meta[~known])
 
 
+def _kinds(docs: DataFrame, names: tuple[str, ...]) -> tuple[tuple[str, bool], ...]:
+    """(name, is a number) of metadata columns, by their types."""
+    kinds = dict(docs.dtypes)
+    return tuple((n, kinds[n] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[n].startswith("decimal")) for n in names)
+
+
 def _plain(docs: DataFrame, name: str):
     """A metadata column as a number or a string."""
-    kind = dict(docs.dtypes)[name]
-    number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
-    return F.col(name).cast("double" if number else "string").alias(name)
+    return F.col(name).cast("double" if _kinds(docs, (name,))[0][1] else "string").alias(name)
 
 
 def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = META) -> DataFrame:
@@ -199,14 +205,14 @@ def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: s
 
     A null text is empty text; null metadata has marks of its own; repeated rows are rows like others; other columns are
     not looked at."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), tuple(meta_cols)
+    shared, kinds = docs.sparkSession.sparkContext.broadcast(model), _kinds(docs, meta_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
                 columns = [c.to_pylist() for c in piece.columns]
-                p = shared.value.score(*_features(columns[1], columns[2:], names))
+                p = shared.value.score(*_features(columns[1], columns[2:], kinds))
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(p[:, i]) for i in range(3)), pa.array(p[:, 0] >= shared.value.cut)], names=["id", "score", "score_text", "score_meta", "good"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(_plain(docs, c) for c in meta_cols))
@@ -215,13 +221,9 @@ def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: s
 
 def keep_good(docs: DataFrame, model: CoTrained, text_col: str = "text", meta_cols: tuple[str, ...] = META) -> DataFrame:
     """The rows of ``docs``, all columns, that score at least the cut."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), tuple(meta_cols)
+    shared, kinds = docs.sparkSession.sparkContext.broadcast(model), _kinds(docs, meta_cols)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
-                p = shared.value.score(*_features(piece.column(text_col).to_pylist(), [piece.column(c).to_pylist() for c in names], names))
-                yield piece.filter(pa.array(p[:, 0] >= shared.value.cut))
+    def good(columns: list[list]) -> np.ndarray:
+        return shared.value.score(*_features(columns[0], columns[1:], kinds))[:, 0] >= shared.value.cut
 
-    return in_arrow(docs, run, docs.schema)
+    return keep_where(docs, (F.col(text_col).cast("string"), *(_plain(docs, c) for c in meta_cols)), good, 500)
