@@ -190,8 +190,8 @@ class FragmentBlock:
 class _Best:
     """The ``keep`` best nodes of one source for each question so far."""
 
-    def __init__(self, block: FragmentBlock, keep: int):
-        self.block, self.keep = block, keep
+    def __init__(self, block: FragmentBlock, keep: int, digits: int | None = None):
+        self.block, self.keep, self.digits = block, keep, digits
         self.found: list[list[tuple]] = [[] for _ in block.names]
         self.bar = np.full(len(block.names), -1.0)
 
@@ -200,7 +200,7 @@ class _Best:
         b = self.block
         texts = {x: i for i, x in enumerate(dict.fromkeys(x[1:] for x in lines))}
         bags = [bag(plain, letters) for plain, letters, _ in texts]
-        active = np.flatnonzero(b.bounds(bags) >= self.bar[b.question])
+        active = np.flatnonzero(b.bounds(bags) + (0.0 if self.digits is None else 10.0**-self.digits) >= self.bar[b.question])
         if not len(active):
             return
         scores = b.scores(bags, active)
@@ -208,6 +208,8 @@ class _Best:
         guarded = (size < short)[:, None] & (b.length[active] > scale * size[:, None])
         scores[guarded & (scores > 0)] = 0.0
         values = np.where(scores < 0, -1.0, scores * b.factor[active])
+        if self.digits is not None:
+            values = np.round(values, self.digits)
         question = b.question[active]
         first = np.flatnonzero(np.concatenate([[True], question[1:] != question[:-1]]))
         values, question = np.maximum.reduceat(values, first, axis=1), question[first]
@@ -234,7 +236,7 @@ class _Best:
             self.bar[q] = -self.found[q][-1][0]
 
 
-def best_nodes(dealt: DataFrame, keep: int, short: int, scale: float, schema: str) -> DataFrame:
+def best_nodes(dealt: DataFrame, keep: int, short: int, scale: float, schema: str, digits: int | None = None) -> DataFrame:
     """(q, source, node, score): per question and source the best nodes of each group (tile, block) of ``dealt``, whose
     rows come in order with the fragments of the block before the lines of the tile, lines by source.
 
@@ -265,7 +267,7 @@ def best_nodes(dealt: DataFrame, keep: int, short: int, scale: float, schema: st
                 block = block or FragmentBlock(asked)
                 if best is None or src != source:
                     yield from out()
-                    source, best, lines = src, _Best(block, keep), []
+                    source, best, lines = src, _Best(block, keep, digits), []
                 lines.append((node, plain, letters, size))
                 if len(lines) >= CHUNK:
                     best.add(lines, short, scale)
@@ -273,3 +275,78 @@ def best_nodes(dealt: DataFrame, keep: int, short: int, scale: float, schema: st
         yield from out()
 
     return dealt.mapInArrow(run, schema)
+
+
+# --- anchors: rare slices by which a text is looked at for a phrase ---
+
+ANCHOR = 4
+
+
+def slices(text: str, size: int) -> np.ndarray:
+    """Distinct slices of ``size`` UTF-16 units, packed; a text shorter than that has none."""
+    u = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16).astype(np.uint64)
+    n = len(u) - size + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    out = u[:n].copy()
+    for k in range(1, size):
+        out = out << np.uint64(16) | u[k : n + k]
+    return np.unique(out).view(np.int64)
+
+
+def phrase_slices(phrases: DataFrame) -> DataFrame:
+    """(f, size, gram): the slices of each phrase of phrases(f), of ``ANCHOR`` units or of all that a shorter one has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, size, gram = [], [], []
+            for text in batch.column(0).to_pylist():
+                k = min(ANCHOR, len(text.encode("utf-16-le", "surrogatepass")) // 2)
+                found = slices(text, k).tolist() if k else []
+                f += [text] * len(found)
+                size += [k] * len(found)
+                gram += found
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(size, pa.int32()), pa.array(gram, pa.int64())], names=["f", "size", "gram"])
+
+    return phrases.select("f").mapInArrow(run, "f string, size int, gram bigint")
+
+
+def _found(text: str, wanted: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    for size, grams in wanted.items():
+        own = slices(text, size)
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        yield size, at[grams[at] == own]
+
+
+def slice_counts(texts: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
+    """(size, gram, n): how many texts of texts(tid, t) hold each wanted slice (sorted arrays by size), summed in each task."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)  # the slices of a bounded block of phrases
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {size: np.zeros(len(grams), np.int64) for size, grams in sent.value.items()}
+        for batch in batches:
+            for text in batch.column("t").to_pylist():
+                for size, at in _found(text, sent.value):
+                    counts[size][at] += 1
+        for size, n in counts.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size, np.int32)), pa.array(sent.value[size][some]), pa.array(n[some])], names=["size", "gram", "n"])
+
+    return texts.select("t").mapInArrow(run, "size int, gram bigint, n bigint").groupBy("size", "gram").agg(F.sum("n").alias("n"))
+
+
+def slice_hits(texts: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
+    """(tid, size, gram): the wanted slices that each text of texts(tid, t) holds."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, size_of, gram = [], [], []
+            for k, text in enumerate(batch.column("t").to_pylist()):
+                for size, at in _found(text, sent.value):
+                    row += [k] * len(at)
+                    size_of += [size] * len(at)
+                    gram += sent.value[size][at].tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(row, pa.int64())), pa.array(size_of, pa.int32()), pa.array(gram, pa.int64())], names=["tid", "size", "gram"])
+
+    return texts.select("tid", "t").mapInArrow(run, "tid binary, size int, gram bigint")

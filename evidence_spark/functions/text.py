@@ -43,12 +43,13 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def sanitize(c: Column, n: int = 700) -> Column:
-    """One clean line: tags vanish (words stay whole), entities resolved, controls and runs become a space."""
+def sanitize(c: Column, n: int | None = None) -> Column:
+    """One clean line: tags vanish (words stay whole), entities resolved, controls and runs become a space; with ``n`` cut
+    after so many characters."""
     c = unescape(F.regexp_replace(c, "<[^>]+>", ""))
     c = one_space(F.regexp_replace(c, r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}]", " "))
     c = F.trim(F.regexp_replace(c, r'^"+|"+$', ""))
-    return F.trim(F.substring(c, 1, n))
+    return c if n is None else F.trim(F.substring(c, 1, n))
 
 
 def flatten_jamo(c: Column) -> Column:
@@ -194,16 +195,16 @@ def fragments(c: Column, heads: Sequence[str] = W.FILLER_HEADS) -> Column:
     )
 
 
-def sentences(c: Column, lo: int = 20, hi: int = 380) -> Column:
-    """Clean sentences whose length lies in [lo, hi]."""
+def sentences(c: Column, lo: int = 1, hi: int | None = None) -> Column:
+    """Clean sentences, all that are not empty; with bounds those whose length lies in [lo, hi]."""
     parts = F.transform(F.split(c, r"(?<=[.!?])[\t-\r ]+|\n+"), one_space)
-    return F.filter(parts, lambda s: F.length(s).between(lo, hi))
+    return F.filter(parts, lambda s: F.length(s) >= lo if hi is None else F.length(s).between(lo, hi))
 
 
 def complete_sentences(c: Column) -> Column:
     """Distinct sentences of at least 12 characters that end in terminal punctuation, in order."""
     found = F.regexp_extract_all(c, F.lit(r"[^.!?。！？\n]{12,}+[.!?。！？](?=\s|$)"), F.lit(0))
-    clean = F.transform(found, lambda s: sanitize(s, 1500))
+    clean = F.transform(found, lambda s: sanitize(s))
     return F.array_distinct(F.filter(clean, lambda s: ~s.endswith("...") & ~s.endswith("…")))
 
 
@@ -379,5 +380,5 @@ def html_blocks(c: Column) -> Column:
         c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     c = F.regexp_replace(c, rf"(?i)</?(?:{'|'.join(W.HTML_BLOCK)})\b[^>]*>", "\x1e")
-    parts = F.transform(F.split(c, "\x1e"), lambda b: sanitize(b, 12000))
+    parts = F.transform(F.split(c, "\x1e"), lambda b: sanitize(b))
     return F.array_distinct(F.filter(parts, lambda b: F.length(b) >= 30))

@@ -197,18 +197,6 @@ def suggest_nodes(unknown: DataFrame, threshold: float = 0.30, min_n: int = 3) -
         (F.col("times") >= min_n) & (F.col("phrasings") >= 2))
 
 
-def genus_chain(senses: DataFrame) -> DataFrame:
-    """(word, sense): the sense of words with several whose definition shares the rarest words with its genus word's
-    definitions; picked only with a clear margin.  senses(word, sense, definition, genus)."""
-    terms = senses.select("word", "sense", "genus", F.explode(F.array_distinct(T.content_terms(F.col("definition"), 3))).alias("t"))
-    n = senses.agg(F.count("*").alias("n_all"))
-    df = terms.groupBy("t").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(n)).select("t", F.log(F.col("n_all") / (1 + F.col("df"))).alias("w"))
-    target = terms.select(F.col("word").alias("genus"), "t").distinct()
-    shared = terms.join(target, ["genus", "t"]).join(idf, "t").groupBy("word", "sense").agg(F.sum("w").alias("score"))
-    return margin_pick(senses.select("word", "sense").join(shared, ["word", "sense"], "left").na.fill(0.0, ["score"]), "word", "sense")
-
-
 def margin_pick(scores: DataFrame, key: str, item: str, margin: float = 1.3) -> DataFrame:
     """(key, item): best item if its score is positive and at least ``margin`` times the runner-up's, else null."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), item)

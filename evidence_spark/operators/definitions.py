@@ -1,10 +1,15 @@
-"""Exact term lookup, including comparison questions."""
+"""Exact term lookup, including comparison questions, and the chains of genus words that definitions make."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..session import materialize
+
 
 def definition_lookup(questions: DataFrame, defs: DataFrame) -> DataFrame:
     """(question, a, b, def_a, def_b, answered): one term, or two joined by "difference between X and Y"."""
@@ -17,3 +22,64 @@ def definition_lookup(questions: DataFrame, defs: DataFrame) -> DataFrame:
     j = q.join(key.select(F.col("term").alias("ka"), F.col("definition").alias("def_a")), F.lower(F.trim("a")) == F.col("ka"), "left")
     j = j.join(key.select(F.col("term").alias("kb"), F.col("definition").alias("def_b")), F.lower(F.trim("b")) == F.col("kb"), "left")
     return j.withColumn("answered", F.col("def_a").isNotNull() & (F.col("b").isNull() | F.col("def_b").isNotNull()))
+
+
+def genus_edges(senses: DataFrame, fillers: Sequence[str] = (), margin: float = 1.3) -> DataFrame:
+    """(word, sense, genus, genus_sense, object, is_action) of each word of senses(word, sense, definition, genus, object,
+    is_action), by its first sense.
+
+    A genus with several senses means the one whose definition shares the rarest words with the definition that refers to
+    it: every shared word counts ln(N / (1 + definitions with it)), and the best sum must be positive and ``margin`` times
+    the next one.  A link that stays ambiguous is cut (genus null), as are those to the word itself and to ``fillers``."""
+    from .corpus import margin_pick
+
+    c = F.col
+    rows = materialize(senses.filter("word IS NOT NULL AND sense IS NOT NULL"), "senses")
+    terms = rows.select("word", "sense", F.explode(F.array_distinct(T.content_terms(F.coalesce("definition", F.lit("")), 3))).alias("t"))
+    total = rows.agg(F.count("*").alias("whole"))  # one row
+    idf = terms.groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("t", F.log(c("whole") / (1 + c("df"))).alias("w"))
+    terms = materialize(terms.join(idf, "t"), "sense-terms")
+    first = rows.groupBy("word").agg(F.min_by(F.struct("sense", "genus", "object", "is_action"), "sense").alias("m")).select("word", "m.*")
+    usable = c("genus").isNotNull() & (c("genus") != "") & (c("genus") != c("word"))
+    if fillers:
+        usable &= ~c("genus").isin(list(fillers))
+    asked = first.filter(usable).select("word", "sense", "genus")
+    known = rows.groupBy(c("word").alias("genus")).agg(F.count("*").alias("n"), F.min("sense").alias("only"))
+    asked = materialize(asked.join(known, "genus", "left"), "genus-asked")
+    several = asked.filter("n > 1")
+    said = several.join(terms.select("word", "sense", "t", "w"), ["word", "sense"]).select("word", "genus", "t", "w")
+    meant = terms.select(c("word").alias("genus"), c("sense").alias("genus_sense"), "t")
+    shared = said.join(meant, ["genus", "t"]).groupBy("word", "genus_sense").agg(F.sum("w").alias("score"))
+    picked = margin_pick(shared, "word", "genus_sense", margin).filter("genus_sense IS NOT NULL")
+    linked = asked.join(picked, "word", "left").withColumn("genus_sense", F.when(c("n") > 1, c("genus_sense")).otherwise(c("only")))
+    linked = linked.filter("n IS NULL OR n = 1 OR genus_sense IS NOT NULL").select("word", "genus", "genus_sense")
+    return first.drop("genus").join(linked, "word", "left").select("word", "sense", "genus", "genus_sense", "object", "is_action")
+
+
+def jump_roots(parents: DataFrame) -> DataFrame:
+    """(node, root, depth) of parents(node, parent), one parent each: the end of every chain, by doubling: each round every
+    node takes over where its own target has got to, so rounds grow with the logarithm of the longest chain.
+
+    Nodes that run into a circle have no root.  A chain of more links holds one of just over the last round's reach, so when
+    a round brings no chain to its end only circles are left."""
+    c = F.col
+    at = materialize(parents.select("node", c("parent").alias("cur"), F.lit(1).alias("depth"), F.lit(False).alias("done")), "roots")
+    while True:
+        ahead = at.select(c("node").alias("cur"), c("cur").alias("far"), c("depth").alias("more"), c("done").alias("end"))
+        step = at.filter("NOT done").join(ahead, "cur", "left").select(
+            "node", F.coalesce("far", "cur").alias("cur"), (c("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (c("far").isNull() | c("end")).alias("done"))
+        step = materialize(step, "roots")
+        ended = not step.filter("done").isEmpty()
+        at = materialize(at.filter("done").unionByName(step), "roots")
+        if not ended:
+            return at.filter("done").select("node", c("cur").alias("root"), "depth")
+
+
+def build_genus_chain(senses: DataFrame, fillers: Sequence[str] = (), margin: float = 1.3) -> DataFrame:
+    """(word, genus, genus_sense, object, is_action, root, depth): ``genus_edges`` with the end of each word's chain; a word
+    without a genus is its own root, one on a circle has none."""
+    edges = materialize(genus_edges(senses, fillers, margin), "genus")
+    ends = jump_roots(edges.filter("genus IS NOT NULL").select(F.col("word").alias("node"), F.col("genus").alias("parent")))
+    out = edges.join(ends.withColumnRenamed("node", "word"), "word", "left")
+    alone = F.col("genus").isNull()
+    return out.select("word", "genus", "genus_sense", "object", "is_action", F.when(alone, F.col("word")).otherwise(F.col("root")).alias("root"), F.when(alone, 0).otherwise(F.col("depth")).alias("depth"))

@@ -12,15 +12,15 @@ Scale notes
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..functions.grams import best_nodes, gram_rows, marked_texts, pair_overlaps
+from ..functions.grams import best_nodes, gram_rows, marked_texts, pair_overlaps, phrase_slices, slice_counts, slice_hits
 from ..session import materialize, spread_by, width
+from .fixpoint import union_all
 
 
 def text_id(c: Column) -> Column:
@@ -134,14 +134,16 @@ QUERY_BLOCK = 512
 TILES = 1
 
 
-def top_nodes(index: DataFrame, fragments: DataFrame, keep: int = 2) -> DataFrame:
+def top_nodes(index: DataFrame, fragments: DataFrame, keep: int = 2, guard: bool = True, digits: int | None = None) -> DataFrame:
     """(q, source, node, score): for each question and source the ``keep`` nodes with the best line; equal scores by node.
 
     Lines are dealt into tiles and questions into blocks, and each pair of them is one group of a task: the block becomes
     an inverted list, the tile's lines run past it from short to long, by source.  A chunk of lines is scored only for
     fragments whose bound, from numbers and weights of grams alone, reaches the last of the best nodes so far.  A group
     returns at most ``keep`` nodes for each question and source: if a node is among the best, it is so in the tile of its
-    best line.  No question, line or score passes through the driver, and a node or source of any size spreads."""
+    best line.  No question, line or score passes through the driver, and a node or source of any size spreads.
+
+    With ``guard`` a short line does not win a much longer question; with ``digits`` scores are compared as rounded."""
     spark = index.sparkSession
     tiles = TILES * width(spark)
     blocks = F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("q") / QUERY_BLOCK)).cast("int").alias("blocks")
@@ -156,11 +158,19 @@ def top_nodes(index: DataFrame, fragments: DataFrame, keep: int = 2) -> DataFram
         F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"),
         "q", F.col("weight").cast("double").alias("weight"), F.lit(None).cast(kinds["source"]).alias("source"), F.lit(None).cast(kinds["node"]).alias("node"), plain.alias("plain"), letters.alias("letters"), F.length("fragment").alias("size"))
     dealt = asked.unionByName(lines).repartition(tiles * blocks, "tile", "block").sortWithinPartitions("tile", "block", "kind", "source", "size", "plain")
-    found = best_nodes(dealt, keep, W.SHORT_LINE, W.LONG_QUESTION_SCALE, ", ".join(f"{c} {k}" for c, k in (*((c, kinds[c]) for c in ("q", "source", "node")), ("score", "double"))))
+    found = best_nodes(dealt, keep, W.SHORT_LINE if guard else 0, W.LONG_QUESTION_SCALE, ", ".join(f"{c} {k}" for c, k in (*((c, kinds[c]) for c in ("q", "source", "node")), ("score", "double"))), digits)
     best = Window.partitionBy("q", "source").orderBy(F.desc("score"), "node")
     return found.groupBy("q", "source", "node").agg(F.max("score").alias("score")).withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= keep).drop("rn")
 
 
+def best_partners(asked: DataFrame, q: str, text: str, lines: DataFrame, node: str, phrase: str, keep: int = 1, digits: int | None = None) -> DataFrame:
+    """(q, node, score): the ``keep`` nodes of ``lines`` whose phrase is most alike each asked text, without any threshold; a
+    text that shares no gram with any phrase has none.  No pair of texts becomes a row, and no task holds a gram."""
+    index = lines.select(F.lit("").alias("source"), F.col(node).alias("node"), F.col(phrase).alias("phrase"))
+    questions = asked.select(F.col(q).alias("q"), F.col(text).alias("fragment"), F.lit(1.0).alias("weight"))
+    return top_nodes(index, questions, keep, guard=False, digits=digits).select("q", "node", "score")
+
+
 def support_scores(best: DataFrame) -> DataFrame:
     """(q, source, pure, winner, support): best node, and the best score owned by any other node, of ``top_nodes``."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "node")))
@@ -203,33 +213,72 @@ def route(
 
 # --- evidence by substring -------------------------------------------------------------------------------
 
-ANCHOR = 4
+#: Phrases whose slices are looked for in one pass over the texts.
+PHRASES = 1 << 14
 
 
 def flat(c: Column) -> Column:
     return T.squeeze(T.mask_numbers(c))
 
 
+def _by_size(rows: DataFrame) -> dict:
+    """{size: sorted slices} of rows(size, gram) of one block of phrases."""
+    import numpy as np
+
+    table = rows.distinct().toArrow()
+    size, gram = table["size"].to_numpy(), table["gram"].to_numpy()
+    return {int(k): np.sort(gram[size == k]) for k in np.unique(size)}
+
+
+def containing(texts: DataFrame, phrases: DataFrame, block: int = PHRASES) -> DataFrame:
+    """(tid, f): which texts of texts(tid, t) contain which of the distinct phrases(f).
+
+    Every phrase is looked for only in the texts that hold its rarest slice of four characters (a shorter one's whole), so
+    texts are counted once and looked through once, and only such slices become rows.  The phrases are the query set: a
+    block of them goes to the tasks at once."""
+    blocks = max(1, -(-phrases.count() // block))
+    grams = materialize(phrase_slices(phrases), "slices")
+    out = []
+    for k in range(blocks):
+        own = grams.filter(F.pmod(F.xxhash64("f"), F.lit(blocks)) == k) if blocks > 1 else grams
+        wanted = _by_size(own.select("size", "gram"))
+        if not wanted:
+            continue
+        counts = slice_counts(texts, wanted)
+        # A slice that no text holds is in no count: its phrase is in no text.
+        rarest = own.join(counts, ["size", "gram"], "left").groupBy("f").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "size", "gram")).alias("m"))
+        rarest = materialize(rarest.filter("m.n > 0").select("f", "m.size", "m.gram"), "rarest")
+        wanted = _by_size(rarest.select("size", "gram"))
+        if wanted:
+            near = slice_hits(texts, wanted).join(rarest, ["size", "gram"]).select("tid", "f")
+            out.append(near.join(texts, "tid").filter(F.expr("contains(t, f)")).select("tid", "f"))
+    return union_all(out) if out else texts.select("tid", F.col("t").alias("f")).limit(0)
+
+
 def evidence_hits(utterances: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(u, node, alias, caught, at): aliases found in the flattened utterance.
+    """(u, tid, node, alias, caught, f): aliases found in the flattened utterance, whose id is ``tid``.
 
     An alias is looked for whole; if its last letter is Hangul and it has at least five letters, also without
-    that letter.  The first four characters of the alias are an equi-join key on the utterance's slices, so
-    nothing is compared without a shared anchor; shorter aliases use their full length as the anchor.
-    """
-    texts = utterances.select("u", flat(F.col("text")).alias("t"))
-    bodies = texts.select(text_id(F.col("t")).alias("tid"), "t").groupBy("tid").agg(F.first("t").alias("t"))
+    that letter."""
+    texts, bodies = _flat_texts(utterances)
+    return _hits(texts, bodies, aliases)
+
+
+def _flat_texts(utterances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((u, tid), (tid, t)): flattened texts, each once."""
+    texts = utterances.select("u", flat(F.col("text")).alias("t")).filter("t IS NOT NULL").withColumn("tid", text_id(F.col("t")))
+    return texts.select("u", "tid"), materialize(texts.groupBy("tid").agg(F.first("t").alias("t")), "flat")
+
+
+def _hits(texts: DataFrame, bodies: DataFrame, aliases: DataFrame) -> DataFrame:
     names = aliases.select("node", "alias", flat(F.col("alias")).alias("f")).filter(F.length("f") > 0)
     stem = names.filter((F.length("f") >= 5) & F.col("f").rlike("[가-힣]$")).select(
         "node", "alias", F.expr("substring(f, 1, length(f) - 1)").alias("f"))
-    keys = names.unionByName(stem).groupBy("node", "alias", "f").agg(F.lit(1).alias("one")).select(
-        "node", "alias", "f", F.least(F.length("f"), F.lit(ANCHOR)).alias("size"), F.substring("f", 1, ANCHOR).alias("anchor"))
-    slices = bodies.select("tid", F.explode_outer(F.array_distinct(T._slices(F.col("t"), range(1, ANCHOR + 1)))).alias("anchor"))
-    near = slices.join(keys, "anchor")
-    found = near.join(bodies, "tid").filter(F.expr("contains(t, f)"))
-    hits = found.groupBy("tid", "node", "alias").agg(F.max(F.struct(F.length("f").alias("caught"), "f")).alias("m"))
-    return texts.select("u", text_id(F.col("t")).alias("tid"), "t").join(hits, "tid").select(
-        "u", "node", "alias", F.col("m.caught").alias("caught"), F.col("m.f").alias("f"), "t")
+    keys = materialize(names.unionByName(stem).distinct(), "aliases")
+    found = containing(bodies, keys.select("f").distinct())
+    longest = F.max(F.struct(F.length("f").alias("caught"), "f")).alias("m")
+    hits = found.join(keys, "f").groupBy("tid", "node", "alias").agg(longest)
+    return texts.join(hits, "tid").select("u", "tid", "node", "alias", F.col("m.caught").alias("caught"), F.col("m.f").alias("f"))
 
 
 def evidence_join(utterances: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -240,24 +289,34 @@ def evidence_join(utterances: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def multi_evidence_join(utterances: DataFrame, aliases: DataFrame) -> DataFrame:
-    """All evidences, longest alias first, without overlaps and each node once.
-
-    Every round takes the longest remaining hit of each utterance, blanks its text and drops its node.
-    """
-    hits = materialize(evidence_hits(utterances, aliases).withColumn("rest", F.col("t")).drop("t"), "hits")
-    chosen = None
-    for rnd in count():
-        longest = hits.groupBy("u", "node").agg(F.max(F.struct("caught", "f")).alias("m"))
-        best = longest.groupBy("u").agg(F.min_by(F.struct("node", "m.f"), F.struct(-F.col("m.caught"), "node")).alias("m"), F.max("m.caught").alias("caught"))
-        step = materialize(best.select("u", F.col("m.node").alias("node"), F.col("m.f").alias("taken"), "caught", F.lit(rnd).alias("round")), "taken")
-        if step.isEmpty():
-            break
-        chosen = step if chosen is None else chosen.unionByName(step)
-        left = hits.join(step.select("u", F.col("node").alias("gone"), "taken"), "u").filter("node <> gone")
-        left = left.withColumn("rest", F.replace("rest", F.col("taken"), F.lit(" ")))
-        hits = materialize(left.filter(F.expr("contains(rest, f)")).drop("gone", "taken"), "hits")
-    empty = hits.select("u", "node", F.col("f").alias("taken"), "caught", F.lit(0).alias("round")).limit(0)
-    return (chosen if chosen is not None else empty).select("u", "node", "caught", "round")
+    """(u, node, caught, round): all evidences, longest alias first, without overlaps and each node once.
+
+    The hits of an utterance, no more than there are aliases, come together in one row with its text: the longest one left
+    is taken and its text blanked, until none is left.  Equal lengths go by the smaller node."""
+    texts, bodies = _flat_texts(utterances)
+    hits = _hits(texts, bodies, aliases).groupBy("tid", "u").agg(F.collect_set(F.struct("caught", "node", "f")).alias("hits"))
+    kinds = dict(hits.select("u", F.col("hits")[0]["node"].alias("node")).dtypes)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for u, text, found in zip(batch["u"].to_pylist(), batch["t"].to_pylist(), batch["hits"].to_pylist(), strict=True):
+                used, turn = set(), 0
+                # Of one node the larger text comes first among equal lengths.
+                for hit in sorted(sorted(found, key=lambda h: h["f"], reverse=True), key=lambda h: (-h["caught"], h["node"])):
+                    if hit["node"] not in used and hit["f"] in text:
+                        text = text.replace(hit["f"], " ")
+                        used.add(hit["node"])
+                        rows.append((u, hit["node"], hit["caught"], turn))
+                        turn += 1
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            node = batch["hits"].type.value_type.field("node").type
+            types = [batch["u"].type, node, pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["u", "node", "caught", "round"])
+
+    return hits.join(bodies, "tid").select("u", "t", "hits").mapInArrow(run, f"u {kinds['u']}, node {kinds['node']}, caught int, round int")
 
 
 def null_contest(real: DataFrame, null: DataFrame, evidence: DataFrame, a_min: float) -> DataFrame:

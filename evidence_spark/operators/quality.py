@@ -24,10 +24,11 @@ def sentence_overlap(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> Data
 
 
 def theft_audit(own: DataFrame, candidates: DataFrame, give_up: int = 8) -> DataFrame:
-    """Sources that would take a question from its right source; too many takers are reported as given up."""
+    """Sources of candidates(q, source, pure) that would take a question from a right source of own(q, owner, base); too many
+    takers are reported as given up."""
     takers = candidates.join(own, "q").filter("pure >= base")
-    counts = takers.groupBy("q").agg(F.count("*").alias("winners"))
-    return takers.join(counts, "q").select("q", "source", "winners", (F.col("winners") > give_up).alias("given_up"))
+    counts = takers.groupBy("q", "owner").agg(F.count("*").alias("winners"))
+    return takers.join(counts, ["q", "owner"]).select("q", "owner", "source", "winners", (F.col("winners") > give_up).alias("given_up"))
 
 
 def alias_absorption(aliases: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ _DROP = "html"
 for _tag in ("script", "style", "noscript", "svg", "canvas", "nav", "footer", "header", "form"):
     _DROP = f"regexp_replace({_DROP}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
 _BLOCKS = f"regexp_replace(regexp_replace({_DROP}, '(?s)<!--.*?-->', '', 'g'), '(?i)</?(?:p|article|section|main|h1|h2|h3|li|blockquote)\\b[^>]*>', chr(30), 'g')"
-BLOCKS_SQL = f"""bl AS (SELECT page_id, {sanitize_sql('b', 12000)} AS block, i FROM (SELECT page_id, unnest(string_split({_BLOCKS}, chr(30))) AS b, generate_subscripts(string_split({_BLOCKS}, chr(30)), 1) AS i FROM pages)),
+BLOCKS_SQL = f"""bl AS (SELECT page_id, {sanitize_sql('b')} AS block, i FROM (SELECT page_id, unnest(string_split({_BLOCKS}, chr(30))) AS b, generate_subscripts(string_split({_BLOCKS}, chr(30)), 1) AS i FROM pages)),
  blocks AS (SELECT page_id, block, row_number() OVER (PARTITION BY page_id ORDER BY min(i)) AS ord FROM bl WHERE length(block) >= 30 GROUP BY page_id, block)"""
 
 
@@ -126,7 +126,7 @@ def u1(t: Tables):
     return rows.groupBy("doc_id", "origin").agg(F.count_if(good).alias("claims"), F.count_if(F.col("status") == "review").cast("int").alias("review"))
 
 
-POST_SQL = f"""po AS (SELECT DISTINCT doc_id, ord AS passage, unnest({TERMS.format(x='phrase', n=3)}) AS term FROM lines), ti AS (SELECT DISTINCT unnest({TERMS.format(x='substr(phrase, 1, 30)', n=3)}) AS term FROM lines WHERE ord = 0)"""
+POST_SQL = f"""po AS (SELECT DISTINCT doc_id, ord AS passage, unnest({TERMS.format(x='phrase', n=3)}) AS term FROM lines), ti AS (SELECT DISTINCT unnest({TERMS.format(x='phrase', n=3)}) AS term FROM lines WHERE ord = 0)"""
 
 
 def postings(t: Tables) -> DataFrame:
@@ -134,8 +134,8 @@ def postings(t: Tables) -> DataFrame:
 
 
 def titles(t: Tables) -> DataFrame:
-    """The first words of a document's first line serve as its title."""
-    return t.lines().filter("ord = 0").select(F.explode(T.content_terms(F.substring("phrase", 1, 30), 3)).alias("term"))
+    """The words of a document's first line serve as its title."""
+    return t.lines().filter("ord = 0").select(F.explode(T.content_terms(F.col("phrase"), 3)).alias("term"))
 
 
 @query("a8_concept_stats", f"""WITH {LINES_SQL}, {POST_SQL}, n AS (SELECT count(DISTINCT doc_id) AS n FROM po), s AS (SELECT term, count(*) AS freq, count(DISTINCT doc_id) AS doc_count, n FROM po CROSS JOIN n GROUP BY term, n),
@@ -241,9 +241,7 @@ def relation_phrases(t: Tables):
     rels = hits.select(F.lower(F.regexp_extract("h", REL_PATTERN, 1)).alias("a"), F.regexp_extract("h", REL_PATTERN, 2).alias("rel"), F.lower(F.regexp_extract("h", REL_PATTERN, 3)).alias("b")).distinct()
     phrases = rels.select(F.explode(F.array("a", "b")).alias("phrase")).distinct()
     nodes = t.benchmark.select(F.explode(T.content_terms(F.col("text"), 7)).alias("node")).distinct()
-    pairs = M.coverage_pairs(phrases, "phrase", nodes, "node", 0.0, prefix=False).select("it", "ot", M.geometric().alias("score"))
-    near = M.attach(M.attach(pairs, "it", phrases, "phrase", ["phrase"]), "ot", nodes, "node", ["node"])
-    best = near.groupBy("phrase").agg(F.min_by("node", F.struct(-F.col("score"), "node")).alias("node"), F.max("score").alias("score"))
+    best = M.best_partners(phrases, "phrase", "phrase", nodes, "node", "node").withColumnRenamed("q", "phrase")
     return rels, phrases, best
 
 
@@ -279,20 +277,39 @@ def w10(t: Tables):
 SENSES_SQL = """sn AS (SELECT string_split(p_name, ' ')[2] AS word, p_partkey AS sense, lower(p_name || ' ' || p_type || ' ' || p_brand) AS definition, string_split(p_name, ' ')[1] AS genus FROM part)"""
 
 
-def senses(t: Tables) -> DataFrame:
-    name = F.split("p_name", " ")
-    return t.part.select(name[1].alias("word"), F.col("p_partkey").alias("sense"), F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("definition"), name[0].alias("genus"))
-
-
 @query("w2_margin_pick", """WITH r AS (SELECT p_brand, p_partkey, p_retailprice - 900 AS score, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice - 900 DESC, p_partkey) AS rn FROM part)
  SELECT a.p_brand, CASE WHEN a.score > 0 AND (b.score IS NULL OR a.score >= 1.001 * b.score) THEN a.p_partkey END AS p_partkey FROM r a LEFT JOIN r b ON b.p_brand = a.p_brand AND b.rn = 2 WHERE a.rn = 1""")
 def w2(t: Tables):
     return C.margin_pick(t.part.select("p_brand", "p_partkey", (F.col("p_retailprice") - 900).alias("score")), "p_brand", "p_partkey", 1.001)
 
 
-@query("c12_genus_chain")
+# A line is an entry: its first word is explained, the last one is the genus, the second one the object.
+ENTRY_SQL = rf"""{LINES_SQL}, ws AS (SELECT doc_id * 1000 + ord AS sense, phrase, list_filter(regexp_split_to_array(lower(phrase), '[^\p{{L}}]+'), lambda w: length(w) >= 3) AS w FROM lines),
+ en AS (SELECT sense, phrase AS definition, w[1] AS word, w[-1] AS genus, w[2] AS object, w[-1] LIKE '%ing' AS is_action, list_distinct(w) AS terms FROM ws WHERE len(w) >= 3),
+ tm AS (SELECT word, sense, unnest(terms) AS t FROM en), idf AS (SELECT t, ln((SELECT count(*) FROM en)::DOUBLE / (1 + count(*))) AS w FROM tm GROUP BY t),
+ fi AS (SELECT word, min(sense) AS sense, arg_min(genus, sense) AS genus, arg_min(object, sense) AS object, arg_min(is_action, sense) AS is_action FROM en GROUP BY word),
+ kn AS (SELECT word AS genus, count(*) AS n, min(sense) AS only_one FROM en GROUP BY word), ak AS (SELECT f.word, f.sense, f.genus, n, only_one FROM fi f LEFT JOIN kn USING (genus) WHERE genus <> word AND genus NOT IN ('the', 'and')),
+ sc AS (SELECT a.word, m.sense AS genus_sense, sum(w) AS score FROM ak a JOIN tm s ON s.word = a.word AND s.sense = a.sense JOIN tm m ON m.word = a.genus AND m.t = s.t JOIN idf ON idf.t = s.t WHERE n > 1 GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, genus_sense) AS rn FROM sc),
+ pk AS (SELECT x.word, x.genus_sense FROM rk x LEFT JOIN rk y ON y.word = x.word AND y.rn = 2 WHERE x.rn = 1 AND x.score > 0 AND (y.score IS NULL OR x.score >= 1.3 * y.score)),
+ lk AS (SELECT word, genus, CASE WHEN n > 1 THEN genus_sense ELSE only_one END AS genus_sense FROM ak LEFT JOIN pk USING (word) WHERE n IS NULL OR n = 1 OR genus_sense IS NOT NULL),
+ ge AS (SELECT fi.word, lk.genus, lk.genus_sense, object, is_action FROM fi LEFT JOIN lk USING (word))"""
+
+
+def entries(t: Tables) -> DataFrame:
+    w = T.content_terms(F.col("phrase"), 3)
+    rows = t.lines().select((F.col("doc_id") * 1000 + F.col("ord")).alias("sense"), F.col("phrase").alias("definition"), w.alias("w")).filter("size(w) >= 3")
+    last = F.element_at("w", -1)
+    return rows.select(F.col("w")[0].alias("word"), "sense", "definition", last.alias("genus"), F.col("w")[1].alias("object"), last.endswith("ing").alias("is_action"))
+
+
+@query("c12_genus_chain", f"""WITH RECURSIVE {ENTRY_SQL}, wk(word, cur, depth) AS (SELECT word, genus, 1 FROM ge WHERE genus IS NOT NULL UNION ALL SELECT wk.word, ge.genus, depth + 1 FROM wk JOIN ge ON ge.word = wk.cur WHERE ge.genus IS NOT NULL AND depth < 200),
+ ends AS (SELECT wk.word, cur AS root, depth FROM wk LEFT JOIN ge ON ge.word = wk.cur WHERE ge.genus IS NULL)
+ SELECT ge.word, genus, genus_sense, object, is_action, CASE WHEN genus IS NULL THEN ge.word ELSE root END AS root, CASE WHEN genus IS NULL THEN 0 ELSE depth END AS depth FROM ge LEFT JOIN ends USING (word)""")
 def c12(t: Tables):
-    return C.genus_chain(senses(t))
+    from ..operators.definitions import build_genus_chain
+
+    return build_genus_chain(entries(t), ["the", "and"])
 
 
 EV_SQL = f"""{BLOCKS_SQL}, ev AS (SELECT block AS topic, {DOMAIN_SQL} AS domain, regexp_extract(url, '/([a-z]{{2}})/', 1) AS value, contains(url, 'page=') AS denied, page_id FROM blocks JOIN pages USING (page_id))"""
@@ -311,10 +328,51 @@ def a11(t: Tables):
 
 
 @query("c13_topic_records", f"""WITH {EV_SQL} SELECT topic, domain, count(DISTINCT page_id) AS pages, min(page_id) AS first_page FROM ev GROUP BY ALL""")
-def c13(t: Tables):
+def c13c(t: Tables):
     return page_evidence(t).groupBy("topic", "domain").agg(F.count_distinct("page_id").alias("pages"), F.min("page_id").alias("first_page"))
 
 
+# A page is a record: the first word of its first block is the topic, the second another name of it, all blocks are facts.
+TOPIC_SQL = rf"""{BLOCKS_SQL}, bk AS (SELECT page_id, url, {DOMAIN_SQL} AS source, ord, block, lower(regexp_extract(block, '[A-Za-z\x{{C0}}-\x{{24F}}]+')) AS w1,
+   lower(regexp_extract(block, '^[^A-Za-z\x{{C0}}-\x{{24F}}]*[A-Za-z\x{{C0}}-\x{{24F}}]+[^A-Za-z\x{{C0}}-\x{{24F}}]+([A-Za-z\x{{C0}}-\x{{24F}}]+)', 1)) AS w2 FROM blocks JOIN pages USING (page_id)),
+ hd AS (SELECT page_id, arg_min(w1, ord) AS topic, arg_min(w2, ord) AS alias, arg_min(block, ord) AS title FROM bk GROUP BY page_id),
+ rc AS (SELECT page_id AS rec, topic, CASE WHEN alias <> '' THEN alias END AS alias, source, url, title, block AS sentence FROM bk JOIN hd USING (page_id) WHERE topic <> ''),
+ nm AS (SELECT DISTINCT topic, alias FROM rc WHERE alias IS NOT NULL UNION SELECT DISTINCT topic, topic FROM rc), li AS (SELECT topic AS a, alias AS b FROM nm UNION SELECT alias, topic FROM nm),
+ rch(a, b) AS (SELECT a, a FROM li UNION SELECT rch.a, li.b FROM rch JOIN li ON li.a = rch.b), tg AS (SELECT a AS topic, min(b) FILTER (b IN (SELECT topic FROM nm)) AS root FROM rch WHERE a IN (SELECT topic FROM nm) GROUP BY a),
+ rr AS (SELECT rc.*, root FROM rc JOIN tg USING (topic)), so AS (SELECT root, count(*) AS n, array_to_string(list(source ORDER BY source)[1:2], ', ') AS two FROM (SELECT DISTINCT root, source FROM rr) GROUP BY root)"""
+
+
+def topic_records(t: Tables) -> DataFrame:
+    letters = "[A-Za-z\u00c0-\u024f]"
+    other = letters.replace("[", "[^")
+    b = blocks(t).select("page_id", "url", "ord", "block", T.url_domain(F.col("url")).alias("source"))
+    first = b.groupBy("page_id").agg(F.min_by("block", "ord").alias("title"))
+    word = lambda pattern: F.lower(F.regexp_extract("title", pattern, 1))
+    heads = first.select("page_id", "title", word(f"({letters}+)").alias("topic"), word(f"^{other}*{letters}+{other}+({letters}+)").alias("alias")).filter("topic <> ''")
+    rows = b.join(heads, "page_id").select(F.col("page_id").alias("rec"), "topic", F.when(F.col("alias") != "", F.col("alias")).alias("alias"), "source", "url", "title", F.col("block").alias("sentence"))
+    return rows
+
+
+@query("c13_topic_nodes", f"""WITH RECURSIVE {TOPIC_SQL}
+ SELECT DISTINCT 'claim:' || root AS node_id, 'claim' AS kind, alias AS phrase, n || ' sources: ' || two || CASE WHEN n > 2 THEN ' and others' ELSE '' END AS source FROM nm JOIN tg USING (topic) JOIN so USING (root)
+ UNION ALL SELECT 'fact:' || root || ':' || substr(sha256(sentence), 1, 16), 'fact', sentence, arg_min(url, struct_pack(source, rec)) FROM rr GROUP BY root, sentence
+ UNION ALL SELECT 'source:' || root || ':' || source, 'source', arg_max(title, rec), arg_max(url, rec) FROM rr GROUP BY root, source""")
+def c13(t: Tables):
+    from ..operators.topics import topic_graph
+
+    return topic_graph(topic_records(t))[0]
+
+
+@query("c13b_topic_edges", f"""WITH RECURSIVE {TOPIC_SQL}
+ SELECT DISTINCT 'fact:' || root || ':' || substr(sha256(sentence), 1, 16) AS src, 'fulfils' AS rel, 'claim:' || root AS dst FROM rr
+ UNION ALL SELECT DISTINCT 'source:' || root || ':' || source, 'proves', 'fact:' || root || ':' || substr(sha256(sentence), 1, 16) FROM rr
+ UNION ALL SELECT DISTINCT 'claim:' || root, 'fulfils', 'goal' FROM tg""")
+def c13b(t: Tables):
+    from ..operators.topics import topic_graph
+
+    return topic_graph(topic_records(t))[1]
+
+
 @query("c14_relation_evidence")
 def c14(t: Tables):
     s = located_sentences(t).select(F.lit("The").alias("topic"), (F.col("doc_id") * 1_000_000 + F.col("passage") * 1000 + F.col("pos")).alias("id"), "text")
@@ -477,12 +535,9 @@ def q7(t: Tables):
     return Q.bucketed_digest(t.documents, F.concat_ws("|", F.col("doc_id").cast("string"), "text", "lang", "source"))
 
 
-@query("q3_interception_audit", f"""WITH {SCORES_SQL}, b AS (SELECT q, pure AS base FROM support WHERE source = 'src1'),
- c AS (SELECT s.q, s.source, s.pure, count(*) OVER (PARTITION BY s.q) AS winners FROM support s JOIN b USING (q) WHERE s.source <> 'src1' AND s.pure >= base) SELECT source, count(*) AS taken, count(*) FILTER (winners > 8) AS given_up FROM c GROUP BY source""")
+@query("q3_interception_audit", f"""WITH {SCORES_SQL}, {MP.THEFT_SQL} SELECT source, count(*) AS taken, count(*) FILTER (winners > 8) AS given_up FROM c GROUP BY source""")
 def q3(t: Tables):
-    scores = M.support_scores(MP.best_of(t)).select("q", "source", "pure")
-    audit = Q.theft_audit(scores.filter("source = 'src1'").select("q", F.col("pure").alias("base")), scores.filter("source <> 'src1'"))
-    return audit.groupBy("source").agg(F.count("*").alias("taken"), F.count_if("given_up").alias("given_up"))
+    return MP.thefts(t).groupBy("source").agg(F.count("*").alias("taken"), F.count_if("given_up").alias("given_up"))
 
 
 @query("m3_nearest", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),

@@ -50,7 +50,14 @@ def collect_updates(t: Tables, stream: DataFrame, root: str, mode: str) -> DataF
     def store(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/b={n}")
 
-    drain(stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True), root)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(provider)
+    # State of several variables is kept by this provider only.
+    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        drain(stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True), root)
+    finally:
+        t.spark.conf.set(provider, before)
     return t.spark.read.parquet(f"{root}/out").drop("b")
 
 
@@ -61,11 +68,40 @@ def t1(t: Tables):
     return out.groupBy("ctx").agg(F.max_by(F.struct("value", "status", "events"), F.struct("events", "batch")).alias("s")).filter("s.events > 0").select("ctx", "s.value", "s.status", "s.events")
 
 
-@query("t2_stream_sessions", r"""WITH h AS (SELECT conv_id AS conv, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: length(w) >= 3)) AS node FROM conversations),
- l AS (SELECT conv, node, max(turn) AS turn FROM h GROUP BY ALL) SELECT conv, node, pow(0.75::DOUBLE, (SELECT max(turn) FROM h WHERE h.conv = l.conv AND h.node = l.node) - turn) AS activation, turn FROM l""")
+# A user's events as turns; a session ends after six hours without one.
+@query("t2_stream_sessions", r"""WITH e AS (SELECT user_id AS conv, event_id AS turn, ts, event_type AS node, json_extract_string(props, '$.k') AS slot,
+   CASE WHEN event_type IN ('click', 'view', 'error') THEN 'A' ELSE 'accept' END AS verdict, CASE WHEN event_type = 'purchase' THEN CAST(round_even(value, 0) AS BIGINT) END AS value FROM events),
+ g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY conv ORDER BY ts, turn)),
+ s AS (SELECT *, sum(cut) OVER (PARTITION BY conv ORDER BY ts, turn) AS no FROM g),
+ t AS (SELECT *, row_number() OVER (PARTITION BY conv, no ORDER BY ts, turn) AS n, sum(CASE WHEN verdict <> 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY conv, no ORDER BY ts, turn) AS run FROM s),
+ h AS (SELECT conv, no, arg_min(turn, n) AS session, count(*) AS turns FROM t GROUP BY ALL),
+ r AS (SELECT conv, no, run, count(*) FILTER (verdict = 'A') AS a FROM t GROUP BY ALL), d AS (SELECT conv, no, sum(a // 3)::BIGINT AS demoted, (arg_max(a, run) % 3)::BIGINT AS streak FROM r GROUP BY ALL),
+ v AS (SELECT conv, no, count(*) AS held_n, sum(x)::BIGINT AS held_sum FROM (SELECT conv, no, slot, arg_min(value, n) AS x FROM t WHERE value IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+ f AS (SELECT conv, no, count(DISTINCT node) AS filled_n FROM t WHERE verdict = 'accept' GROUP BY ALL),
+ p AS (SELECT conv, no, node, max(n) AS hit FROM t GROUP BY ALL), q AS (SELECT conv, no, pow(0.75::DOUBLE, turns - hit) AS a FROM p JOIN h USING (conv, no)),
+ y AS (SELECT conv, no, count(*) AS active_n, round(sum(a), 6) AS activation FROM q WHERE a >= 0.02 GROUP BY ALL)
+ SELECT conv, session, turns, streak, demoted, coalesce(held_n, 0) AS held_n, coalesce(held_sum, 0) AS held_sum, coalesce(filled_n, 0) AS filled_n, active_n, activation
+ FROM h JOIN d USING (conv, no) LEFT JOIN v USING (conv, no) LEFT JOIN f USING (conv, no) JOIN y USING (conv, no)""")
 def t2(t: Tables):
-    stream, root = replay(t, turn_words(t), "sessions", order="turn")
+    """The last state of every session."""
+    stream, root = replay(t, session_turns(t), "sessions", order="ts")
     out = collect_updates(t, S.stream_sessions(stream), root, "update")
+    last = out.groupBy("conv", "session").agg(F.max_by(F.struct("turns", "streak", "demoted", "held_n", "held_sum", "filled_n", "active_n", "activation"), "turns").alias("s"))
+    return last.select("conv", "session", "s.*").withColumn("activation", F.round("activation", 6))
+
+
+def session_turns(t: Tables) -> DataFrame:
+    kind = F.col("event_type")
+    return t.events.select(
+        F.col("user_id").alias("conv"), F.col("event_id").alias("turn"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("node"), F.when(kind.isin("click", "view", "error"), "A").otherwise("accept").alias("verdict"),
+        F.get_json_object("props", "$.k").alias("slot"), F.when(kind == "purchase", F.bround("value", 0).cast("bigint")).alias("value"))
+
+
+@query("t2b_stream_activation", r"""WITH h AS (SELECT conv_id AS conv, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: length(w) >= 3)) AS node FROM conversations),
+ l AS (SELECT conv, node, max(turn) AS turn FROM h GROUP BY ALL) SELECT conv, node, pow(0.75::DOUBLE, (SELECT max(turn) FROM h WHERE h.conv = l.conv AND h.node = l.node) - turn) AS activation, turn FROM l""")
+def t2b(t: Tables):
+    stream, root = replay(t, turn_words(t), "activation", order="turn")
+    out = collect_updates(t, S.stream_activation(stream), root, "update")
     return out.groupBy("conv", "node").agg(F.max_by("activation", "batch").alias("activation"), F.max("turn").alias("turn"))
 
 
@@ -86,12 +122,42 @@ def event_log(t: Tables) -> DataFrame:
     return t.events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "event_id")
 
 
-@query("t4_stream_unknown_counts", """SELECT CAST(epoch_us(date_trunc('day', ts)) AS BIGINT) // 86400000000 AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL""")
+_MINUTE = "CAST(epoch_us({}) AS BIGINT) // 60000000"
+
+
+def _counted(t: Tables, count, mode: str, label: str) -> DataFrame:
+    """Windows of the replayed events with their count, as the running stream has left them.
+
+    Windows that come out only once the watermark has passed them need a last row far behind them; it is not counted."""
+    rows = event_log(t).select("ts", "kind")
+    if mode == "append":
+        end = rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select("ts", F.lit("~end").alias("kind"))
+        rows = rows.unionByName(end)
+    stream, root = replay(t, rows, label, order="ts")
+    out = collect_updates(t, count(stream).select("w.start", "w.end", "kind", "n"), root, mode).filter("kind <> '~end'")
+    minute = lambda c: F.expr(f"unix_micros({c}) div 60000000")
+    return out.groupBy(minute("start").alias("start"), minute("end").alias("end"), "kind").agg(F.max("n").alias("n"))
+
+
+@query("t4_stream_unknown_counts", f"""SELECT {_MINUTE.format("date_trunc('day', ts)")} AS start, {_MINUTE.format("date_trunc('day', ts)")} + 1440 AS "end", event_type AS kind, count(*) AS n FROM events GROUP BY ALL""")
 def t4(t: Tables):
-    """The batch twin in UTC days; the streaming run is compared with it in the tests."""
-    w = S.unknown_counts(t.events.select("ts", F.col("event_type").alias("kind")))
-    day = F.unix_date(F.col("w.start").cast("timestamp_ntz").cast("date")).cast("bigint")
-    return w.select(day.alias("day"), "kind", "n")
+    """Days, updated while the stream runs."""
+    return _counted(t, lambda s: S.unknown_counts(s), "update", "days")
+
+
+@query("t4b_stream_sliding_counts", f"""WITH m AS (SELECT event_type AS kind, epoch_us(ts) // 60000000 AS m, unnest(range(4)) AS i FROM events),
+ s AS (SELECT kind, (m // 15 - i) * 15 AS start FROM m) SELECT start::BIGINT AS start, (start + 60)::BIGINT AS "end", kind, count(*) AS n FROM s GROUP BY ALL""")
+def t4b(t: Tables):
+    """Hours that begin every quarter of an hour, each given out once, when the watermark has passed it."""
+    return _counted(t, lambda s: S.unknown_counts(s, "1 hour", slide="15 minutes"), "append", "sliding")
+
+
+@query("t4c_stream_bursts", """WITH g AS (SELECT event_type AS kind, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+ s AS (SELECT kind, ts, sum(cut) OVER (PARTITION BY kind ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+ SELECT CAST(epoch_us(min(ts)) AS BIGINT) // 60000000 AS start, CAST(epoch_us(max(ts)) + 1800000000 AS BIGINT) // 60000000 AS "end", kind, count(*) AS n FROM s GROUP BY kind, no""")
+def t4c(t: Tables):
+    """Bursts: a window lasts until half an hour has passed without a row."""
+    return _counted(t, lambda s: S.burst_counts(s), "append", "bursts")
 
 
 @query("t5_stream_dedup", "SELECT event_type AS kind, count(*) AS n, count(DISTINCT event_id) AS distinct_ids FROM events GROUP BY event_type")
@@ -102,23 +168,21 @@ def t5(t: Tables):
     return out.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("distinct_ids"))
 
 
-@query("t6_stream_late_effective", ORACLES["e7_state_as_of"])
-def t6(t: Tables):
-    """Late effective times: every batch re-projects the contexts it touches from all changes seen so far."""
+def as_of_stream(t: Tables, late: str) -> DataFrame:
+    """AS_OF_ROWS of all changes, replayed in the order in which they were observed."""
     from .ledger_plans import AS_OF, changes
 
-    rows = changes(t)
-    stream, root = replay(t, rows, "late", 2, "seq")
+    rows = changes(t).withColumn("effective_at", F.col("effective_at").cast("timestamp"))
+    stream, root = replay(t, rows, "late", 4, "seq")
+    at = t.spark.range(1).select(F.unix_micros(F.lit(AS_OF).cast("timestamp")).alias("at")).first()["at"]
+    return collect_updates(t, S.stream_as_of(stream, at, late), root, "update")
 
-    def work(batch: DataFrame) -> DataFrame:
-        batch.write.mode("append").parquet(f"{root}/seen")
-        seen = batch.sparkSession.read.parquet(f"{root}/seen").dropDuplicates(["ctx", "seq"])
-        touched = seen.join(batch.select("ctx").distinct(), "ctx", "left_semi")
-        return L.state_as_of(touched, F.lit(AS_OF).cast("timestamp_ntz"))
 
-    drain(S.run_each(stream, work, f"{root}/out", f"{root}/ck"), root)
-    out = t.spark.read.parquet(f"{root}/out")
-    return out.groupBy("ctx").agg(F.max_by(F.struct("value", "reason"), "batch").alias("s")).select("ctx", "s.value", "s.reason")
+@query("t6_stream_late_effective", ORACLES["e7_state_as_of"])
+def t6(t: Tables):
+    """Late effective times: the last state of each context.  Effects lie a day back at most, so none is too late."""
+    out = as_of_stream(t, "2 days").filter("NOT late")
+    return out.groupBy("ctx").agg(F.max_by(F.struct("value", "reason"), "changes").alias("s")).select("ctx", "s.value", "s.reason")
 
 
 @query("t7_stream_corroboration", f"""WITH {EV_SQL} SELECT topic, TRUE AS two_domains FROM ev WHERE NOT denied AND domain <> '' AND topic IS NOT NULL GROUP BY topic HAVING count(DISTINCT domain) >= 2""")
@@ -183,9 +247,7 @@ def q1(t: Tables):
     al = MP.brand_aliases(t).withColumn("rn", F.row_number().over(w))
     asked = al.filter("rn = 1").select(F.col("node").alias("own"), F.col("phrase").alias("question"))
     index = al.filter("rn > 1").select("node", "phrase")
-    pairs = M.coverage_pairs(index, "phrase", asked, "question", 0.0, prefix=False).select("it", "ot", M.geometric().alias("score"))
-    rows = M.attach(M.attach(pairs, "it", index, "phrase", ["node"]), "ot", asked, "question", ["own"])
-    best = rows.groupBy("own").agg(F.min_by("node", F.struct(-F.col("score"), "node")).alias("winner"), F.max("score").alias("score"))
+    best = M.best_partners(asked, "own", "question", index, "node", "phrase").select(F.col("q").alias("own"), F.col("node").alias("winner"), "score")
     return best.select("own", "winner", "score", (F.col("winner") == F.col("own")).alias("hit"), (F.col("score") >= 0.43).alias("answered"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import words as W
 from ..operators import match as M
+from ..session import materialize
 from .registry import LINES_SQL, WS_SQL, Tables, grams_sql, query
 from .text_plans import CLAUSES_SQL, LATIN_FILLERS, SENTENCES_SQL, SHELL_SQL
 
@@ -294,9 +295,9 @@ def null_outcomes(t: Tables) -> DataFrame:
 def j6(t: Tables):
     turns = t.user_turns().select((F.col("conv_id") * 1000 + F.col("turn")).alias("b"), F.col("text").alias("question"))
     a = t.benchmark.select(F.col("item_id").alias("a"), F.col("text").alias("phrase"))
-    pairs = M.coverage_pairs(a, "phrase", turns, "question", 0.36, prefix=False).select("it", "ot", M.geometric().alias("score")).filter("score >= 0.6")
-    pairs = M.attach(M.attach(pairs, "it", a, "phrase", ["a"]), "ot", turns, "question", ["b"])
-    return M.mutual_best(pairs).select("a", "b", "score")
+    to_b = M.best_partners(a, "a", "phrase", turns, "b", "question").filter("score >= 0.6").select(F.col("q").alias("a"), F.col("node").alias("b"), "score")
+    to_a = M.best_partners(turns, "b", "question", a, "a", "phrase").filter("score >= 0.6").select(F.col("node").alias("a"), F.col("q").alias("b"))
+    return to_b.join(to_a, ["a", "b"]).select("a", "b", "score")
 
 
 @query("j7_exclude_existing", """WITH i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, o_orderstatus AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -338,15 +339,25 @@ def j15(t: Tables):
     return M.typo_join(asked, vocab)
 
 
-@query("j19_theft_audit", f"""WITH {SCORES_SQL}, b AS (SELECT q, pure AS base FROM support WHERE source = 'src0'),
- c AS (SELECT s.q, s.source, s.pure, count(*) OVER (PARTITION BY s.q) AS winners FROM support s JOIN b USING (q) WHERE s.source <> 'src0' AND s.pure >= base)
- SELECT q, source, winners, winners > 8 AS given_up FROM c""")
-def j19(t: Tables):
+# A question's right sources are all that hold its text; any other one that scores as high as one of them takes it away.
+THEFT_SQL = f"""{EVIDENCE_SQL.replace('hits AS', 'eh AS')}, hs AS (SELECT DISTINCT node AS q, source FROM eh JOIN documents ON doc_id = u),
+ ow AS (SELECT q, source AS owner, pure AS base FROM support JOIN hs USING (q, source)),
+ c AS (SELECT s.q, owner, s.source, count(*) OVER (PARTITION BY s.q, owner) AS winners FROM support s JOIN ow USING (q) WHERE s.pure >= base AND (s.q, s.source) NOT IN (SELECT (q, source) FROM hs))"""
+
+
+def thefts(t: Tables) -> DataFrame:
     from ..operators.quality import theft_audit
 
-    scores = M.support_scores(best_of(t)).select("q", "source", "pure")
-    own = scores.filter("source = 'src0'").select("q", F.col("pure").alias("base"))
-    return theft_audit(own, scores.filter("source <> 'src0'"))
+    scores = materialize(M.support_scores(best_of(t)).select("q", "source", "pure"), "scores")
+    held = M.evidence_hits(*evidence_inputs(t)).select(F.col("node").alias("q"), F.col("u").alias("doc_id"))
+    held = materialize(held.join(t.documents.select("doc_id", "source"), "doc_id").select("q", "source").distinct(), "held")
+    own = scores.join(held, ["q", "source"]).select("q", F.col("source").alias("owner"), F.col("pure").alias("base"))
+    return theft_audit(own, scores.join(held, ["q", "source"], "left_anti"))
+
+
+@query("j19_theft_audit", f"WITH {SCORES_SQL}, {THEFT_SQL} SELECT q, owner, source, winners, winners > 8 AS given_up FROM c")
+def j19(t: Tables):
+    return thefts(t)
 
 
 # --- calibration and absorption on named nodes ---
@@ -372,14 +383,17 @@ def brand_aliases(t: Tables) -> DataFrame:
  SELECT n, round(greatest(0.30, low - 0.02), 2) AS ok_min, round(least(round(greatest(0.30, low - 0.02), 2) - 0.05, coalesce(leak + 0.01, 0.45)), 2) AS a_min FROM o, leak""")
 def a7(t: Tables):
     al = brand_aliases(t)
-    pairs = M.coverage_pairs(al, "phrase", al.select(F.col("phrase").alias("other")).distinct(), "other", 0.0, prefix=False).select("it", "ot", F.round(M.geometric(), 6).alias("score"))
-    held = al.select(F.col("node").alias("own"), F.col("phrase").alias("held"), M.text_id(F.col("phrase")).alias("it"))
-    lines = al.select("node", "phrase", M.text_id(F.col("phrase")).alias("ot"))
-    rest = pairs.join(held, "it").join(lines, "ot").filter("NOT (own = node AND held = phrase)")
-    best = rest.groupBy("own", "held", "node").agg(F.max("score").alias("score"))
-    top = best.groupBy("own", "held").agg(F.min_by("node", F.struct(-F.col("score"), "node")).alias("winner"), F.max("score").alias("score"))
+    # A line is named by its node and phrase; the two best ones of a text hold the best one that is not its own.
+    line = F.concat_ws("\x01", "node", "phrase")
+    lines = al.withColumn("line", line)
+    asked = al.select(M.text_id(F.col("phrase")).alias("q"), "phrase").distinct()
+    near = M.best_partners(asked, "q", "phrase", lines, "line", "phrase", keep=2, digits=6)
+    held = al.select(F.col("node").alias("own"), F.col("phrase").alias("held"), line.alias("mine"), M.text_id(F.col("phrase")).alias("q"))
+    rest = held.join(near, "q").filter("node <> mine")
+    first = F.struct(-F.col("score"), "node")
+    top = rest.groupBy("own", "held").agg(F.substring_index(F.min_by("node", first), "\x01", 1).alias("winner"), F.max("score").alias("score"))
     nulls = t.part.select(F.lower("p_type").alias("null_text")).distinct()
-    leaks = M.coverage_pairs(al, "phrase", nulls, "null_text", 0.0, prefix=False).groupBy("ot").agg(F.round(F.max(M.geometric()), 6).alias("score"))
+    leaks = M.best_partners(nulls, "null_text", "null_text", lines, "line", "phrase", digits=6).select("score")
     return M.calibrate(top.filter("own = winner"), leaks)
 
 

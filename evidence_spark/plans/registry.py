@@ -29,8 +29,8 @@ class Tables:
         df = self.spark.read.parquet(self.path(name))
         return spread(df) if name in ("documents", "pages", "conversations") else df
 
-    def lines(self, min_len: int = 20) -> DataFrame:
-        """Example phrases: lines of each document, (source, doc_id, ord, phrase)."""
+    def lines(self, min_len: int = 1) -> DataFrame:
+        """Example phrases: the lines of each document that are not empty, (source, doc_id, ord, phrase)."""
         return self.documents.select(
             "source", "doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "phrase")
         ).filter(F.length("phrase") >= min_len)
@@ -47,7 +47,7 @@ LINES_SQL = """lines AS (
   SELECT source, doc_id, ord - 1 AS ord, phrase FROM (
     SELECT source, doc_id, unnest(string_split(text, chr(10))) AS phrase,
            generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents)
-  WHERE length(phrase) >= 20)"""
+  WHERE length(phrase) >= 1)"""
 
 WS_SQL = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 

@@ -23,13 +23,13 @@ _SANITIZE = rf"""trim(substr(trim(regexp_replace(trim(regexp_replace(regexp_repl
   '{WS_SQL.replace("{", "{{").replace("}", "}}")}+', ' ', 'g')), '^"+|"+$', '', 'g')), 1, {{n}}))"""
 
 
-def sanitize_sql(x: str, n: int) -> str:
+def sanitize_sql(x: str, n: int = 2**31 - 1) -> str:
     return _SANITIZE.replace("{x}", x).replace("{n}", str(n)).replace("{{", "{").replace("}}", "}")
 
 
-@query("p2_sanitize", f"SELECT page_id, {sanitize_sql('html', 700)} AS clean FROM pages")
+@query("p2_sanitize", f"SELECT page_id, {sanitize_sql('html')} AS clean FROM pages")
 def p2(t: Tables):
-    return t.pages.select("page_id", T.sanitize(F.col("html"), 700).alias("clean"))
+    return t.pages.select("page_id", T.sanitize(F.col("html")).alias("clean"))
 
 
 @query("p3_squeeze", rf"""SELECT doc_id, lower(regexp_replace(text, '{WS_SQL}', '', 'g')) AS squeezed,
@@ -111,7 +111,7 @@ def p9(t: Tables):
 
 SENTENCES_SQL = rf"""list_filter(list_transform(regexp_split_to_array(
   regexp_replace(text, '([.!?])[\t-\r ]+', '\1' || chr(10), 'g'), '\n+'),
-  lambda s: trim(regexp_replace(s, '{WS_SQL}+', ' ', 'g'))), lambda s: length(s) BETWEEN 20 AND 380)"""
+  lambda s: trim(regexp_replace(s, '{WS_SQL}+', ' ', 'g'))), lambda s: length(s) >= 1)"""
 
 
 @query("p10_sentences", f"""WITH s AS (SELECT doc_id, unnest({SENTENCES_SQL}) AS sentence FROM documents)
@@ -125,7 +125,7 @@ def p10(t: Tables):
 
 @query("p10b_complete_sentences", rf"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(
    regexp_replace(text, '([.!?。！？])([\t-\r ])', '\1' || chr(1) || '\2', 'g'), '[^.!?。！？\n\x01]{{12,}}[.!?。！？](?:\x01|$)')) AS raw FROM documents),
-  c AS (SELECT doc_id, {sanitize_sql('raw', 1500)} AS sentence FROM s)
+  c AS (SELECT doc_id, {sanitize_sql('raw')} AS sentence FROM s)
   SELECT DISTINCT doc_id, sentence FROM c WHERE NOT ends_with(sentence, '...') AND NOT ends_with(sentence, '…')""")
 def p10b(t: Tables):
     rows = t.documents.select("doc_id", F.explode_outer(T.complete_sentences(F.col("text"))).alias("sentence"))

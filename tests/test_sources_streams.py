@@ -51,10 +51,10 @@ def test_stream_state_equals_batch(spark):
     assert got == {tuple(r) for r in L.current_state(ledger(t)).select("ctx", "value", "status", "events").collect()}
 
 
-def test_stream_sessions_equal_batch(spark):
+def test_stream_activation_equals_batch(spark):
     t = Tables(spark, SMALL)
     end = turn_words(t).groupBy("conv").agg(F.max("turn").alias("end"))
-    live = QUERIES["t2_stream_sessions"](spark, SMALL).join(end, "conv")
+    live = QUERIES["t2b_stream_activation"](spark, SMALL).join(end, "conv")
     now = live.withColumn("a", F.col("activation") * F.pow(F.lit(0.75), F.col("end") - F.col("turn"))).filter("a >= 0.02")
     assert {(r.conv, r.node, round(r.a, 9)) for r in now.collect()} == {(r.conv, r.node, round(r.activation, 9)) for r in D.activation(turn_words(t)).collect()}
 
