@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -19,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNIT, UnitCache, map_batches
+from .common import UNIT, UnitCache, kept, map_batches
 
 # Letters and numbers that the regex module knows and the tokenizer library, being older, does not.
 NEWER = (
@@ -38,7 +37,7 @@ _NEWER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
 _OTHER = "\ue000"
 
 
-@cache
+@kept
 def words_of(path: str) -> dict[int, bytes]:
     """The bytes of each id of a rank file; all that decoding needs."""
     with open(path, "rb") as file:
@@ -154,7 +153,7 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.units.__getitem__, UNIT.findall(text))), self.kind)
 
-@cache
+@kept
 def coder(path: str, pattern: str) -> ByteBpe:
     """One coder for each Python worker."""
     return ByteBpe(path, pattern)

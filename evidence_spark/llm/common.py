@@ -7,8 +7,10 @@ import gc
 import os
 import re
 import tempfile
+import weakref
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -60,16 +62,29 @@ def ship(spark: SparkSession) -> None:
 
 #: Rows of an Arrow batch at most: with long texts the default holds far more than a task needs at once.
 BATCH_ROWS = 1000
-_CACHES: list[UnitCache] = []
+_CACHES: list[weakref.ref[UnitCache]] = []
+_KEPT: list[Callable] = []
 _OWNER = [""]
 
 
+def kept(make: Callable) -> Callable:
+    """``functools.cache`` for what a worker needs for one stage only, such as a tokenizer's tables: the next stage of another
+    operator lets it go."""
+    made = cache(make)
+    _KEPT.append(made)
+    return made
+
+
 def claim(owner: str) -> None:
     """Workers serve one stage after another: what another operator has cached in this one is let go."""
     if _OWNER[0] != owner:
-        for cached in _CACHES:
-            cached.clear()
-            cached.old = {}
+        for made in _KEPT:
+            made.cache_clear()
+        _CACHES[:] = [ref for ref in _CACHES if ref() is not None]
+        for ref in _CACHES:
+            if (cached := ref()) is not None:
+                cached.clear()
+                cached.old = {}
         _OWNER[0] = owner
         give_back()
 
@@ -149,7 +164,7 @@ class UnitCache(dict):
     def __init__(self, make: Callable[[str], object], most: int = CACHED_UNITS):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
-        _CACHES.append(self)
+        _CACHES.append(weakref.ref(self))
 
     def __missing__(self, unit: str):
         value = self.old.get(unit)

@@ -17,7 +17,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir
-from .common import LETTERS, UNIT, UnitCache, in_arrow
+from .common import LETTERS, UNIT, UnitCache, in_arrow, kept
 
 MAGIC = b"PACKIDS1"
 FOOTER = struct.Struct("<8s5q")
@@ -197,7 +196,7 @@ class JsonTokenizer:
         return [self._library([text])[0] if units is None else np.frombuffer(b"".join(map(get, units)), np.uint32) for text, units in zip(texts, cut, strict=True)]
 
 
-@cache
+@kept
 def tokenizer(path: str) -> JsonTokenizer:
     return JsonTokenizer(path)
 

@@ -7,7 +7,6 @@ ever looked up or emitted.  A symbol that stays a character outside the vocabula
 from __future__ import annotations
 
 import re
-from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnitCache, map_batches
+from .common import UnitCache, kept, map_batches
 
 SPACE = "\u2581"
 
@@ -83,7 +82,7 @@ class PieceCounter:
         return sum(map(self.units.__getitem__, self.unit.findall(plain)))
 
 
-@cache
+@kept
 def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
