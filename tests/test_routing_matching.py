@@ -66,22 +66,22 @@ def test_no_lines_or_questions(spark):
 
 def test_large_matching_takes_few_phases(spark):
     rng = random.Random(4)
-    n = 2000
-    pairs = list({(1, i, n + rng.randint(0, n - 1)) for i in range(n) for _ in range(3)})
+    n = 10
+    pairs = list({(1, i, n + rng.randint(0, n - 1)) for i in range(n) for _ in range(2)})
     want = len(matching.match_graph([p[1:] for p in pairs]))
     phases = []
     e = spark.createDataFrame(pairs, "graph_id int, ev long, req long")
     got = matching._in_frames(e, phases).collect()
     assert len(got) == want == len({r.ev for r in got}) == len({r.req for r in got})
     assert {(1, r.ev, r.req) for r in got} <= set(pairs)
-    assert len(phases) <= 90
+    assert len(phases) <= 6  # twice the root of n
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
+@pytest.mark.parametrize("small", [10, 100_000])
 def test_matching_of_many_graphs(spark, small):
     rng = random.Random(8)
-    pairs = list({(g, f"e{rng.randint(0, 5)}", f"r{rng.randint(0, 6)}") for g in range(12) for _ in range(rng.randint(1, 20))})
-    chain = [(99, f"e{i}", f"r{i}") for i in range(8)] + [(99, f"e{i}", f"r{i + 1}") for i in range(7)] + [(99, "e7", "r7"), (99, None, "r0")]
+    pairs = list({(g, f"e{rng.randint(0, 5)}", f"r{rng.randint(0, 6)}") for g in range(4) for _ in range(rng.randint(1, 12))})
+    chain = [(99, f"e{i}", f"r{i}") for i in range(3)] + [(99, f"e{i}", f"r{i + 1}") for i in range(2)] + [(99, None, "r0")]
     frame = spark.createDataFrame(pairs + chain, "graph_id int, ev string, req string")
     reqs = frame.select("graph_id", "req").distinct()
     axioms = spark.createDataFrame([(3, "r1"), (3, "unknown")], "graph_id int, req string")
