@@ -32,8 +32,6 @@ RARE_MAX_SOURCES = 2
 RARE_CAP = 3
 SHORT_LINE = 8
 LONG_QUESTION_SCALE = 2.0
-INDEX_PER_NODE = 12
-INDEX_BUDGET = 180
 
 # --- fixed values: verdict thresholds used where a graph declares none ---
 A_MIN = 0.45
