@@ -16,6 +16,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,6 +34,10 @@ MAGIC = b"PACKIDS1"
 FOOTER = struct.Struct("<8s5q")
 BLOCK = 1 << 14
 READ_IDS = 1 << 20
+#: Units in the cache of a worker: one that comes again after more others than these is encoded anew.
+CACHED = 400_000
+#: The array type of four bytes.
+IDS = "I" if array("I").itemsize == 4 else "L"
 
 #: Byte-level files write a byte that is no printable Latin-1 character as the next character from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -175,25 +180,54 @@ class JsonTokenizer:
         self.special = [token["content"] for token in plan.get("added_tokens", [])]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bits = bits_for(self.size)
-        self.units = UnitCache(lambda unit: self._units([unit])[0], 300_000)
+        self.units = UnitCache(lambda unit: self._units([unit])[0], CACHED)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _units(self, units: list[str]) -> list[bytes]:
-        tokenize, word = self.tokenizer.model.tokenize, WORD.fullmatch
-        others = [u for u in units if not word(u)]
+        tokenize = self.tokenizer.model.tokenize
+        words = [w is not None for w in map(WORD.fullmatch, units)]
+        others = [u for u, w in zip(units, words, strict=True) if not w]
         done = iter(self._library(others) if others else ())
-        return [np.array([t.id for t in tokenize(u.encode().decode("latin-1").translate(BYTE_LEVEL))] if word(u) else next(done), np.uint32).tobytes() for u in units]
+        out = []
+        for unit, word in zip(units, words, strict=True):
+            if not word:
+                out.append(next(done).tobytes())
+                continue
+            if unit.isascii():  # only the space is written as another character
+                unit = BYTE_LEVEL[32] + unit[1:] if unit[0] == " " else unit
+            else:
+                unit = unit.encode().decode("latin-1").translate(BYTE_LEVEL)
+            out.append(array(IDS, [t.id for t in tokenize(unit)]).tobytes())
+        return out
+
+    def _fill(self, units: set[str]) -> None:
+        """Puts the ids of ``units`` into the cache: those it had before at once, the others many at a time."""
+        old = self.units.old
+        missing = [u for u in units if u not in old]
+        known = [(u, old[u]) for u in units if u in old]
+        for unit, ids in chain(known, zip(missing, self._units(missing), strict=True)):
+            self.units.put(unit, ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [not self.by_unit or any(s in text for s in self.special) for text in texts]
-        cut = [None if w else UNIT.findall(text) for text, w in zip(texts, whole, strict=True)]
-        missing = list(set(chain.from_iterable(filter(None, cut))).difference(self.units).difference(self.units.old))
-        for unit, ids in zip(missing, self._units(missing), strict=True):
-            self.units.put(unit, ids)
-        get = self.units.__getitem__
-        return [self._library([text])[0] if units is None else np.frombuffer(b"".join(map(get, units)), np.uint32) for text, units in zip(texts, cut, strict=True)]
+        get, found, missing, again = self.units.get, [], set(), []
+        for text in texts:
+            if not self.by_unit or any(s in text for s in self.special):
+                found.append(self._library([text])[0])
+                continue
+            units = UNIT.findall(text)
+            ids = list(map(get, units))
+            if None in ids:
+                missing.update(u for u, x in zip(units, ids, strict=True) if x is None)
+                again.append((len(found), units))
+                found.append(None)
+            else:
+                found.append(np.frombuffer(b"".join(ids), np.uint32))
+        self._fill(missing)
+        for i, units in again:
+            found[i] = np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.uint32)
+        return found
 
 
 @kept
