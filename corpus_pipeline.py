@@ -58,8 +58,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, and decoded again."""
-    ids = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(ids, RANKS))
+    return byte_bpe.digests(byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN))
 
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("encoding", encoding)]

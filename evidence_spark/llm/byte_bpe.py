@@ -159,33 +159,54 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def _encoded(bpe: ByteBpe, texts: list[str | None]) -> pa.ListArray:
+    found = [bpe.encode(text) if text else np.empty(0, bpe.kind) for text in texts]
+    ends = np.cumsum([0, *map(len, found)])
+    flat = np.concatenate([np.empty(0, np.int32), *found]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def _decoded(words: dict[int, bytes], lists: pa.ListArray) -> list[bytes]:
+    ends = [0, *np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()]
+    ids = lists.flatten().to_numpy().tolist()
+    return [b"".join(map(words.__getitem__, ids[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>): one row per row of ``df``, whole texts; a null or empty text has an empty list.
 
     Repeated rows give repeated results, null ids stay null, other columns are not looked at."""
 
     def run(batch: pa.RecordBatch) -> list:
-        bpe = coder(path, pattern)
-        found = [bpe.encode(text) if text else np.empty(0, bpe.kind) for text in batch.column(1).to_pylist()]
-        ends = np.cumsum([0, *map(len, found)])
-        flat = np.concatenate([np.empty(0, np.int32), *found]).astype(np.int32)
-        return [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+        return [batch.column(0), _encoded(coder(path, pattern), batch.column(1).to_pylist())]
 
-    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, ids array<int>", 1000).withColumnRenamed("id", id_col)
+    return map_batches(_texts(df, id_col, text_col), run, "id long, ids array<int>", 1000).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, ids, decoded binary): the bytes of each list of ids; a null list has no bytes."""
 
     def run(batch: pa.RecordBatch) -> list:
-        word, lists = words_of(path).__getitem__, batch.column(1)
-        ends = [0, *np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()]
-        ids = lists.flatten().to_numpy().tolist()
-        return [batch.column(0), lists, [b"".join(map(word, ids[a:b])) for a, b in zip(ends, ends[1:], strict=False)]]
+        return [batch.column(0), batch.column(1), _decoded(words_of(path), batch.column(1))]
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")), run, "id long, ids array<int>, decoded binary", 1000).withColumnRenamed("id", id_col)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``decode`` makes of ``encode``, in one pass: a task has one Python worker with one set of tables, not two."""
+
+    def run(batch: pa.RecordBatch) -> list:
+        bpe = coder(path, pattern)
+        ids = _encoded(bpe, batch.column(1).to_pylist())
+        return [batch.column(0), ids, _decoded(bpe.words, ids)]
+
+    return map_batches(_texts(df, id_col, text_col), run, "id long, ids array<int>, decoded binary", 250).withColumnRenamed("id", id_col)
+
+
 def digests(df: DataFrame) -> DataFrame:
     """Lengths and digests of what ``decode`` returns."""
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")

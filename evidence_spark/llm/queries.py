@@ -67,8 +67,7 @@ def op6_lz_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    ids = byte_bpe.encode(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(ids, RANKS))
+    return byte_bpe.digests(byte_bpe.round_trip(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN))
 
 
 @query

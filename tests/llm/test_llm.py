@@ -422,3 +422,11 @@ def test_pipeline_stages_hold_their_promises(spark):
     _, least = brute_join([r.text for r in rows], 5, 80)
     assert Counter(r.doc_id for r in one) == Counter([rows[i].doc_id for i in range(len(rows)) if least[i] == i] + [None])
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_byte_bpe_round_trip_is_one_pass(spark, odd):
+    both = byte_bpe.round_trip(odd, RANKS, P.PATTERN)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    steps = byte_bpe.decode(byte_bpe.encode(odd, RANKS, P.PATTERN), RANKS)
+    rows = lambda df: Counter((r[0], tuple(r[1]), bytes(r[2])) for r in df.collect())
+    assert rows(both) == rows(steps)
