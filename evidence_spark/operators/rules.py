@@ -151,34 +151,22 @@ def closure_bundles(facts: DataFrame, rules: Sequence[Rule], proof_limit: int |
 
     key = ["ctx", "s", "p", "o"]
     bid = F.sha2(F.concat_ws("\x1f", *key, "rule", F.array_join("premises", "\x1e")), 256)
+    rules = [r.check() for r in rules]
+    if proof_limit is None:
+        return _all_bundles(facts, rules).withColumn("bundle_id", bid), facts.select("ctx").distinct().withColumn("complete", F.lit(True))
     base = facts.select(*key, F.lit("asserted").alias("rule"), F.array("fid").alias("premises")).withColumn("bundle_id", bid)
     bundles = delta = materialize(base.dropDuplicates(["bundle_id"]), "bundles")
     cut = None
     while True:
         made = []
-        for rule in [r.check() for r in rules]:
+        for rule in rules:
             for i in range(len(rule.body)):
-                rows, bound = None, set()
-                for k, atom in enumerate(rule.body):
-                    src = delta if k == i else bundles
-                    view = _bundle_atom(src, atom, k)
-                    names = {t for t in atom if t.startswith("?")}
-                    rows = view if rows is None else rows.join(view, ["ctx", *sorted(bound & names)])
-                    bound |= names
-                union = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"_p{k}") for k in range(len(rule.body))]))))
-                made.append(_head(rows, rule.head, F.lit(rule.rule_id).alias("rule"), union.alias("premises")))
+                made.append(_bundle_join(rule, [delta if k == i else bundles for k in range(len(rule.body))]))
         new = union_all(made).withColumn("bundle_id", bid).dropDuplicates(["bundle_id"]).join(bundles.select("bundle_id"), "bundle_id", "left_anti")
         # A proof of an asserted fact from that very fact adds nothing.
         both = bundles.withColumn("_new", F.lit(0)).unionByName(new.select(*bundles.columns).withColumn("_new", F.lit(1)))
         w = Window.partitionBy(*key).orderBy("_new", F.size("premises"), "bundle_id")
-        place = F.row_number().over(w) if proof_limit is not None else F.lit(0)
-        ranked = both.withColumn("_rn", place)
-        ranked = materialize(ranked.filter(F.col("_rn") <= proof_limit + 1) if proof_limit is not None else ranked, "bundles")
-        if proof_limit is None:
-            delta, bundles = ranked.filter("_new = 1").select(*bundles.columns), ranked.select(*bundles.columns)
-            if delta.isEmpty():
-                return bundles, facts.select("ctx").distinct().withColumn("complete", F.lit(True))
-            continue
+        ranked = materialize(both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= proof_limit + 1), "bundles")
         over = ranked.filter(F.col("_rn") > proof_limit).select("ctx").distinct()
         cut = over if cut is None else cut.unionByName(over)
         delta = ranked.filter((F.col("_new") == 1) & (F.col("_rn") <= proof_limit)).select(*bundles.columns)
@@ -189,6 +177,57 @@ def closure_bundles(facts: DataFrame, rules: Sequence[Rule], proof_limit: int |
     return bundles, complete
 
 
+def _all_bundles(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Every bundle (ctx, s, p, o, rule, premises), semi-naive: a round writes only what is new, and joins only atoms that a
+    head of the round before may match, so rules that do not feed each other need one round."""
+    same = ["ctx", "s", "p", "o", "rule", "premises"]
+    bid = F.sha2(F.concat_ws("\x1f", "ctx", "s", "p", "o", "rule", F.array_join("premises", "\x1e")), 256)
+    base = facts.select("ctx", "s", "p", "o", F.lit("asserted").alias("rule"), F.array("fid").alias("premises"))
+    delta = materialize(base.distinct(), "bundles")
+    parts, older, heads = [delta], [], None
+    while True:
+        known, made, fired = union_all(parts), [], []
+        old = union_all(older) if older else None
+        for rule in rules:
+            for i, atom in enumerate(rule.body):
+                # Atoms before the delta see only older bundles, so a pair of deltas is joined once.
+                if (i > 0 and old is None) or (heads is not None and not any(_may_match(atom, head) for head in heads)):
+                    continue
+                made.append(_bundle_join(rule, [delta if k == i else (old if k < i else known) for k in range(len(rule.body))]))
+                fired.append(rule)
+        if not made:
+            return known
+        new = union_all(made).select(*same).distinct()
+        # Only a bundle of the same rule can be the same one; asserted ones come first and have a name of their own.
+        before = parts if any(r.rule_id == "asserted" for r in fired) else parts[1:]
+        if before:
+            seen = union_all(before).filter(F.col("rule").isin(sorted({r.rule_id for r in fired})))
+            new = new.withColumn("_b", bid).join(seen.select(bid.alias("_b")), "_b", "left_anti").drop("_b")
+        delta = materialize(new, "bundles")
+        if delta.isEmpty():
+            return known
+        older, heads = list(parts), [r.head for r in fired]
+        parts.append(delta)
+        if len(parts) >= COMPACT:
+            older = [parts[0], materialize(union_all(parts[1:-1]), "bundles")]
+            parts = [*older, delta]
+
+
+def _may_match(atom: Triple, head: Triple) -> bool:
+    return all(a.startswith("?") or h.startswith("?") or a == h for a, h in zip(atom, head, strict=True))
+
+
+def _bundle_join(rule: Rule, sources: Sequence[DataFrame]) -> DataFrame:
+    rows, bound = None, set()
+    for k, (atom, src) in enumerate(zip(rule.body, sources, strict=True)):
+        view = _bundle_atom(src, atom, k)
+        names = {t for t in atom if t.startswith("?")}
+        rows = view if rows is None else rows.join(view, ["ctx", *sorted(bound & names)])
+        bound |= names
+    union = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"_p{k}") for k in range(len(rule.body))]))))
+    return _head(rows, rule.head, F.lit(rule.rule_id).alias("rule"), union.alias("premises"))
+
+
 def _bundle_atom(src: DataFrame, atom: Triple, n: int) -> DataFrame:
     df, cols = src, {}
     for col, term in zip("spo", atom):
@@ -203,9 +242,11 @@ def _bundle_atom(src: DataFrame, atom: Triple, n: int) -> DataFrame:
 
 def retract(bundles: DataFrame, gone: DataFrame) -> DataFrame:
     """Facts that keep at least one proof none of whose premises was retracted, with their remaining proofs."""
-    hit = bundles.select("bundle_id", F.explode("premises").alias("fid")).join(gone.select("fid"), "fid", "left_semi").select("bundle_id").distinct()
-    kept = bundles.join(hit, "bundle_id", "left_anti")
-    return kept.groupBy("ctx", "s", "p", "o").agg(F.count("*").alias("bundles"))
+    key = ["ctx", "s", "p", "o"]
+    # Written, so that a bundle's number is the same wherever it is read; a number is all that the joins carry.
+    rows = materialize(bundles.select(*key, "premises").withColumn("_b", F.monotonically_increasing_id()), "retract")
+    hit = rows.select("_b", F.explode("premises").alias("fid")).join(gone.select("fid"), "fid", "left_semi").select("_b").distinct()
+    return rows.drop("premises").join(hit, "_b", "left_anti").groupBy(*key).agg(F.count("*").alias("bundles"))
 
 
 def induce_rule(examples: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ def r3(t: Tables):
 
 def supplier_facts(t: Tables) -> DataFrame:
     """Per nation: suppliers supply parts, parts are of a type; ids are the facts themselves."""
-    n = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    n = t.lineitem.select("l_suppkey", "l_partkey").distinct().join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     supplies = n.select(F.col("s_nationkey").alias("ctx"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("s"), F.lit("supplies").alias("p"), F.concat(F.lit("p"), F.col("p_partkey")).alias("o")).distinct()
     kind = n.select(F.col("s_nationkey").alias("ctx"), F.concat(F.lit("p"), F.col("p_partkey")).alias("s"), F.lit("is_a").alias("p"), F.concat(F.col("p_type"), F.lit("/"), F.col("p_brand")).alias("o")).distinct()
     return supplies.unionByName(kind).withColumn("fid", F.concat_ws("|", "s", "p", "o"))
@@ -282,7 +282,7 @@ def r5(t: Tables):
     """Withdraw what is known about the kind of small parts."""
     bundles, _ = R.closure_bundles(supplier_facts(t), [OFFERS])
     gone = t.part.filter("p_size <= 25").select(F.concat_ws("|", F.concat(F.lit("p"), F.col("p_partkey")), F.lit("is_a"), F.concat(F.col("p_type"), F.lit("/"), F.col("p_brand"))).alias("fid"))
-    return R.retract(bundles, gone).filter("p = 'offers'").select("ctx", "s", "o", "bundles")
+    return R.retract(bundles.filter("p = 'offers'"), gone).select("ctx", "s", "o", "bundles")
 
 
 @query("r6_induce_rule", """SELECT 'order' AS shape, count(DISTINCT o_orderkey) AS examples, '?v1 placed_by ?v2 ?v2 lives_in ?v3 => ?v1 => ships_to => ?v3' AS rule, CAST(NULL AS VARCHAR) AS reason FROM orders JOIN customer ON o_custkey = c_custkey

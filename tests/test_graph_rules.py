@@ -80,3 +80,18 @@ def test_corroboration_and_margin(spark):
     assert got == {"a": "missing", "b": "covered", "c": "conflict", "d": "conflict"}
     s = spark.createDataFrame([("a", 1, 1.3), ("a", 2, 1.0), ("b", 1, 1.29), ("b", 2, 1.0), ("c", 1, 0.0), ("c", 2, 0.0)], "k string, i int, score double")
     assert {r["k"]: r["i"] for r in C.margin_pick(s, "k", "i").collect()} == {"a": 1, "b": None, "c": None}
+
+
+def test_bundles_write_each_one_once(spark, monkeypatch):
+    written = []
+    keep = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, label="step": written.append(keep(df, label)) or written[-1])
+    facts = spark.createDataFrame([(1, "s1", "supplies", "p1", "a"), (1, "p1", "is_a", "k", "b"), (1, "p1", "is_a", "k2", "c")], "ctx int, s string, p string, o string, fid string")
+    rule = R.Rule("offers", (("?s", "supplies", "?p"), ("?p", "is_a", "?k")), ("?s", "offers", "?k"))
+    bundles, complete = R.closure_bundles(facts, [rule])
+    assert sum(df.count() for df in written) == bundles.count() == 5 and complete.count() == 1
+    loop = R.Rule("trans", (("?a", "r", "?b"), ("?b", "r", "?c")), ("?a", "r", "?c"))
+    ring = spark.createDataFrame([(1, x, "r", y, x + y) for x, y in ("ab", "bc", "ca")], "ctx int, s string, p string, o string, fid string")
+    got = {(r.s, r.o, tuple(r.premises)) for r in R.closure_bundles(ring, [loop])[0].collect()}
+    limited = {(r.s, r.o, tuple(r.premises)) for r in R.closure_bundles(ring, [loop], 1000)[0].collect()}
+    assert got == limited and ("a", "a", ("ab", "bc", "ca")) in got
