@@ -49,3 +49,12 @@ def test_formula(spark):
 def test_html_blocks(spark):
     html = "<nav><p>menu menu menu menu menu menu menu menu</p></nav><p>A <b>visible</b> block of more than thirty characters.</p><p>short</p>" * 2
     assert one(spark, html, T.html_blocks) == ["A visible block of more than thirty characters."]
+
+
+def test_complete_sentences_in_linear_time(spark):
+    import time
+
+    text = "a line without an end " * 20_000 + "\nBut this one has one. And so has this! short. a.bc defghijklmnop. No end"
+    t0 = time.time()
+    assert one(spark, text, T.complete_sentences) == ["But this one has one.", "And so has this!", "bc defghijklmnop."]
+    assert time.time() - t0 < 30
