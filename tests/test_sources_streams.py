@@ -67,3 +67,11 @@ def test_stream_late_equals_batch(spark):
 def test_catalog():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) >= 170
     assert all(n == n.lower() for n in QUERIES)
+
+
+def test_stream_activation_has_no_python_state(spark, tmp_path):
+    from evidence_spark.streaming import jobs as S
+
+    stream = spark.readStream.schema("conv long, node string, turn long").parquet(str(tmp_path))
+    plan = S.stream_activation(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan
