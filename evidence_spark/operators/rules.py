@@ -300,12 +300,12 @@ def gate_rule(base: Sequence[Rule], candidate: Rule, facts: DataFrame, cases: Da
 
 def order_comparison(facts: DataFrame, denied: DataFrame, asks: DataFrame) -> DataFrame:
     """asks(a, b): true / false if a strict order derives exactly one direction and does not deny it, else null."""
-    from .graph import reachable
+    from .graph import reaches
 
-    up = reachable(facts.select(F.col("hi").alias("src"), F.col("lo").alias("dst")), asks.select(F.col("a").alias("node")).unionByName(
-        asks.select(F.col("b").alias("node"))).distinct().select(F.col("node").alias("seed"), "node"))
-    over = up.select(F.col("seed").alias("a"), F.col("node").alias("b"), F.lit(True).alias("over"))
-    under = up.select(F.col("seed").alias("b"), F.col("node").alias("a"), F.lit(True).alias("under"))
+    both = asks.select("a", "b").unionByName(asks.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    up = reaches(facts.select(F.col("hi").alias("src"), F.col("lo").alias("dst")), both)
+    over = up.withColumn("over", F.lit(True))
+    under = up.select(F.col("a").alias("b"), F.col("b").alias("a"), F.lit(True).alias("under"))
     no = denied.select(F.col("hi").alias("a"), F.col("lo").alias("b"), F.lit(True).alias("denied"))
     j = asks.join(over, ["a", "b"], "left").join(under, ["a", "b"], "left").join(no, ["a", "b"], "left")
     o, u = F.col("over").isNotNull(), F.col("under").isNotNull()

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from evidence_spark.operators import corpus as C
 from evidence_spark.operators import graph as G
 from evidence_spark.operators import rules as R
@@ -109,3 +111,25 @@ def test_shortest_path_grows_from_the_fewer_ends(spark, monkeypatch):
         few = {(r.a, r.b): (r.hops, r.path) for r in G.shortest_path(edges, spark.createDataFrame([(a, "n25"), (a, "n3")], "a string, b string")).collect()}
         assert few == {k: v for k, v in many.items() if k[0] == a}
     assert seeds == [2, 1, 1]
+
+
+def test_reaches_equals_brute_force_and_takes_stretches_as_one_step(spark, monkeypatch):
+    from evidence_spark.operators import fixpoint
+
+    rng = random.Random(5)
+    for nodes, links in ((12, 10), (14, 18), (10, 30)):
+        edges = {(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(links)} | {(100, 101), (101, 102), (102, 100), (200, 201), (201, 202)}
+        names = sorted({x for e in edges for x in e} | {300})
+        want = set(edges)
+        while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+            want |= more
+        found = G.reaches(spark.createDataFrame(list(edges), "src int, dst int"), spark.createDataFrame([(a, b) for a in names for b in names] * 2, "a int, b int"))
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    rounds = []
+    real = fixpoint.materialize
+    monkeypatch.setattr(fixpoint, "materialize", lambda df, label="step": rounds.append(label) or real(df, label))
+    chain = spark.range(40).select(F.col("id").alias("hi"), (F.col("id") + 1).alias("lo"))
+    asks = spark.createDataFrame([(3, 40), (40, 3), (0, 1), (7, 7), (7, 99)], "a long, b long")
+    got = R.order_comparison(chain, chain.limit(0), asks).collect()
+    assert {(r.a, r.b): r.taller for r in got} == {(3, 40): True, (40, 3): False, (0, 1): True, (7, 7): None, (7, 99): None}
+    assert len(rounds) <= 3
