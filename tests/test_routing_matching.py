@@ -95,3 +95,19 @@ def test_matching_of_many_graphs(spark, small):
     for r in got:
         count[r.graph_id] += 1
     assert dict(count) == {g: n for g, n in sizes.items() if n}
+
+
+def test_many_blocks_of_questions_meet_few_tiles(spark, monkeypatch):
+    dealt = []
+    real = M.best_nodes
+    monkeypatch.setattr(M, "best_nodes", lambda rows, *a: dealt.append(rows) or real(rows, *a))
+    words = ["stone", "river", "stream", "rivers", "tone", "stones", "dream", "mist"]
+    asked = spark.createDataFrame([(f"{w}{k}",) for w in words for k in range(8)], "q string")
+    nodes = spark.createDataFrame([(w,) for w in words], "node string")
+    monkeypatch.setattr(M, "QUERY_BLOCK", 4096)
+    want = M.best_partners(asked, "q", "q", nodes, "node", "node").collect()
+    monkeypatch.setattr(M, "QUERY_BLOCK", 4)
+    got = M.best_partners(asked, "q", "q", nodes, "node", "node").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 64
+    # Each question lies in one block, which few tiles meet, or its list is built again and again.
+    assert dealt[-1].filter("kind = 0").count() == 64
