@@ -168,3 +168,25 @@ def test_streams_equal_their_sql(spark, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(found.columns)
     assert Counter(tuple(r) for r in found.select(*columns).collect()) == Counter(cursor.fetchall())
+
+
+def test_best_senses_over_tiles_and_blocks_without_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"t{i}" for i in range(9)]
+    weight = {t: round(rng.uniform(-0.5, 2), 3) for t in words}
+    said = [(f"w{i}", f"g{i % 3}", [(t, weight[t]) for t in rng.sample(words, 4)]) for i in range(30)]
+    meant = [(f"g{i % 3}", i, rng.sample(words, 3)) for i in range(60)] + [("other", 99, words)]
+    want = {}
+    for word, genus, own in said:
+        sums = [(round(sum(w for t, w in own if t in terms), 6), -sense) for g, sense, terms in meant if g == genus]
+        want[word] = [(-sense, s) for s, sense in sorted(sums, reverse=True)[:2] if s > 0]
+    for name, value in (("SENSE_TILE", 4), ("WORD_BLOCK", 3), ("CHUNK", 2)):
+        monkeypatch.setattr(D, name, value)
+    sizes = spark.createDataFrame([(f"g{i}", 10, 20) for i in range(3)], "genus string, asking int, senses int")
+    rows = D._best_senses(
+        spark.createDataFrame(said, "word string, genus string, said array<struct<t string, w double>>"), spark.createDataFrame(meant, "genus string, sense int, terms array<string>"), sizes).collect()
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (-round(r.score, 6), r.genus_sense)):
+        got[r.word].append((r.genus_sense, round(r.score, 6)))
+    assert {w: got[w][:2] for w in want} == want
+    assert len(rows) <= 30 * 2 * 5  # two for each word and tile, not one for each sense
