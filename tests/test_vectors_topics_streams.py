@@ -190,3 +190,39 @@ def test_best_senses_over_tiles_and_blocks_without_pairs(spark, monkeypatch):
         got[r.word].append((r.genus_sense, round(r.score, 6)))
     assert {w: got[w][:2] for w in want} == want
     assert len(rows) <= 30 * 2 * 5  # two for each word and tile, not one for each sense
+
+
+def test_sessions_read_and_write_their_state_once_a_batch():
+    import pandas as pd
+
+    calls, stored, timers = Counter(), [], set()
+
+    class State:
+        def exists(self):
+            return bool(stored)
+
+        def get(self):
+            calls["get"] += 1
+            return stored[-1]
+
+        def update(self, value):
+            calls["update"] += 1
+            stored.append(value)
+
+        def clear(self):
+            stored.clear()
+
+    class Handle:
+        getValueState = lambda self, name, schema: State()
+        registerTimer = lambda self, at: timers.add(at)
+        deleteTimer = lambda self, at: timers.remove(at)
+
+    s = S.Sessions(3600.0)
+    s.init(Handle())
+    frame = lambda lo: pd.DataFrame([(lo + i, lo + i, "n", "A" if i % 2 else "accept", None if i % 3 else "s", None if i % 4 else i) for i in range(40)], columns=["at", "turn", "node", "verdict", "slot", "value"]).astype({"at": float})
+    first = next(s.handleInputRows((7,), iter([frame(0)[20:], frame(0)[:20]]), None))
+    assert calls == {"update": 1} and first[["turns", "held_n", "held_sum", "filled_n"]].values.tolist() == [[40, 2, 4, 1]]
+    second = next(s.handleInputRows((7,), iter([frame(9000)]), None))
+    assert calls == {"get": 1, "update": 2} and second["closed"].tolist() == [True, False] and second["session"].tolist() == [0, 9000]
+    assert timers == {int((9039 + 3600) * 1000) + 1}
+    assert next(s.handleExpiredTimer((7,), None, None))["closed"].tolist() == [True] and not stored
