@@ -15,15 +15,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import in_arrow, keep_where
 
 ORDER = 4
 SPACE = 32
-#: Documents, the first by hash, from which the scores are calibrated.
-CALIBRATE = 1000
+#: How sharp the likelihoods may be taken.
+SHARP = (1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01)
 LEAST_REJECT = 8.0
 UNKNOWN = "und"
 
@@ -186,36 +187,16 @@ class Model:
             out[full] = -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / sizes[full, None]
         return sizes, out
 
-    def calibrate(self, langs: list[str], texts: list[str]) -> None:
-        """Spread of the cross-entropy of texts of each language, and how sharp the likelihoods are to be taken."""
+    def against(self, langs: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language, letters, cross-entropy in it to four digits, loss for each of ``SHARP``) of the texts with letters."""
         sizes, h = self.entropies(texts)
-        truth = np.array([self.langs.index(lang) if lang in self.langs else -1 for lang in langs])
+        number = {lang: k for k, lang in enumerate(self.langs)}
+        truth = np.array([number.get(lang, -1) for lang in langs], np.int64)
         good = (truth >= 0) & (sizes > 0)
         sizes, h, truth = sizes[good], h[good], truth[good]
-        if not len(truth):
-            return
-        own = h[np.arange(len(h)), truth]
-        scores = np.zeros(len(own))
-        self.letter_var, self.text_var = np.ones(len(self.langs)), np.ones(len(self.langs))
-        for k in range(len(self.langs)):
-            mine = truth == k
-            if not mine.any():
-                self.mean[k] = own.mean()
-                continue
-            x, n = own[mine], sizes[mine]
-            self.mean[k] = np.median(x)
-            far = (x - self.mean[k]) ** 2
-            long = n >= np.median(n)
-            self.text_var[k] = max(1e-4, float(far[long].mean()))
-            self.letter_var[k] = max(0.25, float((far * n).mean()))
-            scores[mine] = (x - self.mean[k]) / np.sqrt(self.text_var[k] + self.letter_var[k] / n)
-        self.limit = max(LEAST_REJECT, 2 * float(np.quantile(scores, 0.999)))
-        best = np.inf
-        for sharp in (1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01):
-            p = self._posterior(sizes, h, sharp)[np.arange(len(h)), truth]
-            loss = -np.log(np.maximum(p, 1e-9)).mean()
-            if loss < best - 1e-9:
-                best, self.sharp = loss, sharp
+        each = np.arange(len(h))
+        loss = [-np.log(np.maximum(self._posterior(sizes, h, sharp)[each, truth], 1e-9)) for sharp in SHARP] if len(h) else [np.empty(0)] * len(SHARP)
+        return truth, sizes, np.round(h[each, truth], 4), np.array(loss)
 
     @staticmethod
     def _posterior(sizes: np.ndarray, h: np.ndarray, sharp: float) -> np.ndarray:
@@ -236,16 +217,54 @@ class Model:
         return [UNKNOWN if n else self.langs[i] for n, i in zip(none, k, strict=True)], score, best, none | (far > self.limit)
 
 
-def fit(rows: DataFrame, calibrate: int = CALIBRATE) -> Model:
-    """A model from all ``rows`` (id, lang, text) whose text and language are not null.
+def _rank(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """(keys, value): of each group the least value that ``share`` of its rows do not exceed, by counts of distinct values,
+    which rounding or the length of texts bounds."""
+    steps = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    steps = steps.withColumn("_upto", F.sum("_n").over(whole.orderBy(value))).withColumn("_all", F.sum("_n").over(whole))
+    return steps.filter(F.col("_upto") >= share * F.col("_all")).groupBy(*keys).agg(F.min(value).alias(value))
+
+
+def calibrate(model: Model, rows: DataFrame) -> None:
+    """Spread of the cross-entropy of each language's texts, how sharp the likelihoods are taken and the limit of rejection,
+    from all of ``rows`` (lang, text); only a row for each language gets to the driver."""
+    spark, c = rows.sparkSession, F.col
+    shared = spark.sparkContext.broadcast(model)
+    losses = [f"l{k}" for k in range(len(SHARP))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 150):
+                langs, texts = batch.slice(at, 150).columns
+                lang, size, own, loss = shared.value.against(langs.to_pylist(), texts.to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(size), pa.array(own), *[pa.array(x) for x in loss]], names=["k", "size", "own", *losses])
+
+    told = materialize(in_arrow(rows.select("lang", "text"), run, ", ".join(["k long, size long, own double", *[f"{x} double" for x in losses]])), "calibration")
+    middle = _rank(told, ["k"], "own", 0.5).withColumnRenamed("own", "mean").join(_rank(told, ["k"], "size", 0.5).withColumnRenamed("size", "half"), "k")
+    far = (c("own") - c("mean")) ** 2
+    found = told.join(middle, "k").groupBy("k", "mean").agg(F.avg(F.when(c("size") >= c("half"), far)).alias("text"), F.avg(far * c("size")).alias("letter")).collect()
+    if not found:
+        return
+    model.text_var, model.letter_var = np.ones(len(model.langs)), np.ones(len(model.langs))
+    for r in found:
+        model.mean[r.k], model.text_var[r.k], model.letter_var[r.k] = r.mean, max(1e-4, r.text), max(0.25, r.letter)
+    spread = spark.createDataFrame([(r.k, r.mean, float(model.text_var[r.k]), float(model.letter_var[r.k])) for r in found], "k long, mean double, text double, letter double")
+    scores = told.join(spread, "k").select(F.lit(0).alias("one"), F.round((c("own") - c("mean")) / F.sqrt(c("text") + c("letter") / c("size")), 3).alias("score"))
+    model.limit = max(LEAST_REJECT, 2 * _rank(scores, ["one"], "score", 0.999).first()["score"])
+    loss = told.agg(*[F.round(F.avg(x), 9).alias(x) for x in losses]).first()
+    model.sharp = min(zip(loss, range(len(SHARP)), SHARP, strict=True))[2]
+
+
+def fit(rows: DataFrame) -> Model:
+    """A model from all ``rows`` (lang, text) whose text and language are not null.
 
     Every text is counted whole by Spark.  The model has every sequence of every language, so discounts and continuation
-    counts are those of all texts; its size grows with the distinct sequences.  The driver also gets the first
-    ``calibrate`` texts by hash of their ids."""
+    counts are those of all texts; its size grows with the distinct sequences.  All texts are scored once more to calibrate it."""
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
     model = Model(tuple(r) for r in counts(rows.select("lang", "text")).select("lang", "gram", "n").toLocalIterator())
-    sample = rows.orderBy(F.xxhash64("id"), "id", "text").limit(calibrate).collect()
-    model.calibrate([r.lang for r in sample], [r.text for r in sample])
+    if model.langs:
+        calibrate(model, rows)
     return model
 
 

@@ -430,3 +430,15 @@ def test_byte_bpe_round_trip_is_one_pass(spark, odd):
     steps = byte_bpe.decode(byte_bpe.encode(odd, RANKS, P.PATTERN), RANKS)
     rows = lambda df: Counter((r[0], tuple(r[1]), bytes(r[2])) for r in df.collect())
     assert rows(both) == rows(steps)
+
+
+def test_language_is_calibrated_on_all_texts(spark):
+    rows = [(i, "en" if i % 2 else "de", f"{'the stone and the river' if i % 2 else 'der Stein und das Wasser'} {'abcdefgh'[i % 8:]}") for i in range(1200)]
+    model = lang_kn.fit(spark.createDataFrame(rows, "id long, lang string, text string"))
+    truth, sizes, own, loss = model.against([r[1] for r in rows], [r[2] for r in rows])
+    assert len(own) == 1200 and model.sharp == lang_kn.SHARP[int(np.round(loss.mean(axis=1), 9).argmin())]
+    for k in range(2):
+        x, n = own[truth == k], sizes[truth == k]
+        mid, half = np.sort(x)[(len(x) - 1) // 2], np.sort(n)[(len(n) - 1) // 2]
+        assert model.mean[k] == mid and abs(model.text_var[k] - max(1e-4, ((x - mid) ** 2)[n >= half].mean())) < 1e-9
+        assert abs(model.letter_var[k] - max(0.25, ((x - mid) ** 2 * n).mean())) < 1e-9
