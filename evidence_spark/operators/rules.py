@@ -7,7 +7,7 @@ known and denied heads and writes the delta.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import count
 
@@ -37,7 +37,7 @@ def fact_id(prefix: str = "") -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.col(prefix + c) for c in "spo"]), 256)
 
 
-def _atom(facts: DataFrame, atom: Triple, n: int, ids: bool) -> DataFrame:
+def _atom(facts: DataFrame, atom: Triple) -> DataFrame:
     """Rows matching one pattern: constants become filters, repeated variables equalities, variables columns."""
     df, cols = facts, {}
     for col, term in zip("spo", atom):
@@ -47,20 +47,18 @@ def _atom(facts: DataFrame, atom: Triple, n: int, ids: bool) -> DataFrame:
             df = df.filter(F.col(col) == F.col(cols[term]))
         else:
             cols[term] = col
-    extra = [fact_id().alias(f"_f{n}")] if ids else []
-    return df.select("ctx", *[F.col(c).alias(v) for v, c in cols.items()], *extra)
+    return df.select("ctx", *[F.col(c).alias(v) for v, c in cols.items()])
 
 
-def rule_body_join(atoms: Sequence[tuple[Triple, DataFrame]], ids: bool = False) -> DataFrame:
+def rule_body_join(atoms: Sequence[tuple[Triple, DataFrame]]) -> DataFrame:
     """Conjunctive join of patterns on the context and their shared variables.  The next atom is one that shares a
     variable with what is bound, so no cross join arises within connected bodies."""
-    todo = [(n, pattern, facts) for n, (pattern, facts) in enumerate(atoms)]
+    todo = list(atoms)
     out, bound = None, set()
     while todo:
-        pick = next((x for x in todo if out is None or any(t in bound for t in x[1])), todo[0])
-        todo.remove(pick)
-        n, pattern, facts = pick
-        rows = _atom(facts, pattern, n, ids)
+        k = next((k for k, x in enumerate(todo) if out is None or any(t in bound for t in x[0])), 0)
+        pattern, facts = todo.pop(k)
+        rows = _atom(facts, pattern)
         names = {t for t in pattern if t.startswith("?")}
         out = rows if out is None else out.join(rows, ["ctx", *sorted(bound & names)])
         bound |= names
@@ -72,11 +70,73 @@ def _head(df: DataFrame, head: Triple, *extra: Column) -> DataFrame:
     return df.select("ctx", *cols, *extra)
 
 
+#: Shapes of facts that are told apart; where there are more, every fact may meet every other one.
+SHAPES = 256
+_SEPARATOR, _NULL = "\x1f", "\x00"
+#: A fact's shape: its terms without their digits, as equal terms have equal shapes.
+Shape = tuple[str | None, str | None, str | None]
+
+
+def _shape(c: Column) -> Column:
+    return F.translate(c.cast("string"), "0123456789", "")
+
+
+def _kind() -> Column:
+    return F.concat_ws(_SEPARATOR, *[F.coalesce(_shape(F.col(c)), F.lit(_NULL)) for c in "spo"])
+
+
+def _bare(term: str) -> str:
+    return "".join(x for x in term if x not in "0123456789")
+
+
+def _of_kinds(df: DataFrame, kinds: set[Shape] | None, among: set[Shape] | None) -> DataFrame:
+    """Rows whose shape is one of ``kinds``; ``among`` are the shapes that there are."""
+    if kinds is None or kinds == among:
+        return df
+    return df.filter(F.col("kind").isin(sorted({_SEPARATOR.join(_NULL if x is None else x for x in k) for k in kinds})))
+
+
+def _meeting(rule: Rule, sources: Sequence[set[Shape] | None]) -> tuple[list[set[Shape]], set[Shape]] | None:
+    """(shapes of each atom's facts that may take part, shapes of the heads), from the shapes of each atom's source; None if
+    that can't be told.  A rule that no shapes let fire has no heads."""
+    if any(x is None for x in sources):
+        return None
+    found: list[tuple[dict, tuple[Shape, ...]]] = [({}, ())]
+    for atom, kinds in zip(rule.body, sources, strict=True):
+        longer = []
+        for bound, used in found:
+            for kind in kinds:
+                names = dict(bound)
+                if all((names.setdefault(term, x) if term.startswith("?") else _bare(term)) == x for term, x in zip(atom, kind, strict=True)):
+                    longer.append((names, (*used, kind)))
+        found = longer
+        if len(found) > SHAPES * SHAPES:
+            return None
+    heads = {tuple(names[x] if x.startswith("?") else _bare(x) for x in rule.head) for names, _ in found}
+    return [{used[k] for _, used in found} for k in range(len(rule.body))], heads
+
+
+def _between(rule: Rule) -> list[str]:
+    """Variables of a rule that its head does not tell."""
+    return sorted({x for atom in rule.body for x in atom if x.startswith("?")} - set(rule.head))
+
+
+def _parents(rules: Sequence[Rule]) -> Column:
+    """The ids of a fact's parents, from the fact, the number of its rule (``ord``) and the variables ``_between`` (``mid``)."""
+    out = F.array().cast("array<string>")
+    for order, rule in enumerate(rules):
+        at = {x: F.col(c) for c, x in reversed(list(zip("spo", rule.head, strict=True)))} | {x: F.get("mid", F.lit(k)) for k, x in enumerate(_between(rule))}
+        ids = [F.sha2(F.concat_ws(_SEPARATOR, *[at[x] if x.startswith("?") else F.lit(x) for x in atom]), 256) for atom in rule.body]
+        out = F.when(F.col("ord") == order, F.array(*ids)).otherwise(out)
+    return out
+
+
 def closure(facts: DataFrame, rules: Sequence[Rule], denied: DataFrame | None = None, max_rounds: int | None = None, proofs: bool = False) -> DataFrame:
     """(ctx, s, p, o, round[, rule, parents]): least fixpoint of the rules over asserted facts.
 
     A denied fact is neither used nor derived.  With ``proofs`` the first proof of each derived fact is kept: the
-    earliest round, then rule order, then the smallest parents.
+    earliest round, then rule order, then the smallest parents.  Parents are kept as what the rule's variables stand for
+    and become ids where they are read.  Facts whose shapes no rule brings together are not joined.
     """
     rules = [r.check() for r in rules]
     key = ["ctx", "s", "p", "o"]
@@ -85,60 +145,105 @@ def closure(facts: DataFrame, rules: Sequence[Rule], denied: DataFrame | None =
         known0 = known0.join(denied.select(*key), key, "left_anti")
     known0 = known0.withColumn("round", F.lit(0))
     if proofs:
-        known0 = known0.withColumn("rule", F.lit(None).cast("string")).withColumn("parents", F.array().cast("array<string>"))
-    delta = materialize(known0, "facts")
+        known0 = known0.withColumn("ord", F.lit(None).cast("int")).withColumn("mid", F.lit(None).cast("array<string>"))
+    delta = materialize(known0.withColumn("kind", _kind()), "facts")
+    shapes = delta.select(*[_shape(F.col(c)).alias(c) for c in "spo"]).distinct().limit(SHAPES + 1).collect()
+    young = {tuple(r) for r in shapes} if len(shapes) <= SHAPES else None
     parts, older = [delta], []
+    seen, before = young, set()
+    result = lambda: union_all(parts).select(*key, "round", *_named(rules, proofs))
     for rnd in count(1):
         known = union_all(parts)
         old = union_all(older) if older else None
-        heads = []
+        heads, made = [], set()
         for order, rule in enumerate(rules):
             for i in range(len(rule.body)):
                 # Atoms before the delta see only older facts, so a pair of deltas is joined once.
                 if i > 0 and old is None:
                     continue
-                atoms = [(a, delta if k == i else (old if k < i else known)) for k, a in enumerate(rule.body)]
-                rows = rule_body_join(atoms, proofs)
+                kinds = [young if k == i else (before if k < i else seen) for k in range(len(rule.body))]
+                met = _meeting(rule, kinds)
+                if met is not None and not met[1]:
+                    continue
+                made = made | met[1] if met is not None and made is not None and len(made | met[1]) <= SHAPES else None
+                sources = [delta if k == i else (old if k < i else known) for k in range(len(rule.body))]
+                atoms = [(a, _of_kinds(src, met and met[0][k], kinds[k])) for k, (a, src) in enumerate(zip(rule.body, sources, strict=True))]
+                rows = rule_body_join(atoms)
                 if proofs:
-                    parents = F.array(*[F.col(f"_f{k}") for k in range(len(rule.body))])
-                    heads.append(_head(rows, rule.head, F.lit(order).alias("ord"), F.lit(rule.rule_id).alias("rule"), parents.alias("parents")))
+                    mid = F.array(*[F.col(x).cast("string") for x in _between(rule)]).cast("array<string>")
+                    heads.append(_head(rows, rule.head, F.lit(order).alias("ord"), mid.alias("mid")))
                 else:
                     heads.append(_head(rows, rule.head).distinct())
+        if not heads:
+            return result()
         new = union_all(heads)
         if proofs:
-            new = new.groupBy(*key).agg(F.min(F.struct("ord", "parents", "rule")).alias("m")).select(*key, F.col("m.rule").alias("rule"), F.col("m.parents").alias("parents"))
+            # Dealt before the parents are worked out, so that no id is shuffled.
+            new = new.repartition(*key).groupBy(*key).agg(F.min(F.struct("ord", _parents(rules).alias("parents"), "mid")).alias("m")).select(*key, F.col("m.ord").alias("ord"), F.col("m.mid").alias("mid"))
         else:
             new = new.distinct()
-        new = new.join(known.select(*key), key, "left_anti")
+        if made is None or seen is None or made & seen:
+            new = new.join(_of_kinds(known, made and seen and made & seen, seen).select(*key), key, "left_anti")
         if denied is not None:
             new = new.join(denied.select(*key), key, "left_anti")
         older = list(parts)
-        delta = materialize(new.withColumn("round", F.lit(rnd)), "facts")
+        delta = materialize(new.withColumn("round", F.lit(rnd)).withColumn("kind", _kind()), "facts")
         if delta.isEmpty():
-            return union_all(parts)
+            return result()
         if max_rounds is not None and rnd > max_rounds:
             raise RuntimeError(f"closure: more than {max_rounds} rounds needed")
         parts.append(delta)
+        before, young = seen, made
+        seen = None if seen is None or made is None or len(seen | made) > SHAPES else seen | made
         if len(parts) >= COMPACT:
             older = [materialize(union_all(older + parts[len(older) : -1]), "facts")]
             parts = [*older, delta]
 
 
+def _named(rules: Sequence[Rule], proofs: bool) -> list[Column]:
+    if not proofs:
+        return []
+    return [F.get(F.array(*[F.lit(r.rule_id) for r in rules]).cast("array<string>"), F.col("ord")).alias("rule"), _parents(rules).alias("parents")]
+
+
+def _expand(derived: DataFrame, goals: DataFrame, cut: Callable[[Column], Column]) -> list[DataFrame]:
+    """Levels (n, fact, depth) of the facts below each of goals(n, parents, round), whose parents are ids ``cut`` short."""
+    steps = derived.filter(F.size("parents") > 0).select("round", cut(fact_id()).alias("fact"), F.transform("parents", cut).alias("parents"))
+    most = goals.agg(F.max("round").alias("r")).first()["r"]
+    cur = goals.select("n", F.explode(F.array_distinct("parents")).alias("fact"))
+    levels = [cur.withColumn("depth", F.lit(1))]
+    # A parent is of an earlier round than its child, and a fact of round 0 has none.
+    for depth in range(1, most or 0):
+        below = cur.join(steps.filter(F.col("round") <= most - depth).drop("round"), "fact")
+        cur = materialize(below.select("n", F.explode("parents").alias("fact")).distinct(), "proof")
+        levels.append(cur.withColumn("depth", F.lit(depth + 1)))
+    return levels
+
+
 def proof(derived: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, fact, depth): every fact in the first proof of each target, with its greatest depth below it.
 
     ``derived`` comes from ``closure(..., proofs=True)``; premises order first when sorted by descending depth.
     """
-    table = derived.select(fact_id().alias("fact"), "parents")
-    cur = materialize(targets.select(fact_id().alias("target"), fact_id().alias("fact"), F.lit(0).alias("depth")).distinct(), "proof")
-    parts = [cur]
-    for rnd in count(1):
-        step = cur.join(table, "fact").select("target", F.explode("parents").alias("fact")).distinct().withColumn("depth", F.lit(rnd))
-        cur = materialize(step, "proof")
-        if cur.isEmpty():
-            break
-        parts.append(cur)
-    return union_all(parts).groupBy("target", "fact").agg(F.max("depth").alias("depth"))
+    name = lambda c: F.lower(F.hex(c))
+    asked = targets.select(F.unhex(fact_id()).alias("n")).distinct()
+    own = derived.select(F.unhex(fact_id()).alias("n"), F.transform("parents", F.unhex).alias("parents"), "round")
+    goals = materialize(asked.join(own, "n", "left"), "goals")
+    top = goals.select("n", F.col("n").alias("fact"), F.lit(0).alias("depth"))
+    return union_all([top, *_expand(derived, goals, F.unhex)]).groupBy(name("n").alias("target"), name("fact").alias("fact")).agg(F.max("depth").alias("depth"))
+
+
+def proof_sizes(derived: DataFrame, targets: DataFrame) -> DataFrame:
+    """(ctx, s, p, o, facts, depth): how many facts the first proof of each target has, itself included, and how deep it is.
+
+    ``targets`` are rows of ``derived``.  They go by number, the facts below them by the first 128 bits of their ids."""
+    key = ["ctx", "s", "p", "o"]
+    cut = lambda c: F.unhex(F.substring(c, 1, 32))
+    goals = materialize(targets.select(*key, "round", F.transform("parents", cut).alias("parents"), F.monotonically_increasing_id().alias("n")), "goals")
+    # Dealt by target, so that both sums are made where the rows are.
+    below = union_all(_expand(derived, goals, cut)).repartition("n").groupBy("n", "fact").agg(F.max("depth").alias("depth"))
+    sizes = below.groupBy("n").agg(F.count("*").alias("facts"), F.max("depth").alias("depth"))
+    return goals.join(sizes, "n", "left").select(*key, (F.coalesce("facts", F.lit(0)) + 1).alias("facts"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def closure_bundles(facts: DataFrame, rules: Sequence[Rule], proof_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
